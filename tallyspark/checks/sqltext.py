@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.rounding import _split_const
-
-_SPLIT = "CAST(134217729 AS DOUBLE)"
-
 
 def dbl(value: float) -> str:
     return f"CAST({value!r} AS DOUBLE)"
@@ -13,19 +9,13 @@ def dbl(value: float) -> str:
 
 def rounded(column: str, digits: int) -> str:
     """``column`` (a DOUBLE column name) rounded the way Python rounds binary doubles."""
-    scale = float(10**digits)
-    hi, lo = _split_const(scale)
-    s, sh, sl = dbl(scale), dbl(hi), dbl(lo)
-    x = column
+    s, x = dbl(float(10**digits)), column
     p = f"({x}*{s})"
-    xh = f"({x}*{_SPLIT}-({x}*{_SPLIT}-{x}))"
-    xl = f"({x}-{xh})"
-    err = f"((({xh}*{sh}-{p})+{xh}*{sl}+{xl}*{sh})+{xl}*{sl})"
+    head = f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    err = f"(({head}*{s}-{p})+({x}-{head})*{s})"
     near = f"round_even({p},0)"
-    tie = f"abs({p}-{near})=0.5"
     return (
-        f"(CASE WHEN {tie} AND {err}>0 THEN {p}+0.5 WHEN {tie} AND {err}<0 THEN {p}-0.5 "
-        f"ELSE {near} END/{s})"
+        f"(CASE WHEN abs({p}-{near})=0.5 AND {err}<>0 THEN {p}+0.5*sign({err}) ELSE {near} END/{s})"
     )
 
 

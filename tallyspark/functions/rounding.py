@@ -2,9 +2,9 @@
 
 Spark's ``round`` is half-up and ``bround`` is half-even on the *printed* decimal, so both
 disagree with Python when a value such as ``2.675`` is not exactly a tie in binary.  The
-expressions below find the exact remainder of ``x * 10**n`` with an error-free product
-(Dekker), which makes the tie test exact while staying inside whole-stage codegen.  They name
-their argument several times: give nested roundings a column of their own.
+expressions below find the exact remainder of ``x * 10**n`` by an error-free product, which
+makes the tie test exact (for up to 8 digits) while staying inside whole-stage codegen.  They
+name their argument several times: give nested roundings a column of their own.
 """
 
 from __future__ import annotations
@@ -12,30 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLITTER = 134217729.0  # 2**27 + 1
-
-
-def _split_const(value: float) -> tuple[float, float]:
-    scaled = _SPLITTER * value
-    high = scaled - (scaled - value)
-    return high, value - high
-
 
 def _scaled_nearest(x: Column, digits: int) -> Column:
-    scale = float(10**digits)
-    s_hi, s_lo = _split_const(scale)
-    product = x * F.lit(scale)
-    big = x * F.lit(_SPLITTER)
-    x_hi = big - (big - x)
-    x_lo = x - x_hi
-    error = ((x_hi * s_hi - product) + x_hi * s_lo + x_lo * s_hi) + x_lo * s_lo
+    scale = F.lit(float(10**digits))
+    product = x * scale
+    # A float holds 24 bits, so its product with the scale and that of the rest are exact.
+    head = x.cast("float").cast("double")
+    error = (head * scale - product) + (x - head) * scale
     nearest = F.rint(product)
-    is_tie = F.abs(product - nearest) == F.lit(0.5)
-    return (
-        F.when(is_tie & (error > 0), product + 0.5)
-        .when(is_tie & (error < 0), product - 0.5)
-        .otherwise(nearest)
-    )
+    inexact_tie = (F.abs(product - nearest) == F.lit(0.5)) & (error != F.lit(0.0))
+    return F.when(inexact_tie, product + F.lit(0.5) * F.signum(error)).otherwise(nearest)
 
 
 def py_round(x: Column, digits: int) -> Column:

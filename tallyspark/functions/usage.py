@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every token field either dialect may send; absent fields parse to NULL.
@@ -54,9 +54,8 @@ def sse_chunks(stream: Column) -> Column:
     return F.transform(sse_payloads(stream), lambda p: F.from_json(p, _CHUNK_DDL))
 
 
-def openai_stream(stream: Column) -> Column:
+def openai_stream(chunks: Column) -> Column:
     """STRUCT<usage, model>: the last chunk with a filled usage, the last non-empty model."""
-    chunks = sse_chunks(stream)
     usages = F.filter(
         F.transform(chunks, lambda c: _filled_object(c["usage"])), lambda u: u.isNotNull()
     )
@@ -67,10 +66,8 @@ def openai_stream(stream: Column) -> Column:
     )
 
 
-def anthropic_stream(stream: Column) -> Column:
-    """STRUCT<usage, model>: usage keys of ``message_start`` overlaid by each later delta."""
-    chunks = sse_chunks(stream)
-
+def anthropic_pieces(chunks: Column) -> Column:
+    """Per chunk, the usage it adds and the model it names."""
     def parts(c: Column) -> Column:
         started = F.from_json(c["message"], _MESSAGE_DDL)
         starts = c["type"] == "message_start"
@@ -81,7 +78,13 @@ def anthropic_stream(stream: Column) -> Column:
             F.when(starts, _non_empty(started["model"])).alias("model"),
         )
 
-    pieces = F.transform(chunks, parts)
+    return F.filter(
+        F.transform(chunks, parts), lambda p: p["usage"].isNotNull() | p["model"].isNotNull()
+    )
+
+
+def overlaid_usage(pieces: Column) -> Column:
+    """MAP<STRING, STRING> of usage keys; a key of a later piece replaces an earlier one."""
     empty = F.from_json(F.lit("{}"), "MAP<STRING, STRING>")
 
     def overlay(acc: Column, piece: Column) -> Column:
@@ -90,8 +93,14 @@ def anthropic_stream(stream: Column) -> Column:
             F.map_filter(acc, lambda k, _v: ~F.map_contains_key(update, k)), update
         )
 
-    merged = F.aggregate(pieces, empty, overlay)
-    # Values are JSON texts of numbers, nulls and nested objects, so rebuild the object text.
+    return F.aggregate(pieces, empty, overlay)
+
+
+def usage_text(merged: Column) -> Column:
+    """JSON object text of :func:`overlaid_usage`; NULL when it is empty.
+
+    Values are texts of numbers, nulls and nested objects; anything else is quoted.
+    """
     body = F.array_join(
         F.transform(
             F.map_entries(merged),
@@ -99,30 +108,42 @@ def anthropic_stream(stream: Column) -> Column:
                 F.lit('"'), e["key"], F.lit('":'),
                 F.when(e["value"].isNull(), F.lit("null"))
                 .when(F.rlike(e["value"], F.lit(r"^(-?[0-9.eE+-]+|true|false|[\[{].*)$")), e["value"])
-                .otherwise(F.concat(F.lit('"'), e["value"], F.lit('"'))),
+                .otherwise(F.concat(F.lit('"'), F.replace(e["value"], F.lit('"'), F.lit('\\"')), F.lit('"'))),
             ),
         ),
         ",",
     )
-    models = F.filter(F.transform(pieces, lambda p: p["model"]), lambda m: m.isNotNull())
-    return F.struct(
-        F.when(F.size(F.map_keys(merged)) > 0, F.concat(F.lit("{"), body, F.lit("}"))).alias("usage"),
-        F.try_element_at(models, F.lit(-1)).alias("model"),
-    )
+    return F.when(F.size(F.map_keys(merged)) > 0, F.concat(F.lit("{"), body, F.lit("}")))
 
 
-def extract_usage(dialect: Column, body: Column, is_sse: Column) -> Column:
-    """STRUCT<usage, model> of one response, in the provider's own shape."""
-    parsed = F.from_json(body, _BODY_DDL)
+def with_usage(df: DataFrame, name: str = "_res") -> DataFrame:
+    """Add STRUCT<usage, model> of each response, in the provider's own shape.
+
+    Reads ``dialect``, ``response_body`` and ``response_is_sse``.  A body or a stream is
+    parsed once; a response that cannot be read has NULL in both fields.
+    """
+    sse = F.coalesce("response_is_sse", F.lit(False))
+    body, second = F.col("response_body"), F.col("dialect") == "anthropic"
+    parsed = df.withColumns(
+        {
+            "_plain": F.when(~sse, F.from_json(body, _BODY_DDL)),
+            "_chunks": F.when(sse, sse_chunks(body)),
+        }
+    )
+    pieces = parsed.withColumn("_pieces", F.when(second, anthropic_pieces(F.col("_chunks"))))
+    merged = pieces.withColumn("_merged", F.when(second, overlaid_usage(F.col("_pieces"))))
     plain = F.struct(
-        _object_text(parsed["usage"]).alias("usage"), parsed["model"].alias("model")
+        _object_text(F.col("_plain")["usage"]).alias("usage"), F.col("_plain")["model"].alias("model")
     )
-    return (
-        F.when(body.isNull(), F.lit(None).cast("STRUCT<usage: STRING, model: STRING>"))
-        .when(~F.coalesce(is_sse, F.lit(False)), plain)
-        .when(dialect == "anthropic", anthropic_stream(body))
-        .otherwise(openai_stream(body))
+    named = F.filter("_pieces", lambda p: p["model"].isNotNull())
+    joined = F.struct(
+        usage_text(F.col("_merged")).alias("usage"),
+        F.try_element_at(named, F.lit(-1))["model"].alias("model"),
     )
+    return merged.withColumn(
+        name,
+        F.when(~sse, plain).when(second, joined).otherwise(openai_stream(F.col("_chunks"))),
+    ).drop("_plain", "_chunks", "_pieces", "_merged")
 
 
 def parse_usage(usage: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rounding import py_round
-from ..functions.usage import extract_usage, parse_usage, tool_names
+from ..functions.usage import parse_usage, tool_names, with_usage
 
 _REQUEST_DDL = (
     "model STRING, prompt VARIANT, tools VARIANT, system VARIANT, messages ARRAY<VARIANT>, "
@@ -51,14 +51,11 @@ def parse_calls(call_raw: DataFrame) -> DataFrame:
     A request that is not JSON keeps its row and is named in ``request_parse_error``; a
     response that cannot be read has NULL usage.
     """
-    parsed = call_raw.withColumns(
-        {
-            "_req": request_of(F.col("request_body")),
-            "_res": extract_usage(
-                F.col("dialect"), F.col("response_body"), F.col("response_is_sse")
-            ),
-        }
-    ).withColumn("_texts", message_texts(F.col("_req")))
+    parsed = (
+        with_usage(call_raw, "_res")
+        .withColumn("_req", request_of(F.col("request_body")))
+        .withColumn("_texts", message_texts(F.col("_req")))
+    )
     req = F.col("_req")
     texts = F.col("_texts")
     tools = text.canonical_json(req["tools"])

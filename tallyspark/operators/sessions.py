@@ -161,21 +161,30 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
     joined = merged.withColumn("_s", causes).join(growth, list(by), "left")
 
     no_cache = F.col("cache_known_calls") == 0
-    mean_step = py_round(
-        from_units(F.col("step_tenths"), 1) / F.nullif(F.col("step_calls").cast("double"), F.lit(0.0)), 1
-    )
+    known = F.when(~no_cache, F.col("known_cached"))
+    per = lambda units, n: units / F.nullif(F.col(n).cast("double"), F.lit(0.0))
     n = F.coalesce(F.col("series_calls"), F.lit(0))
-    return joined.withColumn("mean_step_cost_tok_eq", mean_step).select(
+    raw = joined.withColumns(
+        {
+            "_fraction": per(known.cast("double"), "cache_known_prompt"),
+            "_usd": from_units(F.col("usd_units"), 8),
+            "_ratio": per(from_units(F.col("ratio_units"), _RATIO_DIGITS), "ratio_calls"),
+            "_step": per(from_units(F.col("step_tenths"), 1), "step_calls"),
+        }
+    ).withColumn("mean_step_cost_tok_eq", py_round(F.col("_step"), 1))
+    saving = raw.withColumn(
+        "_saving",
+        F.col("mean_step_cost_tok_eq")
+        + F.lit(pricing.STEP_WEIGHTS["cached"]) * F.col("carried_growth")
+        / F.greatest(n - 1, F.lit(1)).cast("double"),
+    )
+    return saving.select(
         *by,
         "calls", "prompt_tokens", "completion_tokens",
-        F.when(~no_cache, F.col("known_cached")).alias("cached_tokens"),
-        py_round(
-            F.when(~no_cache, F.col("known_cached").cast("double"))
-            / F.nullif(F.col("cache_known_prompt").cast("double"), F.lit(0.0)),
-            4,
-        ).alias("cached_fraction"),
+        known.alias("cached_tokens"),
+        py_round(F.col("_fraction"), 4).alias("cached_fraction"),
         "cache_known_calls", "cache_known_prompt", "cache_unavailable_calls",
-        py_round(from_units(F.col("usd_units"), 8), 6).alias("cost_usd"),
+        py_round(F.col("_usd"), 6).alias("cost_usd"),
         _counted(
             F.col("_q")["k"], F.col("_q")["v"],
             F.array(F.lit("exact"), F.lit("estimated"), F.lit("unavailable")),
@@ -184,21 +193,11 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
         from_units(F.col("mutation_tenths"), 1).alias("prefix_mutation_cost_tok_eq"),
         _counted(F.col("_s")["k"], F.col("_s")["v"]).alias("mutation_causes"),
         "cache_miss_unexplained", "injected",
-        py_round(
-            from_units(F.col("ratio_units"), _RATIO_DIGITS)
-            / F.nullif(F.col("ratio_calls").cast("double"), F.lit(0.0)),
-            4,
-        ).alias("mean_prefix_stable_ratio"),
+        py_round(F.col("_ratio"), 4).alias("mean_prefix_stable_ratio"),
         "models",
         "mean_step_cost_tok_eq",
         F.when(
-            (n > 1) & F.col("mean_step_cost_tok_eq").isNotNull(),
-            py_round(
-                F.col("mean_step_cost_tok_eq")
-                + F.lit(pricing.STEP_WEIGHTS["cached"]) * F.col("carried_growth")
-                / F.greatest(n - 1, F.lit(1)).cast("double"),
-                1,
-            ),
+            (n > 1) & F.col("mean_step_cost_tok_eq").isNotNull(), py_round(F.col("_saving"), 1)
         ).otherwise(F.col("mean_step_cost_tok_eq")).alias("mean_step_saving_tok_eq"),
     )
 
