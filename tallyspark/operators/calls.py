@@ -45,9 +45,11 @@ def prefix_keys(texts: Column) -> Column:
     )
 
 
-def parse_calls(call_raw: DataFrame) -> DataFrame:
+def parse_calls(call_raw: DataFrame, keep_text: bool = False) -> DataFrame:
     """Everything later steps need from the bodies, without the bodies.
 
+    ``keep_text`` adds ``canonical``, the text of the whole message list.
+
     A request that is not JSON keeps its row and is named in ``request_parse_error``; a
     response that cannot be read has NULL usage.
     """
@@ -92,4 +94,5 @@ def parse_calls(call_raw: DataFrame) -> DataFrame:
         text.auto_session(
             F.when(F.size(texts) > 0, whole).otherwise(F.coalesce(seed, F.lit("[]")))
         ).alias("auto_id"),
+        *([whole.alias("canonical")] if keep_text else []),
     )
