@@ -28,28 +28,24 @@ def _line_numbers(df: DataFrame, name: str) -> DataFrame:
 def _json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Rows of a JSON-lines folder or file; lines that are not JSON objects are skipped."""
     try:
-        raw = (
-            spark.read.schema(f"{ddl}, {_CORRUPT}")
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt")
-            .json(path)
+        lines = spark.read.text(path).select(
+            "value",
+            F.col("_metadata.file_name").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"),
         )
     except Exception as error:  # noqa: BLE001 - a missing day is an empty day
-        if "PATH_NOT_FOUND" in str(error):
-            raw = local_table(spark, [], f"{ddl}, {_CORRUPT}")
-            return raw.drop("_corrupt").withColumns(
-                {"_file": F.lit(""), "_start": F.lit(0), "_id": F.lit(0)}
-            )
-        raise
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        lines = local_table(spark, [], "value STRING, _file STRING, _start BIGINT, _id BIGINT")
+    record = F.from_json(
+        "value", f"{ddl}, {_CORRUPT}", {"columnNameOfCorruptRecord": "_corrupt"}
+    )
     return (
-        raw.withColumns(
-            {
-                "_file": F.col("_metadata.file_name"),
-                "_start": F.col("_metadata.file_block_start"),
-                "_id": F.monotonically_increasing_id(),
-            }
-        )
-        .filter(F.col("_corrupt").isNull())
+        lines.filter(F.startswith(F.ltrim("value"), F.lit("{")))
+        .withColumn("_r", record)
+        .filter(F.col("_r._corrupt").isNull())
+        .select("_r.*", "_file", "_start", "_id")
         .drop("_corrupt")
     )
 
