@@ -411,6 +411,8 @@ def experiment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = derived.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("task"),
         F.col("o_orderkey").alias("task_position"))
+    # One small source file, but hashing per task: spread it before the blocks are expanded.
+    tasks = tasks.repartition(spark.sparkContext.defaultParallelism)
     return experiment.plan_for_tasks(tasks, _PLAN_SPEC).drop("task_position").withColumn(
         "order", F.col("order").cast("bigint"))
 

@@ -41,28 +41,46 @@ def dig(usage_json: Column, path: Column) -> Column:
     return F.when(path.isNotNull(), found.try_cast("bigint"))
 
 
-def with_cost_row(df: DataFrame, usage_json: str, model: str, price_date: str, rates: str,
-                  spec: str, name: str = "cost") -> DataFrame:
+# Where providers put a category unless a cache schema says otherwise.
+_USUAL = {
+    ("prompt_tokens_details", "cached_tokens"), ("prompt_tokens_details", "cache_creation_tokens"),
+    ("completion_tokens_details", "reasoning_tokens"),
+}
+
+
+def _at(tokens: Column, usage_json: Column, path: Column) -> Column:
+    """The value at a schema path: a typed field for the usual paths, else from the text."""
+    value = None
+    for group, field in sorted(_USUAL):
+        hit = path == F.array(F.lit(group), F.lit(field))
+        typed = tokens[group][field]
+        value = F.when(hit, typed) if value is None else value.when(hit, typed)
+    return value.otherwise(dig(usage_json, path))
+
+
+def with_cost_row(df: DataFrame, tokens: str, usage_json: Column, model: str, price_date: str,
+                  rates: str, spec: str, name: str = "cost") -> DataFrame:
     """Add the cost STRUCT of each call.
 
-    ``usage_json`` names a column in the common form, ``rates`` a struct of the four
-    per-million rates and ``spec`` a map from cache category to STRUCT<surfaces, path>.  A
+    ``tokens`` names the typed usage in the common form and ``usage_json`` is its JSON text,
+    read only for an unusual path; ``rates`` is a struct of the four per-million rates and
+    ``spec`` a map from cache category to STRUCT<surfaces, path>.  A
     category the route cannot show is never observed and never imputed; one it can show but
     left out is imputed to 0 and flagged.
 
     Intermediate values are columns of their own, so each is computed once per row.
     """
     zero = F.lit(0).cast("bigint")
-    u = F.col(usage_json)
+    t = F.col(tokens)
     entry = {c: F.try_element_at(F.col(spec), F.lit(c)) for c in CATEGORIES}
     kept = df.columns
     read = df.withColumns(
         {
-            "_prompt": F.get_json_object(u, "$.prompt_tokens").try_cast("bigint"),
-            "_completion": F.get_json_object(u, "$.completion_tokens").try_cast("bigint"),
+            "_prompt": t["prompt_tokens"],
+            "_completion": t["completion_tokens"],
             **{f"_shows_{c}": F.coalesce(entry[c]["surfaces"], F.lit(False)) for c in CATEGORIES},
             **{
-                f"_seen_{c}": F.when(entry[c]["surfaces"], dig(u, entry[c]["path"]))
+                f"_seen_{c}": F.when(entry[c]["surfaces"], _at(t, usage_json, entry[c]["path"]))
                 for c in CATEGORIES
             },
         }

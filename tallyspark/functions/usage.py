@@ -177,6 +177,17 @@ def normalize_anthropic(tokens: Column) -> Column:
     )
 
 
+def normalized_tokens(dialect: Column, tokens: Column) -> Column:
+    """Typed usage in the common form."""
+    second = normalize_anthropic(tokens)
+    is_second = dialect == "anthropic"
+    pick = lambda name: F.when(is_second, second[name]).otherwise(tokens[name]).alias(name)
+    return F.struct(
+        pick("prompt_tokens"), pick("completion_tokens"), pick("prompt_tokens_details"),
+        F.when(~is_second, tokens["completion_tokens_details"]).alias("completion_tokens_details"),
+    )
+
+
 def normalized_usage_json(dialect: Column, usage: Column) -> Column:
     """Usage JSON text in the common form, which cache-schema paths refer to."""
     return F.when(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..functions.text import ledger_day
-from ..functions.usage import normalized_usage_json
+from ..functions.usage import normalized_tokens, normalized_usage_json, parse_usage
 from ..plans.bounds import bounded_broadcast
 from ..plans.local import columns_of, local_table
 from ..plans.ordered import HOT_ROWS
@@ -63,7 +63,13 @@ def price_calls(calls: DataFrame, profiles: DataFrame, prices: DataFrame,
     priced = calls.join(
         bounded_broadcast(routes(profiles, prices, cache_schemas)), "dialect", "left"
     )
-    normalized = priced.withColumn("_u", normalized_usage_json(F.col("dialect"), F.col("usage")))
+    typed = (
+        F.col("usage_tokens") if "usage_tokens" in calls.columns else parse_usage(F.col("usage"))
+    )
+    normalized = priced.withColumn("_t0", typed).withColumn(
+        "_t", normalized_tokens(F.col("dialect"), F.col("_t0"))
+    )
+    text = normalized_usage_json(F.col("dialect"), F.col("usage"))
     reason = F.when(
         F.col("usage").isNotNull(),
         F.when(F.col("accountant_model").isNull(), F.lit(pricing.NO_ACCOUNTANT_MODEL)).otherwise(
@@ -71,7 +77,7 @@ def price_calls(calls: DataFrame, profiles: DataFrame, prices: DataFrame,
         ),
     )
     rows = pricing.with_cost_row(
-        normalized.withColumn("cost_error", reason), "_u", "accountant_model", "price_date",
+        normalized.withColumn("cost_error", reason), "_t", text, "accountant_model", "price_date",
         "rates", "spec", "_cost",
     )
     priced_call = F.col("usage").isNotNull() & F.col("cost_error").isNull()
