@@ -226,6 +226,59 @@ def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("message_bytes", lambda b: b.cast("string")), ",").alias("bytes"))
 
 
+@query("streamed_ledger", f"""WITH {TURNS},
+roots AS (SELECT conv_id, t, 'auto-' || substr(sha256(canon), 1, 10) AS sid FROM ccalls
+          WHERE t = 0 OR (t = 4 AND conv_id % 3 = 0))
+SELECT c.seq AS call_seq, arg_max(r.sid, r.t) AS session, c.canon LIKE '[%' AS parsed,
+  CASE WHEN max(r.t) = max(c.t) THEN NULL ELSE 1.0 END AS prefix_stable_ratio
+FROM ccalls c JOIN roots r ON c.conv_id = r.conv_id AND r.t <= c.t GROUP BY c.seq, c.canon""".replace(
+    "1.0 END", "CAST(1.0 AS DOUBLE) END"))
+def streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a stream of calls without ids, through the stateful operator."""
+    import uuid
+
+    from ..schemas import CALL_RAW
+    from ..streaming.live import start_ledger_stream
+
+    base = f"{staging_root(spark)}/tallyspark/stream-{uuid.uuid4().hex}"
+    derived.conversation_calls(spark, sf_dir).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(CALL_RAW).parquet(f"{base}/in")
+    running = start_ledger_stream(stream, *derived.dimensions(spark), f"{base}/out", f"{base}/checkpoint")
+    running.awaitTermination()
+    return spark.read.parquet(f"{base}/out/ledger").select(
+        "call_seq", "session", F.col("request_parse_error").isNull().alias("parsed"), "prefix_stable_ratio")
+
+
+@query("streamed_totals", f"""WITH {CALLS} SELECT CAST(day AS VARCHAR) AS ledger_day, session, count(*) AS calls,
+  CAST(sum(CASE WHEN used THEN p ELSE 0 END) AS BIGINT) AS prompt_tokens,
+  CAST(sum(CASE WHEN used THEN k ELSE 0 END) AS BIGINT) AS completion_tokens,
+  CAST(sum(CASE WHEN second THEN cached END) AS BIGINT) AS cached_tokens,
+  CAST(sum(coalesce(usd8, 0)) AS DOUBLE) / 1e8 AS cost_usd FROM step GROUP BY day, session""")
+def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running day and session totals over the ledger read as a stream, after its last batch.
+
+    Update mode writes each changed row again; the newest version of a row is its total.
+    """
+    import uuid
+
+    from ..streaming.live import running_totals
+
+    base = f"{staging_root(spark)}/tallyspark/totals-{uuid.uuid4().hex}"
+    ledger = stored(spark, sf_dir).ledger
+    ledger.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    running_totals(stream).writeStream.foreachBatch(write).outputMode("update").option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    versions = spark.read.parquet(f"{base}/out")
+    sums = ["calls", "prompt_tokens", "completion_tokens", "cached_tokens", "cost_usd"]
+    return versions.groupBy(F.col("ledger_day").cast("string").alias("ledger_day"), "session").agg(
+        F.max_by(F.struct(*sums), "batch_id").alias("s")).select("ledger_day", "session", "s.*")
+
+
 # --- Totals ---------------------------------------------------------------------------------
 
 _DAY_TOTALS = f"""

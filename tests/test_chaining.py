@@ -97,3 +97,13 @@ def test_copies_and_growing_conversations_are_one_scan_event(spark):
     growing = [(None, ["g"] + ["t"] * i) for i in range(50)]
     _, got = check(spark, {"a": copies, "b": growing}, 8, chain_sessions)
     assert len(set(got.values())) == 2
+
+
+def test_a_shared_first_message_is_cut_below_it(spark):
+    rng = random.Random(13)
+    calls = []
+    for i in range(300):
+        calls.append((None, ["sys"] + [f"u{rng.randrange(12)}"] + ["t"] * rng.randrange(5)))
+        if rng.random() < 0.1:
+            calls.append((None, ["sys"]))
+    check(spark, {"a": calls}, 40, assign_sessions)
