@@ -360,14 +360,30 @@ def measured_step_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("trace_shapes", f"""WITH {CALLS}, {LINKS} SELECT session, count(*) AS n_calls,
   arg_min(CASE WHEN parsed THEN 2 ELSE 0 END, seq) AS n_messages_first,
-  arg_max(CASE WHEN parsed THEN 2 ELSE 0 END, seq) AS n_messages_last,
-  count(ratio) AS n_ratios FROM linked WHERE CAST(day AS VARCHAR) = '2024-01-15' GROUP BY session""")
+  arg_max(CASE WHEN parsed THEN 2 ELSE 0 END, seq) AS n_messages_last
+  FROM linked WHERE CAST(day AS VARCHAR) = '2024-01-15' GROUP BY session""")
 def trace_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stored(spark, sf_dir)
     report = sessions.session_report(ledgers.day_range(t.ledger, "2024-01-15", "2024-01-15"))
-    return sessions.trace_shapes(report, t.traces, "2024-01-15").select(
-        "session", "n_calls", "n_messages_first", "n_messages_last",
-        F.size(F.filter("prefix_ratios", lambda r: r.isNotNull())).cast("bigint").alias("n_ratios"))
+    return sessions.trace_shapes(report, t.traces, "2024-01-15")
+
+
+_LABELS = """lb AS (SELECT session, 's' || CASE WHEN length(CAST(n AS VARCHAR)) >= 3 THEN CAST(n AS VARCHAR)
+  ELSE lpad(CAST(n AS VARCHAR), 3, '0') END AS label FROM
+  (SELECT session, row_number() OVER (ORDER BY session) AS n FROM
+    (SELECT DISTINCT session FROM linked WHERE CAST(day AS VARCHAR) = '2024-01-15')))"""
+
+
+@query("advisor_ratio_lists", f"""WITH {CALLS}, {LINKS}, {_LABELS} SELECT label AS session, CAST(0 AS BIGINT) AS part,
+  string_agg(CASE WHEN ratio IS NULL THEN '-' ELSE CAST(CAST(round(ratio * 1e6) AS BIGINT) AS VARCHAR) END, ',' ORDER BY seq) AS ratios
+  FROM linked JOIN lb USING (session) WHERE CAST(day AS VARCHAR) = '2024-01-15' GROUP BY label""")
+def advisor_ratio_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(spark, sf_dir)
+    report = sessions.session_report(ledgers.day_range(t.ledger, "2024-01-15", "2024-01-15"))
+    lists = privacy.advisor_tables(report, t.traces, "2024-01-15")[2]
+    millionths = lambda r: F.round(r * 1e6).cast("bigint").cast("string")
+    return lists.select("session", "part", F.array_join(
+        F.transform("prefix_ratios", lambda r: F.coalesce(millionths(r), F.lit("-"))), ",").alias("ratios"))
 
 
 @query("session_positions", f"WITH {CALLS} SELECT seq AS call_seq, "

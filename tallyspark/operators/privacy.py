@@ -13,7 +13,7 @@ from ..functions.text import hmac_sha256_hex, ledger_day
 from ..functions.usage import parse_usage
 from ..plans.ranking import global_rank
 from ..sources.ledgers import day_range, trace_day_range
-from .sessions import session_key
+from .sessions import session_key, trace_ratio_lists, trace_shapes
 
 TIER = "hash-only"  # fixed value
 SCHEMA_VERSION = 2  # fixed value
@@ -38,6 +38,21 @@ def session_dictionary(sessions: DataFrame) -> DataFrame:
     return global_rank(keys, ["session"]).select("session", _label(F.col("rank")).alias("label"))
 
 
+def advisor_tables(report: DataFrame, traces: DataFrame, day: str) -> tuple[DataFrame, ...]:
+    """What an outside advisor may see of a day: session rows, trace shapes and ratio lists,
+    all under dictionary labels."""
+    labels = session_dictionary(report)
+
+    def relabel(table: DataFrame) -> DataFrame:
+        rest = [c for c in table.columns if c != "session"]
+        return table.join(labels, "session").select(F.col("label").alias("session"), *rest)
+
+    return (
+        relabel(report), relabel(trace_shapes(report, traces, day)),
+        relabel(trace_ratio_lists(report, traces, day)),
+    )
+
+
 def first_seen_dictionary(ledger: DataFrame, traces: DataFrame) -> DataFrame:
     """(session, label) in first-seen order: ledger days and rows first, then trace-only
     sessions by name."""
@@ -101,7 +116,7 @@ def manifest(ledger: DataFrame, dictionary: DataFrame, tool_version: str,
              include_model_names: bool = False) -> DataFrame:
     """One row that describes a projected ledger; tokens count first-dialect fields only."""
     zero = F.lit(0).cast("bigint")
-    n = dictionary.agg(F.count(F.lit(1)).alias("sessions"))
+    n = dictionary.agg(F.count(F.lit(1)).alias("sessions")).scalar()
     sums = ledger.agg(
         F.count(F.lit(1)).alias("calls"),
         F.coalesce(F.sum("usage.prompt_tokens"), zero).alias("prompt_tokens"),
@@ -109,7 +124,7 @@ def manifest(ledger: DataFrame, dictionary: DataFrame, tool_version: str,
         F.sort_array(F.collect_set("model")).alias("models"),
         F.sort_array(F.collect_set(F.col("ledger_day").cast("string"))).alias("ledger_days"),
     )
-    row = sums.crossJoin(n).select(
+    row = sums.withColumn("sessions", n).select(
         F.lit(TIER).alias("tier"), F.lit(SCHEMA_VERSION).alias("schema"),
         F.lit("raw" if include_model_names else "pseudonymized").alias("model_names"),
         F.lit(tool_version).alias("tool_version"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import pricing
 from ..functions.rounding import from_units, py_round, to_units
 from ..functions.usage import call_tokens
-from ..plans.ordered import CHUNK, HOT_ROWS, across_chunks, in_chunk, tag_chunks
+from ..plans.ordered import CHUNK, HOT_ROWS, across_chunks, in_chunk, tag_chunks, with_position
 
 UNKNOWN_SESSION = "?"
 _RATIO_DIGITS = 12
@@ -325,29 +325,35 @@ def measured_step_cost(report: DataFrame) -> DataFrame:
     )
 
 
+def _day_events(report: DataFrame, traces: DataFrame, day: str) -> DataFrame:
+    return traces.filter(F.startswith("ts", F.lit(day))).join(
+        report.select("session"), "session", "left_semi"
+    )
+
+
 def trace_shapes(report: DataFrame, traces: DataFrame, day: str) -> DataFrame:
-    """Per session with trace events that day: calls, first and last message count, and the
-    ordered ratios.
+    """Per session with trace events that day: calls, first and last message count.
 
-    ``prefix_ratios`` is the per-session list the advisor summary consists of; use
-    :func:`trace_ratio_rows` for sessions too long for one array.
+    The ordered ratios of the same sessions are in :func:`trace_ratio_lists`.
     """
-    events = traces.filter(F.startswith("ts", F.lit(day))).join(
-        report.select("session"), "session", "left_semi"
-    )
-    shaped = events.groupBy("session").agg(
+    return _day_events(report, traces, day).groupBy("session").agg(
         F.count(F.lit(1)).alias("n_calls"),
         F.min_by("n_messages", "call_seq").alias("n_messages_first"),
         F.max_by("n_messages", "call_seq").alias("n_messages_last"),
-        F.array_sort(F.collect_list(F.struct("call_seq", "prefix_stable_ratio"))).alias("_r"),
     )
-    return shaped.withColumn("prefix_ratios", F.col("_r")["prefix_stable_ratio"]).drop("_r")
 
 
-def trace_ratio_rows(report: DataFrame, traces: DataFrame, day: str) -> DataFrame:
-    """The same ratios as rows (session, call_seq, ratio), with no per-session collection."""
-    return (
-        traces.filter(F.startswith("ts", F.lit(day)))
-        .join(report.select("session"), "session", "left_semi")
-        .select("session", "call_seq", "n_messages", "prefix_stable_ratio")
+def trace_ratio_lists(report: DataFrame, traces: DataFrame, day: str,
+                      part_rows: int = 100_000) -> DataFrame:
+    """(session, part, prefix_ratios): the ratios in call order, at most ``part_rows`` per row.
+
+    A session has one row unless it is longer than that; no ratio is left out and no list
+    grows with the session.
+    """
+    events = _day_events(report, traces, day).select("session", "call_seq", "prefix_stable_ratio")
+    placed = with_position(events, ["session"], "call_seq", "_pos")
+    part = F.floor(F.col("_pos") / part_rows).cast("bigint")
+    entries = F.array_sort(F.collect_list(F.struct("_pos", "prefix_stable_ratio")))
+    return placed.groupBy("session", part.alias("part")).agg(entries.alias("_r")).select(
+        "session", "part", F.col("_r")["prefix_stable_ratio"].alias("prefix_ratios")
     )

@@ -71,8 +71,9 @@ def match_skills(actions: DataFrame, skills: DataFrame, hot_rows: int = HOT_ROWS
 def price_skills(skills: DataFrame, step_cost: DataFrame,
                  remaining_turns: int = economics.DEFAULT_REMAINING_TURNS) -> DataFrame:
     """The price report of a library; ``step_cost`` is one row with ``step_cost_tok_eq``."""
-    sized = skills.crossJoin(F.broadcast(step_cost.select("step_cost_tok_eq").limit(1))).withColumn(
-        "body_tokens", economics.estimate_tokens(F.col("body"))
+    price = step_cost.select("step_cost_tok_eq").limit(1).scalar()
+    sized = skills.withColumns(
+        {"step_cost_tok_eq": price, "body_tokens": economics.estimate_tokens(F.col("body"))}
     )
     priced = sized.withColumns(
         {
