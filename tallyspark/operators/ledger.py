@@ -119,7 +119,7 @@ def build_ledger(call_raw: DataFrame, profiles: DataFrame, prices: DataFrame,
 
     Bodies are parsed once into a staged narrow table; sessions, previous-call links and
     prices work on that.  The linked rows are staged too, because the ledger, the traces and
-    the text comparison all read them.
+    the text comparison all read them, and so is the outcome of that comparison.
     """
     calls = stage(parse_calls(call_raw), "calls")
     linked = link_previous(assign_sessions(calls, hot_rows), hot_rows)
@@ -129,7 +129,7 @@ def build_ledger(call_raw: DataFrame, profiles: DataFrame, prices: DataFrame,
         ),
         "linked",
     )
-    lcp = differing_prefix(compared, call_raw)
+    lcp = stage(differing_prefix(compared, call_raw), "lcp")
     settled = compared.filter(~F.col("texts_differ")).withColumn("lcp", F.lit(None).cast("int"))
     rewritten = compared.filter("texts_differ").join(lcp, "call_seq", "left")
     rows = settled.unionByName(rewritten.select(*settled.columns)).withColumn(

@@ -9,7 +9,7 @@ from ..functions.pricing import PREFIX_MUTATION_MULTIPLIER
 from ..functions.rounding import py_round
 from ..functions.text import common_prefix_len
 from ..plans.ordered import HOT_ROWS, with_previous
-from .calls import message_texts, request_of
+from .calls import request_of
 
 _SEGMENTS = ("tools", "system", "model")
 
@@ -112,8 +112,8 @@ def differing_prefix(compared: DataFrame, call_raw: DataFrame) -> DataFrame:
     ).select("owner", "shared_messages", F.col("t.seq").alias("call_seq"), F.col("t.own").alias("own"))
     texts = wanted.join(call_raw.select("call_seq", "request_body"), "call_seq").select(
         "owner", "own",
-        F.try_element_at(
-            message_texts(request_of(F.col("request_body"))), F.col("shared_messages") + 1
+        F.to_json(
+            F.try_element_at(request_of(F.col("request_body"))["messages"], F.col("shared_messages") + 1)
         ).alias("text"),
     )
     pairs = texts.groupBy("owner").agg(

@@ -158,7 +158,13 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
         F.transform("_s", lambda e: F.transform(e["k"], lambda s: F.struct(s.alias("k"), e["v"].alias("v"))))
     )
     growth = compounding_growth(ledger, by, hot_rows)
-    joined = merged.withColumn("_s", causes).join(growth, list(by), "left")
+    # A call without a readable time has a NULL day, which must find its own growth.
+    other = growth.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    same = F.lit(True)
+    for k in by:
+        right = F.col(f"_k_{k}")
+        same = same & (F.col(k) == right if k == "session" else F.col(k).eqNullSafe(right))
+    joined = merged.withColumn("_s", causes).join(other, same, "left")
 
     no_cache = F.col("cache_known_calls") == 0
     known = F.when(~no_cache, F.col("known_cached"))
