@@ -30,7 +30,7 @@ def tag_chunks(df: DataFrame, keys: Sequence[str], order: str,
     hot = per_key.filter(F.col("_n") > hot_rows).select(
         *keys, F.col("_low"), width.cast("bigint").alias("_width"), F.lit(True).alias("_hot")
     )
-    chunk = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
+    chunk = F.expr(f"(`{order}` - _low) div _width")
     return (
         df.join(F.broadcast(hot), list(keys), "left")
         .withColumn(CHUNK, F.coalesce(chunk, F.lit(0).cast("bigint")))
