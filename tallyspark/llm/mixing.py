@@ -15,7 +15,8 @@ result is a cut-off hash per leaf, so documents are filtered in place and texts
 Nulls: a null level is the node ``(none)``; a null text has no tokens and is never needed to
 fill a budget, but belongs to whole epochs.  Repeated rows share one place in the order and are
 taken or left together.  A weight of 0 gives nothing; nodes without a stated weight have 1.
-An empty table gives an empty result.  The names ``epoch`` and ``n_tokens`` must be free.
+An empty table gives an empty result.  Input columns named ``epoch`` or ``n_tokens`` are
+replaced.
 
 All sums are integers, so results do not depend on partitioning.
 """
@@ -114,9 +115,7 @@ def mix(
     ``budget`` is a number of tokens, or as a float the share of all tokens.  ``key`` names the
     columns that identify a row for the seeded order.
     """
-    taken = {c.lower() for c in docs.columns} & {"epoch", "n_tokens"}
-    if taken:
-        raise ValueError(f"columns already exist: {sorted(taken)}")
+    kept = [c for c in docs.columns if c.lower() not in ("epoch", "n_tokens")]
     names = [f"_level{i}" for i in range(len(levels))]
     tagged = docs.withColumns({
         **{n: F.coalesce(c.cast("string"), F.lit("(none)")) for n, c in zip(names, levels.values(), strict=True)},
@@ -159,11 +158,13 @@ def mix(
         .filter(F.col("_before") < F.col("part"))
         .groupBy(*names).agg(F.max("_order").alias("cut"))
     )
-    chosen = plan.join(cuts, names, "left").select(*names, "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    chosen = plan.join(cuts, names, "left").select(
+        *names, F.col("whole").alias("_whole"), F.coalesce("cut", F.lit(-1)).alias("_cut")
+    )
     return (
         tagged.join(stage(chosen, "cuts"), names)
-        .withColumn("_uses", F.col("whole") + (order(F.col("whole")) <= F.col("cut")).cast("bigint"))
+        .withColumn("_uses", F.col("_whole") + (order(F.col("_whole")) <= F.col("_cut")).cast("bigint"))
         .filter(F.col("_uses") > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_uses") - 1).cast("int"))))
-        .select(*docs.columns, "n_tokens", "epoch")
+        .select(*kept, "n_tokens", "epoch")
     )

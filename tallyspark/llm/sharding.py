@@ -7,8 +7,8 @@ change moves rows only into or out of that shard.
 
 Nulls: a null key counts as the key ``null``; a null text has no bytes.  Rows with equal keys
 go to one shard.  Repeated rows keep their number and get slots of their own.  An empty table
-gives an empty result.  Columns of the input stay; the added names must be free, otherwise
-``ValueError``.
+gives an empty result.  Columns of the input stay; one that has the name of an added column is
+replaced.
 """
 
 from __future__ import annotations
@@ -44,19 +44,14 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-best["rank"]).cast("int")
 
 
-def _free(df: DataFrame, names: Sequence[str]) -> None:
-    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if taken:
-        raise ValueError(f"columns already exist: {sorted(taken)}")
-
-
 def assign_shards(
     df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None
 ) -> DataFrame:
     """Add ``shard``, and with ``grown`` weights also ``grown_shard``: a projection, no shuffle."""
-    _free(df, ["shard"] + ["grown_shard"] * (grown is not None))
-    out = df.withColumn("shard", rendezvous(df[key], weights))
-    return out if grown is None else out.withColumn("grown_shard", rendezvous(df[key], grown))
+    added = {"shard": rendezvous(df[key], weights)}
+    if grown is not None:
+        added["grown_shard"] = rendezvous(df[key], grown)
+    return df.withColumns(added)
 
 
 def number_slots(df: DataFrame, shard: str = "shard") -> DataFrame:
@@ -65,8 +60,7 @@ def number_slots(df: DataFrame, shard: str = "shard") -> DataFrame:
     Equal rows are counted once and numbered as a run, so a row repeated any number of times
     is no hot key.  Select narrow columns first; all columns travel.
     """
-    _free(df, ["slot"])
-    names = df.columns
+    names = [c for c in df.columns if c.lower() != "slot"]
     rows = stage(
         df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_order", hash60(*[F.col(n) for n in names])),
