@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, token_files, zip_archives
+from . import html_text, mixing, sharding, token_files, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,11 @@ SELECT page_id, payload_bytes, payload_digest,
 def op3_zip_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_archives.archive_digests(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Main text (1)
+
+
+@query("op1_html_main_text")
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
