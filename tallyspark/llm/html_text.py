@@ -275,7 +275,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = [f for f in pages.schema.fields if f.name.lower() not in ("text", "n_chars")]
     names = [f.name for f in kept]
     source = pages[html].cast("string").alias("_html")
-    schema = StructType(kept).add("text", StringType()).add("n_chars", LongType())
+    schema = StructType(list(kept)).add("text", StringType()).add("n_chars", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

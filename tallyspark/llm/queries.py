@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, sharding, token_files, zip_archives
+from . import html_text, mixing, sharding, token_files, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,20 @@ def op3_zip_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_main_text")
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+# Toxicity (2)
+
+#: The chain's order; the last category decides.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def toxic_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+@query("op2_toxicity_chain")
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.toxic_scores(docs.select("doc_id", "text"), toxic_labels(labels), CATEGORIES)
+    return scored.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), F.col("rejected").alias("toxic"))
