@@ -4,8 +4,9 @@
 id, and packs the ids of a shard without gaps into sequences of ``length`` ids.  A shard is two
 Arrow files with a footer (random access):
 
-* sequences: ``input_ids`` fixed-size list of uint32, ``mask`` fixed-size list of uint8
-  (1: an id, 0: the padding behind the shard's last id), ``rows_per_batch`` sequences a batch,
+* sequences: ``input_ids`` fixed-size list of uint16 (uint32 for a vocabulary of more than 65,536
+  ids), ``mask`` fixed-size list of bits (1: an id, 0: the padding behind the shard's last id),
+  ``rows_per_batch`` sequences a batch,
 * documents: ``doc_id``, ``start`` (in the shard) and ``n_tokens``.
 
 Every batch but the last is full, so id i of a shard is in batch ``i // (length *
@@ -42,7 +43,7 @@ _BLANK = re.compile("[ \t\n\r]+")
 
 
 class Encoder:
-    """Whole texts to little-endian uint32 ids.
+    """Whole texts to little-endian ids of ``dtype``.
 
     The vocabulary's pre-tokenizer never joins characters across blanks, and neither NFC nor
     lower-casing looks across them, so the ids of a text are those of its blank-separated words
@@ -53,11 +54,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in found]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -76,21 +78,25 @@ class Encoder:
             yield b"".join(ids[w] if w in ids else memo[w] if w in memo else self._encode([w])[0] for w in words)
 
 
-def _schema(length: int) -> pa.Schema:
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
+def _schema(length: int, dtype: np.dtype) -> pa.Schema:
     return pa.schema([
-        ("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))
+        ("input_ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))
     ], metadata={"length": str(length)})
 
 
 def _batch(ids: np.ndarray, length: int) -> pa.RecordBatch:
     """Sequences of the ids, the last one padded."""
     rows = -(-len(ids) // length)
-    values, mask = np.zeros(rows * length, "<u4"), np.zeros(rows * length, np.uint8)
-    values[: len(ids)], mask[: len(ids)] = ids, 1
+    values, mask = np.zeros(rows * length, ids.dtype), np.arange(rows * length) < len(ids)
+    values[: len(ids)] = ids
     return pa.record_batch([
         pa.FixedSizeListArray.from_arrays(pa.array(values), length),
         pa.FixedSizeListArray.from_arrays(pa.array(mask), length),
-    ], schema=_schema(length))
+    ], schema=_schema(length, ids.dtype))
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -104,8 +110,6 @@ def write_tokens(
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "tokens")
     held = spark.sparkContext.broadcast(vocabulary)  # one vocabulary file, a few MB
-    end = np.asarray([end_id], "<u4").tobytes()
-    full = length * rows_per_batch * 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,11 +121,13 @@ def write_tokens(
                 continue
             if encode is None:
                 encode = Encoder(held.value)
+                end, width = np.asarray([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
+                full = length * rows_per_batch * width
                 system, root = opened(folder)
                 system.create_dir(root, recursive=True)
                 name = attempt_name("tokens")
                 sinks = [system.open_output_stream(f"{root}/{name}.{kind}.arrow") for kind in ("seq", "doc")]
-                sequences = pa.ipc.new_file(sinks[0], _schema(length))
+                sequences = pa.ipc.new_file(sinks[0], _schema(length, encode.dtype))
                 index = pa.ipc.new_file(sinks[1], _DOCS)
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids, starts, sizes = part.column("doc_id").to_pylist(), [], []
@@ -129,17 +135,17 @@ def write_tokens(
                     rest += data
                     rest += end
                     starts.append(at)
-                    sizes.append(len(data) // 4 + 1)
+                    sizes.append(len(data) // width + 1)
                     at += sizes[-1]
                     while len(rest) >= full:
-                        sequences.write(_batch(np.frombuffer(bytes(rest[:full]), "<u4"), length))
+                        sequences.write(_batch(np.frombuffer(bytes(rest[:full]), encode.dtype), length))
                         del rest[:full]
                 index.write(pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_DOCS))
                 count += len(ids)
         if encode is None:
             return
         if rest:
-            sequences.write(_batch(np.frombuffer(bytes(rest), "<u4"), length))
+            sequences.write(_batch(np.frombuffer(bytes(rest), encode.dtype), length))
         for writer in (sequences, index):
             writer.close()
         for sink in sinks:
@@ -168,10 +174,11 @@ class TokenShard:
         self.held = (0, first)
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of one sequence, as views."""
+        """The ids of one sequence, as a view, and its mask."""
         batch = self._get(row * self.length // self.per_batch)
         at = row % (self.per_batch // self.length) * self.length
-        return tuple(batch.column(c).values.to_numpy()[at : at + self.length] for c in (0, 1))
+        ids, mask = (batch.column(c).values.slice(at, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def _get(self, number: int) -> pa.RecordBatch:
         if self.held[0] != number:
@@ -203,7 +210,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     for start, count in zip(part.column("start").to_pylist(), part.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for view in shard.ids(start, count):
-                            crc = zlib.crc32(np.ascontiguousarray(view), crc)
+                            crc = zlib.crc32(view.astype("<u4"), crc)
                         crcs.append(crc)
                     starts = part.column("start").to_numpy() + row["base"]
                     yield pa.record_batch([part.column("doc_id"), pa.array(starts), part.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
