@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, mixing, sharding, token_files, toxicity, zip_archives
+from . import decontamination, embedding_join, html_text, mixing, sharding, token_files, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +199,20 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+# Embedding near-duplicates (7)
+
+
+@query("op7_epsilon_grid_join", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT vec_id, x FROM e WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND list_dot_product(x, x) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (WITH RECURSIVE reach(u, v) AS (SELECT u, v FROM l UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u) SELECT * FROM reach),
+c AS (SELECT u, min(v) AS least FROM r GROUP BY u), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM e LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id""")
+def op7_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.link_vectors(table(spark, sf_dir, "embeddings"))
