@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_join, html_text, mixing, sharding, token_files, toxicity, zip_archives
+from . import dart_minhash, decontamination, embedding_join, html_text, mixing, sharding, token_files, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,11 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(c.least,
 FROM e LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id""")
 def op7_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# MinHash near-duplicates (4)
+
+
+@query("op4_dart_minhash")
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
