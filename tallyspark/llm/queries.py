@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontamination, embedding_join, html_text, mixing, sharding, token_files, toxicity, zip_archives
+from . import dart_minhash, decontamination, embedding_join, html_text, mixing, paragraph_dedup, sharding, token_files, toxicity, zip_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,3 +224,11 @@ def op7_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_dart_minhash")
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Substring dedup (8)
+
+
+@query("op8_paragraph_minhash")
+def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
