@@ -78,7 +78,7 @@ def _darts(owner, shingle, low, width, weight, bound, out) -> None:
     region = np.repeat(np.arange(len(owner)), segments)
     segment = np.arange(len(region)) - np.repeat(np.cumsum(segments) - segments, segments)
     with np.errstate(over="ignore"):
-        state = mix(shingle[region] ^ mix(np.log2(low[region] + 1).astype(np.uint64) * np.uint64(1 << 32) + segment.astype(np.uint64), 3), 5)
+        state = mix(shingle[region] ^ mix(low[region].astype(np.uint64) * np.uint64(1 << 32) + segment.astype(np.uint64), 3), 5)
     start = segment * _SEGMENT
     end = np.minimum(start + _SEGMENT, bound[owner[region]])
     rank = start.astype(float)

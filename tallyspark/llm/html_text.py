@@ -180,6 +180,9 @@ class _Page(HTMLParser):
         return weight + 25 * likely, False
 
     def finish(self, html: str) -> None:
+        last = html.rfind("<!--")
+        if last >= 0 and html.find("-->", last) < 0:
+            html = html[:last]  # a comment that is never closed
         self.feed(html)
         self.close()
         while len(self.stack) > 1:
