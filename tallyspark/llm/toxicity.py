@@ -157,7 +157,7 @@ class Chain:
     def __init__(self, features: Sequence[set[int]], dense: np.ndarray, labels: np.ndarray, part: np.ndarray):
         """labels: documents x categories; part: the fold of each document."""
         rows, ids = _flat(features)
-        self.models, self.cut = [], 1.0
+        self.models, self.cut, self.fitted = [], 1.0, False
         for c in range(labels.shape[1]):
             y = labels[:, c].astype(float)
             held = np.zeros(len(y))
@@ -168,7 +168,7 @@ class Chain:
                     held[out] = model.predict(*_pick(rows, ids, out), dense[out])
             self.models.append(Linear(rows, ids, dense, y))
             if c == labels.shape[1] - 1 and 0 < y.sum() < len(y):
-                self.cut = best_cut(held, y)
+                self.cut, self.fitted = best_cut(held, y), True
             dense = np.column_stack([dense, _logit(held)])
 
     def predict(self, features: Sequence[set[int]], dense: np.ndarray) -> np.ndarray:
@@ -214,13 +214,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sam
         dense = np.array([k[1] for k in order], float).reshape(len(order), 8)
         marks = np.array([seen[k] for k in order], int).reshape(len(order), len(names))
         chain = Chain(features, dense, marks, np.arange(len(order)) % FOLDS)
-        fitted = {"cut": chain.cut, "models": [vars(m) for m in chain.models]}
+        fitted = {"cut": chain.cut, "fitted": chain.fitted, "models": [vars(m) for m in chain.models]}
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fitted)]})
 
     featured = rows.mapInArrow(featurize, "words array<bigint>, shape array<double>, labels array<int>")
     fitted = pickle.loads(featured.coalesce(1).mapInArrow(train, "model binary").first()[0])
     chain = Chain.__new__(Chain)
-    chain.cut, chain.models = fitted["cut"], []
+    chain.cut, chain.fitted, chain.models = fitted["cut"], fitted["fitted"], []
     for state in fitted["models"]:
         model = Linear.__new__(Linear)
         vars(model).update(state)
@@ -245,7 +245,7 @@ def score(docs: DataFrame, chain: Chain, categories: Sequence[str]) -> DataFrame
                 found = [document_features(t, memo) for t in part.column(part.num_columns - 1).to_pylist()]
                 p = chain.predict([f for f, _ in found], np.array([s for _, s in found], float))
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
-                columns += [pa.array(p[:, i]) for i in range(p.shape[1])] + [pa.array(p[:, -1] >= chain.cut)]
+                columns += [pa.array(p[:, i]) for i in range(p.shape[1])] + [pa.array((p[:, -1] >= chain.cut) & chain.fitted)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     return docs.select(*names, text).mapInArrow(run, schema)

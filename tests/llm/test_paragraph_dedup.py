@@ -62,11 +62,11 @@ def test_repeats_inside_one_document_and_short_lines_stay(spark):
 
 def test_removal_keeps_everything_else(spark):
     shared = passage(6)
-    rows = [(1, f"Head. {shared} Tail words."), (2, f"Other. {shared} End words."), (3, "Alone."), (4, None), (None, shared)]
+    rows = [(1, f"Head. {shared} Tail words.\n{passage(5)}"), (2, f"Other line.\n{shared}\n{passage(5)} End words."), (3, "Alone."), (4, None), (None, shared)]
     docs = spark.createDataFrame(rows, DDL).selectExpr("doc_id", "text", "1 AS start", "2 AS _extra")
     got = {r.doc_id: r for r in pd.remove_repeats(docs).collect()}
     assert got[1].text == rows[0][1] and got[3].text == "Alone." and got[4].text is None and got[None].text == shared
-    assert got[2].text.startswith("Other.") and got[2].text.endswith("End words.")
+    assert got[2].text.startswith("Other line.") and got[2].text.endswith("End words.")
     assert len(got[2].text) < len(rows[1][1]) - 0.8 * len(shared)
     assert got[2].start == 1 and got[2]._extra == 2
 
