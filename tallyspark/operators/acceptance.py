@@ -11,7 +11,6 @@ from ..plans.bounds import bounded_broadcast
 
 UNAVAILABLE = "ACCEPTANCE_UNAVAILABLE"
 EMPTY_PATCH = "empty_patch"
-DETAIL_CHARS = 400
 
 
 def usable_commands(command_sets: DataFrame, kind_key: str = "D2") -> DataFrame:
@@ -51,10 +50,8 @@ def operating_points(trials: DataFrame, command_sets: DataFrame, kind_key: str =
         passed.alias("n_pass"),
         bound("point"), bound("ci_low"), bound("ci_high"),
         F.lit("wilson").alias("ci_method"),
-        F.substring(
-            F.when(~open_, F.lit(UNAVAILABLE)).when(blank, F.lit(EMPTY_PATCH)).otherwise(F.col("_detail")),
-            1, DETAIL_CHARS,
-        ).alias("detail"),
+        F.when(~open_, F.lit(UNAVAILABLE)).when(blank, F.lit(EMPTY_PATCH)).otherwise(F.col("_detail"))
+        .alias("detail"),
         "available",
         F.lit(command_set_id).alias("command_set_id"),
         F.lit(command_set_sha).cast("string").alias("command_set_sha"),
