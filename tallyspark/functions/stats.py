@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .rounding import py_round
 
@@ -15,9 +20,6 @@ PUBLISHED_DISCORDANT_RATE = 0.219
 PUBLISHED_SPLIT = 0.135 / 0.219
 MIN_PAIRS_FOR_A_NEGATIVE = 60
 
-_SMALL = 1000  # 2**-1000 is still a normal double
-_FEW = 500
-
 
 def wilson_interval(passed: Column, trials: Column, z: float = 1.96) -> Column:
     """STRUCT<point, ci_low, ci_high>, clamped to [0, 1]; (0, 0, 1) without trials."""
@@ -40,59 +42,53 @@ def wilson_interval(passed: Column, trials: Column, z: float = 1.96) -> Column:
     )
 
 
-def _stirling_error(x: Column) -> Column:
-    """ln(x!) minus Stirling's formula, for x above a few hundred."""
-    return (F.lit(1 / 12.0) - (F.lit(1 / 360.0) - F.lit(1 / 1260.0) / (x * x)) / (x * x)) / x
+# Executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _stirling_error(x: float) -> float:
+    """ln(x!) minus Stirling's formula."""
+    if x < 32:
+        return math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+
+
+def _half_tail(k: int, n: int) -> float:
+    """P(X <= k) of Binomial(n, 1/2), to a relative error of about 1e-11.
+
+    The term at k in a log form that neither overflows nor cancels, and the terms below it,
+    summed in blocks until they no longer count.
+    """
+    if k == 0:
+        return math.exp(-n * math.log(2))
+    d = (2 * k - n) / n
+    deviance = n / 2 * ((d + 1) * math.log1p(d) + (1 - d) * math.log1p(-d))
+    term = math.exp(
+        _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - deviance
+        + 0.5 * math.log(n / (2 * math.pi * k * (n - k))))
+    total, last, at = 1.0, 1.0, k
+    while at > 0 and last > 1e-18 * total:
+        i = np.arange(at, max(0, at - 4096), -1, dtype=float)
+        terms = last * np.cumprod(i / (n - i + 1))
+        total, last, at = total + float(terms.sum()), float(terms[-1]), at - len(i)
+    return term * total
+
+
+@F.pandas_udf(DoubleType())
+def _two_sided(helped: pd.Series, harmed: pd.Series) -> pd.Series:
+    # One row per experiment arm.
+    pairs = zip(helped.tolist(), harmed.tolist(), strict=True)
+    return pd.Series([
+        None if a != a or b != b or not a + b else min(1.0, 2 * _half_tail(int(min(a, b)), int(a + b))) for a, b in pairs
+    ], dtype=float)
 
 
 def mcnemar_exact(helped: Column, harmed: Column) -> Column:
     """Two-sided exact McNemar p-value; NULL without discordant pairs.
 
-    Twice the lower tail of Binomial(n, 1/2) at k = min(helped, harmed).  Up to 1,000 pairs
-    the tail is summed upwards from 2**-n.  Beyond that the term at k comes from a log form
-    that does not overflow, and the tail is summed downwards until the terms are below
-    double precision, which takes about sqrt(n) of them, however many pairs there are.
+    Twice the lower tail of Binomial(n, 1/2) at min(helped, harmed), by one form for all sizes.
     """
-    n = (helped + harmed).cast("double")
-    k = F.least(helped, harmed).cast("double")
-
-    def upward(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    first = F.pow(F.lit(0.5), n)
-    start = F.struct(first.alias("term"), first.alias("total"))
-    up_to = F.least(k, F.lit(float(_SMALL))).cast("int")
-    small_tail = F.aggregate(
-        F.when(up_to >= 1, F.sequence(F.lit(1), up_to)).otherwise(F.array().cast("array<int>")),
-        start, upward,
-    )["total"]
-
-    few = F.least(k, F.lit(float(_FEW))).cast("int")
-    log_choose = F.aggregate(
-        F.when(few >= 1, F.sequence(F.lit(1), few)).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i),
-    )
-    by_product = log_choose - n * F.lit(math.log(2.0))
-    d = (k + k - n) / n
-    deviance = n / 2 * ((d + 1) * F.log1p(d) + (F.lit(1.0) - d) * F.log1p(-d))
-    by_saddle = (
-        _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k)
-        - deviance + F.lit(0.5) * F.log(n / (F.lit(2 * math.pi) * k * (n - k)))
-    )
-    log_term = F.when(k <= _FEW, by_product).otherwise(by_saddle)
-
-    def downward(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (k - i + 1) / (n - k + i)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    reach = F.least(k, F.lit(10.0) * F.sqrt(n) + 50).cast("int")
-    ratio_sum = F.aggregate(
-        F.when(reach >= 1, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>")),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), downward,
-    )["total"]
-    tail = F.when(n <= _SMALL, small_tail).otherwise(F.exp(log_term) * ratio_sum)
-    return F.when(n > 0, F.least(F.lit(1.0), F.lit(2.0) * tail))
+    return _two_sided(helped.cast("bigint"), harmed.cast("bigint"))
 
 
 def discordant_rate(helped: Column, harmed: Column, pairs: Column) -> Column:

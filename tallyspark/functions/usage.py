@@ -147,8 +147,12 @@ def with_usage(df: DataFrame, name: str = "_res") -> DataFrame:
 
 
 def parse_usage(usage: Column) -> Column:
-    """Typed token fields of a usage JSON text (NULL when there is no usage)."""
-    return F.when(usage.isNotNull(), F.from_json(usage, USAGE_DDL))
+    """Typed token fields of a usage JSON text (NULL when there is no usage).
+
+    A count may be sent as ``100.0``; that is the same count.
+    """
+    counts = F.regexp_replace(usage, r"(?<=[:\s])(-?\d+)\.0+(?=\s*[,}])", "$1")
+    return F.when(usage.isNotNull(), F.from_json(counts, USAGE_DDL))
 
 
 def normalize_anthropic(tokens: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson_interval
 from ..functions.trajectory import is_blank
-from ..plans.bounds import bounded_broadcast
 
 UNAVAILABLE = "ACCEPTANCE_UNAVAILABLE"
 EMPTY_PATCH = "empty_patch"
@@ -36,7 +35,7 @@ def operating_points(trials: DataFrame, command_sets: DataFrame, kind_key: str =
         F.every(is_blank(F.col("patch"))).alias("_blank"),
     )
     known = counted.join(
-        bounded_broadcast(usable_commands(command_sets, kind_key).dropDuplicates(["task_id"])),
+        usable_commands(command_sets, kind_key).dropDuplicates(["task_id"]),
         "task_id", "left",
     ).withColumn("available", F.coalesce("available", F.lit(False)))
     open_, blank = F.col("available"), F.col("_blank")

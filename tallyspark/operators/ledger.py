@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import pricing
 from ..functions.text import ledger_day
 from ..functions.usage import normalized_tokens, normalized_usage_json, parse_usage
-from ..plans.bounds import bounded_broadcast
 from ..plans.local import columns_of, local_table
 from ..plans.ordered import HOT_ROWS
 from ..plans.staging import stage
@@ -61,7 +60,7 @@ def price_calls(calls: DataFrame, profiles: DataFrame, prices: DataFrame,
                 cache_schemas: DataFrame) -> DataFrame:
     """Add ``cost``, ``cost_error`` and ``cost_quality`` to rows with dialect and usage."""
     priced = calls.join(
-        bounded_broadcast(routes(profiles, prices, cache_schemas)), "dialect", "left"
+        routes(profiles, prices, cache_schemas), "dialect", "left"
     )
     typed = (
         F.col("usage_tokens") if "usage_tokens" in calls.columns else parse_usage(F.col("usage"))

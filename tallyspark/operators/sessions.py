@@ -23,6 +23,12 @@ _SUMS = (
 )
 
 
+def _total(name: str) -> Column:
+    """Counts of 10**-12 pass a BIGINT after nine million calls, so those sum as decimals."""
+    wide = F.col(name).cast("decimal(28,0)") if name == "ratio_units" else F.col(name)
+    return F.sum(wide).alias(name)
+
+
 def session_key(session: Column) -> Column:
     return F.coalesce(F.nullif(session, F.lit("")), F.lit(UNKNOWN_SESSION))
 
@@ -107,7 +113,7 @@ def compounding_growth(ledger: DataFrame, by: Sequence[str] = ("session",),
         F.min_by("_p", "call_seq").alias("_first"),
         F.max_by("_p", "call_seq").alias("_last"),
         F.coalesce(F.sum("_g"), F.lit(0)).alias("_g"),
-        F.coalesce(F.sum(F.col("_g") * F.col("_i")), F.lit(0)).alias("_gi"),
+        F.coalesce(F.sum((F.col("_g") * F.col("_i")).cast("decimal(28,0)")), F.lit(0)).alias("_gi"),
     )
     over = across_chunks(by)
     before = over.rowsBetween(-(2**31), -1)
@@ -141,10 +147,10 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
     """
     facts = _call_facts(ledger, by)
     partial = facts.groupBy(*by, "_quality", "_segments", "_model").agg(
-        *[F.sum(c).alias(c) for c in _SUMS]
+        *[_total(c) for c in _SUMS]
     )
     merged = partial.groupBy(*by).agg(
-        *[F.sum(c).alias(c) for c in _SUMS],
+        *[_total(c) for c in _SUMS],
         F.collect_list(F.struct(F.col("_quality").alias("k"), F.col("calls").alias("v"))).alias("_q"),
         F.collect_list(
             F.when(

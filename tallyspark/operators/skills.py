@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import economics
-from ..plans.bounds import bounded_broadcast
 from ..plans.ordered import HOT_ROWS, with_position
 
 
@@ -36,15 +35,21 @@ def recent_actions(actions: DataFrame, length: int, hot_rows: int = HOT_ROWS) ->
     )
 
 
-def match_skills(actions: DataFrame, skills: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def match_skills(actions: DataFrame, skills: DataFrame, hot_rows: int = HOT_ROWS,
+                 presented: int = economics.GATES["max_presented_per_task"]) -> DataFrame:
     """For each action, the skills whose whole signature was just performed, best first, at
-    most the presentation cap.
+    most ``presented``.  No more than that many skills of one signature can be among them, so
+    each signature is cut to its best before the join.
 
     Every suffix of the recent window that has the length of some signature is an equi-join
     key.  The signature lengths (a handful of integers) are the only thing read up front.
     """
-    keyed = skills.filter(F.size("signature") > 0).select(
-        "name", "steps_replaced", "file_order", "signature"
+    of_signature = Window.partitionBy("signature").orderBy(F.col("steps_replaced").desc(), F.col("file_order"))
+    keyed = (
+        skills.filter(F.size("signature") > 0)
+        .withColumn("_rank", F.row_number().over(of_signature))
+        .filter(F.col("_rank") <= presented)
+        .select("name", "steps_replaced", "file_order", "signature")
     )
     lengths = sorted(r[0] for r in keyed.select(F.size("signature")).distinct().collect())
     if not lengths:
@@ -57,13 +62,13 @@ def match_skills(actions: DataFrame, skills: DataFrame, hot_rows: int = HOT_ROWS
     )
     hits = recent.select(
         "session", "action_seq", F.explode(suffixes).alias("signature")
-    ).join(bounded_broadcast(keyed), "signature")
+    ).join(keyed, "signature")
     best = Window.partitionBy("session", "action_seq").orderBy(
         F.col("steps_replaced").desc(), F.col("file_order")
     )
     return (
         hits.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= economics.GATES["max_presented_per_task"])
+        .filter(F.col("rank") <= presented)
         .select("session", "action_seq", "rank", "name", "steps_replaced")
     )
 

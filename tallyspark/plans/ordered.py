@@ -4,8 +4,6 @@ A window partitioned by session puts a whole session into one task.  Here a key
 than ``hot_rows`` rows is cut into chunks of about that many rows along its order column;
 each chunk is windowed on its own, one summary row per chunk is windowed per key, and the
 result is carried back to the chunk.  Ordinary keys keep chunk 0 and need one shuffle.
-
-The hot keys number at most ``rows / hot_rows`` by definition, so broadcasting them is safe.
 """
 
 from __future__ import annotations
@@ -17,25 +15,28 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 CHUNK = "_chunk"
+#: Approximate quantiles of a hot key's order values, from which its chunk bounds are taken.
+QUANTILES = 1000
 
 
 def tag_chunks(df: DataFrame, keys: Sequence[str], order: str,
                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``_hot`` and ``_chunk``.  Keys must not be NULL; ``order`` is a unique BIGINT."""
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")
-    )
-    pieces = F.ceil(F.col("_n") / F.lit(hot_rows))
-    width = F.greatest(F.lit(1), F.floor((F.col("_high") - F.col("_low") + 1) / pieces))
-    hot = per_key.filter(F.col("_n") > hot_rows).select(
-        *keys, F.col("_low"), width.cast("bigint").alias("_width"), F.lit(True).alias("_hot")
+    # Chunks hold about equal numbers of rows, however the order values lie.
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    ranks = [i / QUANTILES for i in range(1, QUANTILES)]
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) * F.lit(hot_rows) / F.col("_n"))).cast("int")
+    hot = (
+        df.select(*keys, order).join(large, list(keys))
+        .groupBy(*keys).agg(F.first("_n").alias("_n"), F.percentile_approx(order, ranks, 10 * QUANTILES).alias("_q"))
+        .select(*keys, F.filter("_q", lambda _, i: (i + 1) % step == 0).alias("_bounds"), F.lit(True).alias("_hot"))
     )
-    chunk = F.expr(f"(`{order}` - _low) div _width")
+    chunk = F.size(F.filter("_bounds", lambda b: b < F.col(order))).cast("bigint")
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(CHUNK, F.coalesce(chunk, F.lit(0).cast("bigint")))
+        df.join(hot, list(keys), "left")
+        .withColumn(CHUNK, F.when(F.col("_hot"), chunk).otherwise(F.lit(0).cast("bigint")))
         .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
-        .drop("_low", "_width")
+        .drop("_bounds")
     )
 
 

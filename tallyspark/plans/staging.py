@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyspark-")
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a session whose tasks run in this process;
+    on a cluster each machine would write to a disk of its own, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _own_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,17 @@ from ..functions.usage import parse_usage
 from ..plans.local import columns_of, local_table
 from ..schemas import LEDGER, LEDGER_JSON, TRACE, TRACE_JSON
 
-_CORRUPT = "_corrupt STRING"
+#: Lines that one file may hold; numbers of later files start behind those of earlier ones.
+FILE_SPAN = 1 << 40
+
+
+def number_files(rows: DataFrame, line: str) -> DataFrame:
+    """Make the line numbers of several files one order: by file name, then line.
+
+    One small row per file is ranked; a folder's first file starts at 0.
+    """
+    ranks = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    return rows.join(ranks, "_file").withColumn(line, F.col("_rank") * F.lit(FILE_SPAN) + F.col(line)).drop("_rank")
 
 
 def _line_numbers(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +36,10 @@ def _line_numbers(df: DataFrame, name: str) -> DataFrame:
 
 
 def _json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Rows of a JSON-lines folder or file; lines that are not JSON objects are skipped."""
+    """Rows of a JSON-lines folder or file; lines that are not JSON objects are skipped.
+
+    A field of another type than expected is NULL, the rest of its line is kept.
+    """
     try:
         lines = spark.read.text(path).select(
             "value",
@@ -38,24 +51,18 @@ def _json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         lines = local_table(spark, [], "value STRING, _file STRING, _start BIGINT, _id BIGINT")
-    record = F.from_json(
-        "value", f"{ddl}, {_CORRUPT}", {"columnNameOfCorruptRecord": "_corrupt"}
-    )
-    return (
-        lines.filter(F.startswith(F.ltrim("value"), F.lit("{")))
-        .withColumn("_r", record)
-        .filter(F.col("_r._corrupt").isNull())
-        .select("_r.*", "_file", "_start", "_id")
-        .drop("_corrupt")
-    )
+    whole = F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()
+    return lines.withColumn("_r", F.when(whole, F.from_json("value", ddl))).filter(
+        F.col("_r").isNotNull()).select("_r.*", "_file", "_start", "_id")
 
 
 def read_ledger_json(spark: SparkSession, path: str) -> DataFrame:
     """Day files ``YYYY-MM-DD.jsonl`` as a ledger; the day is the file stem.
 
-    ``call_seq`` is taken from the line when present, else from the line order in its file.
+    ``call_seq`` is taken from the line when present, else from the order of the day files and
+    of the lines in them.
     """
-    rows = _line_numbers(_json_lines(spark, path, LEDGER_JSON), "_line")
+    rows = number_files(_line_numbers(_json_lines(spark, path, LEDGER_JSON), "_line"), "_line")
     columns = columns_of(LEDGER)
     return rows.withColumns(
         {
@@ -79,7 +86,11 @@ def day_range(ledger: DataFrame, day_from: str, day_to: str) -> DataFrame:
 
 
 def trace_day_range(traces: DataFrame, day_from: str, day_to: str) -> DataFrame:
-    return traces.filter(F.substring("ts", 1, 10).between(day_from, day_to))
+    kept = traces.filter(F.substring("ts", 1, 10).between(day_from, day_to))
+    if "trace_day" in traces.columns:  # stored traces: read only the days that can match
+        kept = kept.filter(F.col("trace_day").between(
+            F.date_sub(F.to_date(F.lit(day_from)), 1), F.date_add(F.to_date(F.lit(day_to)), 1)) | F.col("trace_day").isNull())
+    return kept
 
 
 def write_ledger(ledger: DataFrame, path: str, mode: str = "append") -> None:
@@ -103,4 +114,6 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    report.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """JSON lines in the order of the sessions."""
+    ordered = report.orderBy("session") if "session" in report.columns else report
+    ordered.write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LINE = "task STRING, arm STRING, rep INT, resolved BOOLEAN, session STRING"
+from .ledgers import number_files
+
+_LINE = "task STRING, arm STRING, rep INT, resolved STRING, session STRING"
+#: JSON texts that count as not resolved, as in Python's truth of a value.
+_FALSE = ("false", "0", "0.0", "-0.0", "", "null", "[]", "{}")
 REQUIRED = ("task", "arm", "rep", "resolved")
 
 
@@ -20,7 +24,7 @@ def load_outcomes(spark: SparkSession, path: str) -> DataFrame:
     )
     # A split is a bounded group; its start offset keeps the order across splits.
     place = F.col("_start") + F.col("_id") - F.min("_id").over(Window.partitionBy("_file", "_start"))
-    rows = lines.withColumn("line_no", place).filter(F.btrim("value") != "")
+    rows = number_files(lines.withColumn("line_no", place), "line_no").filter(F.btrim("value") != "")
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
     missing = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), keys))
     checked = rows.filter(
@@ -32,7 +36,9 @@ def load_outcomes(spark: SparkSession, path: str) -> DataFrame:
             ).cast("boolean"),
         ).otherwise(F.lit(True))
     )
-    return checked.select(F.from_json("value", _LINE).alias("o"), "line_no").select("o.*", "line_no")
+    resolved = ~F.coalesce(F.col("o.resolved"), F.lit("null")).isin(*_FALSE)
+    return checked.select(F.from_json("value", _LINE).alias("o"), "line_no").select(
+        "o.task", "o.arm", "o.rep", resolved.alias("resolved"), "o.session", "line_no")
 
 
 def check_specs(specs: DataFrame) -> DataFrame:

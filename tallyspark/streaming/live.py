@@ -24,11 +24,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions import pricing
-from ..functions.rounding import from_units, py_round, to_units
+from ..functions.rounding import from_units, to_units
 from ..functions.text import ledger_day
 from ..functions.usage import call_tokens
 from ..operators.calls import parse_calls
 from ..operators.ledger import AuditTables, price_calls
+from ..operators.prefix import mutation
 from ..operators.sessions import session_key
 from ..plans.local import columns_of
 from ..schemas import LEDGER, TRACE
@@ -45,9 +46,10 @@ _PASSED = (
     "request_sha_after STRING, request_parse_error STRING, usage STRING, model STRING, "
     "n_messages INT, roles ARRAY<STRING>, message_sha256 ARRAY<STRING>, message_bytes ARRAY<BIGINT>"
 )
+_SEGMENTS = "tools_key STRING, system_key STRING, request_model STRING, tool_names ARRAY<STRING>"
 _OUT = (
-    "session STRING, prefix_stable_ratio DOUBLE, segments ARRAY<STRING>, tools_added ARRAY<STRING>, "
-    "tools_removed ARRAY<STRING>, prev_prompt BIGINT, payload STRING"
+    "session STRING, prefix_stable_ratio DOUBLE, had_previous BOOLEAN, prev_tools STRING, prev_system STRING, "
+    "prev_model STRING, prev_names ARRAY<STRING>, prev_prompt BIGINT, payload STRING"
 )
 _SESSION = (
     "canonical STRING, end_key STRING, seq BIGINT, tools STRING, system STRING, model STRING, "
@@ -111,44 +113,38 @@ class SessionTracker(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("call_seq")
         out = [self._one(r) for r in batch.to_dict("records")]
         yield pd.DataFrame(out, columns=[
-            "session", "prefix_stable_ratio", "segments", "tools_added", "tools_removed",
-            "prev_prompt", "payload"])
+            "session", "prefix_stable_ratio", "had_previous", "prev_tools", "prev_system", "prev_model",
+            "prev_names", "prev_prompt", "payload"])
+
+    def _move_end(self, session: str, before, key: str, seq: int) -> None:
+        """A session is listed at the one prefix that it ends with, so lists hold live sessions only."""
+        if before is not None and before[1] is not None and self.ends.containsKey((before[1],)):
+            names, seqs = self.ends.getValue((before[1],))
+            left = [(n, s) for n, s in zip(names, seqs, strict=True) if n != session]
+            if left:
+                self.ends.updateValue((before[1],), tuple(map(list, zip(*left, strict=True))))
+            else:
+                self.ends.removeKey((before[1],))
+        names, seqs = self.ends.getValue((key,)) if self.ends.containsKey((key,)) else ([], [])
+        self.ends.updateValue((key,), ([*names, session], [*seqs, seq]))
 
     def _one(self, r: dict) -> tuple:
+        """The call's session and what the session looked like before it."""
         seq, keys = int(r["call_seq"]), [str(k) for k in r["keys"]]
-        session = _value(r["header"])
-        if session is None:
-            session = (self._chain(keys) if keys else None) or r["auto_id"]
-        prev = self._session(session)
-        state = {
-            "tools": _value(r["tools_key"]), "system": _value(r["system_key"]),
-            "model": _value(r["request_model"]),
-        }
-        names = [str(t) for t in r["tool_names"]]
-        ratio = segments = added = removed = prompt = None
-        canonical, end_key, end_seq = None, None, None
-        if prev is not None:
-            canonical, end_key, end_seq, tools, system, model, before, prompt = prev
-            old = {"tools": tools, "system": system, "model": model}
-            changed = [s for s in ("tools", "system", "model") if old[s] != state[s]]
-            if changed:
-                segments = changed
-                added = sorted(set(names) - set(before))
-                removed = sorted(set(before) - set(names))
+        session = _value(r["header"]) or (self._chain(keys) if keys else None) or r["auto_id"]
+        before = self._session(session)
+        canonical, end_key, end_seq, *earlier, prompt = before or (None,) * 8
+        ratio = None
         if keys:
             if canonical:
-                base = canonical[:-1]
-                ratio = _shared(base, r["canonical"]) / len(base)
+                ratio = _shared(canonical[:-1], r["canonical"]) / (len(canonical) - 1)
+            self._move_end(session, before, keys[-1], seq)
             canonical, end_key, end_seq = r["canonical"], keys[-1], seq
-            open_ = self.ends.getValue((end_key,)) if self.ends.containsKey((end_key,)) else ([], [])
-            self.ends.updateValue((end_key,), ([*open_[0], session], [*open_[1], seq]))
         seen = _value(r["observed_prompt"])
-        self.sessions.updateValue(
-            (session,),
-            (canonical, end_key, end_seq, state["tools"], state["system"], state["model"], names,
-             int(seen) if seen else prompt),
-        )
-        return session, ratio, segments, added, removed, prompt, r["payload"]
+        now = [_value(r[c]) for c in ("tools_key", "system_key", "request_model")]
+        names = [str(t) for t in r["tool_names"]]
+        self.sessions.updateValue((session,), (canonical, end_key, end_seq, *now, names, int(seen) if seen else prompt))
+        return (session, ratio, before is not None, *earlier, prompt, r["payload"])
 
     def close(self) -> None:
         pass
@@ -167,25 +163,21 @@ def track_sessions(raw_stream: DataFrame, ttl_ms: int = 30 * DAY_MS) -> DataFram
         own.alias("chain_key"), "call_seq", "header", "auto_id", keys.alias("keys"), "canonical",
         "tools_key", "system_key", "request_model", "tool_names",
         F.nullif(F.col("usage_tokens")["prompt_tokens"], F.lit(0)).alias("observed_prompt"),
-        F.to_json(F.struct(*columns_of(_PASSED))).alias("payload"),
+        F.to_json(F.struct(*columns_of(_PASSED), *columns_of(_SEGMENTS))).alias("payload"),
     )
     tracked = keyed.groupBy("chain_key").transformWithStateInPandas(
         statefulProcessor=SessionTracker(ttl_ms), outputStructType=StructType.fromDDL(_OUT),
         outputMode="Append", timeMode="ProcessingTime",
     )
-    cost = F.lit(pricing.PREFIX_MUTATION_MULTIPLIER) * F.col("prev_prompt").cast("double")
-    mutation = F.when(
-        F.col("segments").isNotNull(),
-        F.struct(
-            "segments", "tools_added", "tools_removed", py_round(cost, 1).alias("cost_tok_eq"),
-            F.when(F.col("prev_prompt").isNotNull(), F.lit("observed_prev_prompt_tokens"))
-            .otherwise(F.lit("unavailable")).alias("cost_basis"),
-        ),
-    )
-    return tracked.select(
-        F.from_json("payload", _PASSED).alias("p"), "session", "prefix_stable_ratio",
-        mutation.alias("prefix_mutation"),
-    ).select("p.*", "session", "prefix_stable_ratio", "prefix_mutation")
+    previous = F.struct(
+        F.col("prev_tools").alias("tools"), F.col("prev_system").alias("system"), F.col("prev_model").alias("model"),
+        F.col("prev_names").alias("tool_names"))
+    linked = tracked.select(
+        F.from_json("payload", f"{_PASSED}, {_SEGMENTS}").alias("p"), "session", "prefix_stable_ratio",
+        F.when(F.col("had_previous"), previous).alias("prev_segments"), F.col("prev_prompt").alias("prev_prompt_tokens"),
+    ).select("p.*", "session", "prefix_stable_ratio", "prev_segments", "prev_prompt_tokens")
+    return linked.withColumn("prefix_mutation", mutation()).select(
+        *columns_of(_PASSED), "session", "prefix_stable_ratio", "prefix_mutation")
 
 
 def price_stream(tracked: DataFrame, profiles: DataFrame, prices: DataFrame,
@@ -216,7 +208,10 @@ def running_totals(ledger_stream: DataFrame, late: str | None = None) -> DataFra
         rows = rows.withWatermark("call_time", late)
         keys = [F.window("call_time", "1 day").alias("day_window"), *keys]
     cost = F.col("cost")
-    known = cost.isNotNull() & (cost["cache_status"] != "unavailable")
+    # Rows of older ledgers have no status of their own.
+    status = F.coalesce(
+        F.nullif(cost["cache_status"], F.lit("")), pricing.cache_status(cost["observed_flags"], cost["imputed_flags"]))
+    known = cost.isNotNull() & (status != "unavailable")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum(prompt).alias("prompt_tokens"),
