@@ -16,10 +16,12 @@ expanded into its pairs:
 1. Documents with the same words are one class and go on as their smallest id.
 2. Every member of a band bucket is compared with the bucket's smallest id.
 3. In buckets that are then still in several components, members of different components are
-   compared, in tiles of bounded size, on one byte per coordinate; only pairs whose estimate is
-   within ``SLACK`` (more than five standard errors) of the threshold are written.
+   compared in tiles of bounded size.  A tile joins components as it finds links, so members of
+   one component are not compared again, and writes only these links.
 
-All candidates are verified by their exact weighted Jaccard similarity, at least ``THRESHOLD``.
+One byte per coordinate rules out pairs whose estimate is ``SLACK`` (four standard errors) below
+the threshold; all others are verified by their exact weighted Jaccard similarity, at least
+``THRESHOLD``.
 
 Nulls: rows with a null id, and null, empty or wordless texts, link with nothing and stay.  Texts
 of fewer than five words are one shingle.  Rows that repeat an id and its words are one
@@ -45,7 +47,7 @@ THRESHOLD = 0.8
 SHINGLE = 5
 ROWS, BANDS = 6, 21
 COORDINATES = ROWS * BANDS
-SLACK = 0.18
+SLACK = 0.14
 #: Members of a bucket that one side of a tile holds.
 TILE = 2000
 #: Length of a rank segment.
@@ -208,8 +210,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     )
 
 
-def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components within the buckets that hold several."""
+def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (``u``, ``v``) between components within the buckets that hold several."""
     labelled = stage(
         members.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left")
         .withColumn("label", F.coalesce("label", "id")), "labelled")
@@ -217,33 +219,44 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, threshol
         labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low < high AND n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
     )
+    held = sketches.join(texts, "doc_id").select(F.col("doc_id").alias("id"), "sketch", "text")
     rows = (
-        labelled.join(mixed, "key")
-        .join(sketches.select(F.col("doc_id").alias("id"), "sketch"), "id")
+        labelled.join(mixed, "key").join(held, "id")
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-                (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "label", "pivot", "sketch")
+                (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "label", "pivot", "sketch", "text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for (_, i, j), table in consecutive(batches, ["key", "i", "j"]):
-            ids, labels, pivots, side = (table.column(c).to_numpy() for c in ("id", "label", "pivot", "side"))
+            ids, pivots, side = (table.column(c).to_numpy() for c in ("id", "pivot", "side"))
+            labels, texts, sets = table.column("label").to_numpy().copy(), table.column("text"), {}
+
+            def held(row):
+                if row not in sets:
+                    sets[row] = weighted_shingles(memo.of(words_of(texts[row].as_py())))
+                return sets[row]
+
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             split = 0 if i == j else int((side == 0).sum())
-            a, b = [], []
+            links = []
             for row in range(split if split else len(ids)):
                 others = np.arange(split if split else row + 1, len(ids))
                 others = others[(labels[others] != labels[row]) & (ids[others] != pivots[row]) & (ids[row] != pivots[row])]
-                good = others[_estimate(sketch[row], sketch[others]) >= threshold - SLACK] if len(others) else others
-                a += [int(ids[row])] * len(good)
-                b += ids[good].tolist()
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                if not len(others):
+                    continue
+                for other in others[_estimate(sketch[row], sketch[others]) >= threshold - SLACK].tolist():
+                    if labels[other] != labels[row] and jaccard(held(row), held(other)) >= threshold - 1e-12:
+                        links.append((int(ids[row]), int(ids[other])))
+                        labels[labels == labels[other]] = labels[row]
+            if links:
+                yield pa.RecordBatch.from_pydict({"u": [u for u, _ in links], "v": [v for _, v in links]})
 
     return (
         rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-        .mapInArrow(run, "a bigint, b bigint").distinct()
+        .mapInArrow(run, "u bigint, v bigint")
     )
 
 
@@ -260,13 +273,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = stage(banded.join(keys.select("key", "pivot"), "key"), "members")
     active = members.select(F.col("id").alias("doc_id")).distinct()
     plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    texts = stage(plain.join(active, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    # Merged at every size: a broadcast list of ids would do only for small inputs.
+    texts = stage(plain.join(active.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     stars = members.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = stage(_verified(_likely(stars, sketches, threshold), texts, threshold), "links")
     labels = components(first)
-    rest = stage(_across(members, labels, sketches, threshold), "across")
-    labels = components(labels.select("u", "v").union(_verified(rest, texts, threshold)))
+    labels = components(labels.select("u", "v").union(_across(members, labels, sketches, texts, threshold)))
 
     by_content = classes.join(labels.withColumnRenamed("u", "doc_id"), "doc_id", "left").select(
         "content", F.coalesce("v", "doc_id").alias("component_id"))
