@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..operators import acceptance, experiment, privacy, probing, sessions, skil
 from ..operators.ledger import AuditTables, build_ledger
 from ..plans.ordered import with_position
 from ..plans.staging import stage, staging_root
-from ..sources import derived, ledgers, trajectories
+from ..sources import derived, ledgers, outcomes, trajectories
 from ..sources.dimensions import builtin_cache_schemas, builtin_prices
 from .sqltext import CALLS, LINKS, TURNS, dbl, report_ctes, rounded
 
@@ -156,12 +157,13 @@ def step_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("recomputed_costs", f"""WITH {CALLS} SELECT seq AS call_seq,
-  p - hit AS uncached, CAST((p - hit) * 300 + hit * 30 + k * 1500 AS DOUBLE) / 1e8 AS list_cost_usd
-  FROM step WHERE used AND NOT second""")
+  CASE WHEN NOT second THEN p - hit END AS uncached,
+  CASE WHEN NOT second THEN CAST((p - hit) * 300 + hit * 30 + k * 1500 AS DOUBLE) / 1e8 END AS list_cost_usd
+  FROM step WHERE used""")
 def recomputed_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ledger import recompute
 
-    usage = stored(spark, sf_dir).ledger.filter(F.col("usage_tokens.prompt_tokens").isNotNull())
+    usage = stored(spark, sf_dir).ledger.filter(F.col("usage").isNotNull())
     return recompute(
         usage.select("call_seq", "usage"), builtin_prices(spark), builtin_cache_schemas(spark),
         "anthropic/claude-cache", "2026-07-15",
@@ -235,7 +237,6 @@ FROM ccalls c JOIN roots r ON c.conv_id = r.conv_id AND r.t <= c.t GROUP BY c.se
     "1.0 END", "CAST(1.0 AS DOUBLE) END"))
 def streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as a stream of calls without ids, through the stateful operator."""
-    import uuid
 
     from ..schemas import CALL_RAW
     from ..streaming.live import start_ledger_stream
@@ -259,7 +260,6 @@ def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Update mode writes each changed row again; the newest version of a row is its total.
     """
-    import uuid
 
     from ..streaming.live import running_totals
 
@@ -398,7 +398,6 @@ def session_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM step WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY day""")
 def ledger_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append to a day-partitioned store, then read a range of days back."""
-    import uuid
 
     path = f"{staging_root(spark)}/tallyspark/store-{uuid.uuid4().hex}"
     ledgers.write_ledger(stored(spark, sf_dir).ledger, path)
@@ -414,7 +413,7 @@ _OUTCOMES = """
 o AS (SELECT 't' || l_orderkey AS task,
   CASE l_linenumber % 4 WHEN 0 THEN 'control' WHEN 1 THEN 'candidate' WHEN 2 THEN 'aa_sham'
        ELSE 'raw_trajectory' END AS arm, l_returnflag <> 'R' AS resolved,
-  'u' || (l_orderkey % 150) AS session,
+  'u' || ((l_orderkey + l_linenumber % 4) % 150) AS session,
   date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * 1000000000000
    + CAST(round(l_extendedprice * 100) AS BIGINT) * 1000 + CAST(l_quantity AS BIGINT) * 10 + l_linenumber AS line_no
   FROM lineitem),
@@ -428,6 +427,19 @@ def last_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.last_outcomes(derived.outcome_rows(spark, sf_dir)).drop("rep")
 
 
+@query("outcome_scan", f"WITH {_OUTCOMES} SELECT task, arm, 0 AS rep, resolved, session FROM o")
+def outcome_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome lines in several files, with numbers and texts for truth values, read back."""
+    path = f"{staging_root(spark)}/tallyspark/outcomes-{uuid.uuid4().hex}"
+    rows = derived.outcome_rows(spark, sf_dir)
+    truth = F.when(F.pmod("line_no", F.lit(2)) == 0, F.when(F.col("resolved"), F.lit("1")).otherwise(F.lit("0"))).otherwise(
+        F.col("resolved").cast("string"))
+    line = F.concat(
+        F.lit('{"resolved": '), truth, F.lit(', "rep": 0, '), F.substring(F.to_json(F.struct("task", "arm", "session")), 2, 1_000))
+    rows.repartition(3).select(line.alias("value")).write.text(path)
+    return outcomes.load_outcomes(spark, path).drop("line_no")
+
+
 _PAIRED = f"""pairs AS (SELECT b.arm, a.resolved AS a_ok, b.resolved AS b_ok, ca.cost_tenths AS ca, cb.cost_tenths AS cb
   FROM last b JOIN last a ON a.task = b.task AND a.arm = 'control' AND b.arm <> 'control'
   LEFT JOIN costs ca ON ca.session = a.session LEFT JOIN costs cb ON cb.session = b.session),

@@ -204,7 +204,8 @@ def outcome_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         arm.alias("arm"),
         F.lit(0).alias("rep"),
         (F.col("l_returnflag") != "R").alias("resolved"),
-        F.concat(F.lit("u"), (F.col("l_orderkey") % 150).cast("string")).alias("session"),
+        # Each arm of a task ran in a session of its own.
+        F.concat(F.lit("u"), ((F.col("l_orderkey") + F.col("l_linenumber") % 4) % 150).cast("string")).alias("session"),
         (F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * F.lit(10**12)
          + F.round(F.col("l_extendedprice") * 100).cast("bigint") * 1000
          + F.col("l_quantity").cast("bigint") * 10 + F.col("l_linenumber")).alias("line_no"),
