@@ -72,3 +72,20 @@ def test_global_rank_is_dense_and_ordered(spark):
     got = [r.k for r in global_rank(keys, ["k"]).orderBy("rank").collect()]
     assert got == sorted(got) and len(got) == 1000
     assert [r.rank for r in global_rank(keys, ["k"]).orderBy("rank").collect()] == list(range(1, 1001))
+
+
+def test_chunks_are_even_where_order_values_cluster(spark):
+    rows = [("hot", 0)] + [("hot", 10**12 + i) for i in range(3000)] + [("cold", i) for i in range(50)]
+    tagged = tag_chunks(spark.createDataFrame(rows, "key STRING, seq BIGINT"), ["key"], "seq", hot_rows=100)
+    sizes = tagged.groupBy("key", "_chunk").count().collect()
+    assert max(r["count"] for r in sizes if r.key == "hot") <= 200
+    assert [r["count"] for r in sizes if r.key == "cold"] == [50]
+    ends = tagged.filter("key = 'hot'").groupBy("_chunk").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("_chunk").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+
+
+def test_ratio_sums_pass_nine_million_calls(spark):
+    from tallyspark.operators.sessions import _total
+
+    rows = spark.range(9_400_000).select(F.lit(10**12).cast("bigint").alias("ratio_units"))
+    assert rows.agg(_total("ratio_units")).first()[0] == 9_400_000 * 10**12
