@@ -236,17 +236,23 @@ def day_totals(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def report_totals(report: DataFrame) -> DataFrame:
     """The TOTAL row of a session report: sums, quality split, causes by count, step prices.
 
-    Cause entries ride along as extra rows in one pass over the report.
+    Causes and model names ride along as extra rows in one pass over the report, so a name
+    meets the others once, however many sessions have it.
     """
-    priced = F.col("mean_step_cost_tok_eq").isNotNull() & F.col("_cause").isNull()
-    whole = F.col("_cause").isNull()
-    entries = F.transform(
-        F.map_entries("mutation_causes"),
-        lambda e: F.struct(e["key"].alias("cause"), e["value"].alias("count")),
+    whole = F.col("_cause").isNull() & F.col("_model").isNull()
+    priced = F.col("mean_step_cost_tok_eq").isNotNull() & whole
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+
+    def entry(cause: Column, count: Column, model: Column) -> Column:
+        return F.struct(cause.alias("cause"), count.alias("count"), model.alias("model"))
+
+    entries = F.concat(
+        F.array(entry(none, zero, none)),
+        F.transform(F.map_entries("mutation_causes"), lambda e: entry(e["key"], e["value"], none)),
+        F.transform(F.coalesce("models", F.array().cast("array<string>")), lambda m: entry(none, zero, m)),
     )
-    own = F.array(F.struct(F.lit(None).cast("string").alias("cause"), F.lit(0).cast("bigint").alias("count")))
-    rows = report.withColumn("_e", F.explode(F.concat(own, entries))).withColumns(
-        {"_cause": F.col("_e")["cause"], "_count": F.col("_e")["count"]}
+    rows = report.withColumn("_e", F.explode(entries)).withColumns(
+        {"_cause": F.col("_e")["cause"], "_count": F.col("_e")["count"], "_model": F.col("_e")["model"]}
     )
     calls = F.col("calls")
 
@@ -256,7 +262,7 @@ def report_totals(report: DataFrame) -> DataFrame:
     def quality(label: str) -> Column:
         return total(F.element_at("cost_quality", F.lit(label)))
 
-    per_cause = rows.groupBy("_cause").agg(
+    per_cause = rows.groupBy("_cause", "_model").agg(
         total(calls).alias("calls"),
         total(F.col("prompt_tokens")).alias("prompt_tokens"),
         total(F.col("completion_tokens")).alias("completion_tokens"),
@@ -272,7 +278,6 @@ def report_totals(report: DataFrame) -> DataFrame:
         total(to_units(F.col("mean_step_saving_tok_eq"), 1) * calls, priced).alias("_saving"),
         total(calls, priced).alias("priced_calls"),
         total(F.col("cache_miss_unexplained")).alias("cache_miss_unexplained"),
-        F.collect_set(F.when(whole, F.col("models"))).alias("_models"),
         F.sum("_count").alias("_cause_count"),
     )
     summed = [
@@ -283,7 +288,7 @@ def report_totals(report: DataFrame) -> DataFrame:
     one = per_cause.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed],
         F.sum("cached_tokens").alias("cached_tokens"),
-        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("_models"))))).alias("models"),
+        F.array_sort(F.collect_set("_model")).alias("models"),
         F.collect_list(
             F.when(
                 F.col("_cause").isNotNull(),
