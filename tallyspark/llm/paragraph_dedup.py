@@ -9,7 +9,8 @@ five-word shingles: ``BANDS`` bands of ``ROWS`` MinHash values (at similarity 0.
 pairs share a band), candidates verified by exact Jaccard similarity of at least ``THRESHOLD``,
 classes are the connected components.  Nothing expands a bucket into its pairs: members are
 verified against the bucket's smallest content, and only buckets that are then still in
-several components are compared member by member, in tiles of bounded size.
+several components are compared member by member, in tiles of bounded size that join components
+as they find links and write only these.
 
 Spans.  Classes that occur in at least two documents repeat.  The first occurrence (smallest
 doc_id, then place) stays, all others go.  Neighbouring units of the same fate, at most ``GAP``
@@ -56,10 +57,6 @@ _UNIT_SCHEMA = pa.schema([
     ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE))])
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _sentences(text: str, start: int, stop: int, memo: WordHashes) -> Iterator[tuple[int, int, list[str]]]:
     """Character ranges and words of the pieces of a paragraph.
 
@@ -118,35 +115,38 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
                 yield from units(part.column(0).to_pylist(), part.column(1).to_pylist(), memo)
 
     def units(ids, texts, memo):
-        rows, words, places = [], [], []
+        rows, words, pieces, counts = [], [], [], []
         for doc_id, text in zip(ids, texts, strict=True):
             at = 0
             while at <= len(text):
                 stop = text.find("\n", at)
                 stop = len(text) if stop < 0 else stop
-                first, found = len(words), []
+                first, before = len(words), len(pieces)
                 for a, b, mine in _sentences(text, at, stop, memo):
-                    found.append((a, b, len(words), len(mine)))
+                    if len(mine) >= SENTENCE:
+                        pieces.append((a, b, len(words), len(mine)))
                     words += mine
-                if found:
-                    rows.append([doc_id, at, stop, len(words) - first, first])
-                    places.append(found)
+                if len(words) > first:
+                    rows.append((doc_id, at, stop, len(words) - first, first))
+                    counts.append(len(pieces) - before)
                 at = stop + 1
         if not rows:
             return
         hashes = memo.of(words)
         data = memoryview(hashes.tobytes())
-        digest = lambda at, n: xxhash.xxh3_128_intdigest(data[8 * at : 8 * (at + n)])
-        sentences, bands, contents = [], [None] * len(rows), []
-        for found in places:
-            kept = []
-            for a, b, at, n in found:
-                if n >= SENTENCE:
-                    value = digest(at, n)
-                    kept.append({"start": a, "stop": b, "words": n, "h": _signed(value >> 64), "g": _signed(value & 0xFFFFFFFFFFFFFFFF)})
-            sentences.append(kept)
-        for row in rows:
-            contents.append(_signed(digest(row[4], row[3]) & 0xFFFFFFFFFFFFFFFF))
+
+        def digests(places):
+            found = b"".join([xxhash.xxh3_128_digest(data[8 * at : 8 * (at + n)]) for at, n in places])
+            return np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, 2)
+
+        inner = np.array(pieces, np.int64).reshape(-1, 4)
+        keys = digests(zip(inner[:, 2].tolist(), inner[:, 3].tolist(), strict=True))
+        columns = [*(inner[:, i].astype(np.int32) for i in (0, 1, 3)), keys[:, 0], keys[:, 1]]
+        sentences = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
+            pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
+        contents = digests([(row[4], row[3]) for row in rows])[:, 1]
+        bands = [None] * len(rows)
         long = [i for i, row in enumerate(rows) if row[3] >= PARAGRAPH]
         if long:
             starts = np.array([rows[i][4] for i in long])
@@ -160,7 +160,7 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
             pa.array([r[3] for r in rows], pa.int32()), pa.array(contents, pa.int64()),
-            pa.array(bands, pa.list_(pa.int64())), pa.array(sentences, pa.list_(SENTENCE_TYPE)),
+            pa.array(bands, pa.list_(pa.int64())), sentences,
         ], schema=_UNIT_SCHEMA)
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).dropna()
@@ -228,7 +228,8 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for (_, i, j), table in consecutive(batches, ["key", "i", "j"]):
-            ids, labels, pivots, side = (table.column(c).to_numpy() for c in ("h", "label", "pivot", "side"))
+            ids, pivots, side = (table.column(c).to_numpy() for c in ("h", "pivot", "side"))
+            labels = table.column("label").to_numpy().copy()
             sets = [_set(t, memo) for t in table.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets])
             split = 0 if i == j else int((side == 0).sum())
@@ -238,9 +239,10 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold:
                 # Sets of too different sizes cannot reach the threshold.
                 near = np.minimum(sizes[others], sizes[row]) >= threshold * np.maximum(sizes[others], sizes[row]) - 1e-9
                 for other in others[near & (labels[others] != labels[row]) & (ids[others] != pivots[row]) & (ids[row] != pivots[row])].tolist():
-                    if jaccard(sets[row], sets[other]) >= threshold - 1e-12:
+                    if labels[other] != labels[row] and jaccard(sets[row], sets[other]) >= threshold - 1e-12:
                         a.append(int(ids[row]))
                         b.append(int(ids[other]))
+                        labels[labels == labels[other]] = labels[row]
             if a:
                 yield pa.RecordBatch.from_pydict({"u": a, "v": b})
 
