@@ -295,7 +295,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """``docs`` with one document of each group, the one with the smallest id."""
     found = stage(near_duplicates(docs, threshold), "near-duplicates")
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
     if repeated.isEmpty():
         return left
