@@ -21,6 +21,7 @@ Memory: one Arrow batch of texts, one batch of sequences, and at most ``MEMO`` e
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,46 +37,85 @@ from .files import attempt_name, opened, shared_folder
 END_ID = 1
 LENGTH = 2048
 ROWS_PER_BATCH = 256
-#: Encoded words held by a worker, and the longest word worth holding.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Encoded pieces held by a worker, and the longest piece worth holding.
+MEMO, MEMO_CHARS = 200_000, 64
 MANIFEST = "shard int, sequences string, documents string, n_docs bigint, n_tokens bigint"
-_BLANK = re.compile("[ \t\n\r]+")
+_WORD = re.compile("[^ \t\n\r]+")
+_SIMPLE = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
+#: Fixed value: the vocabulary's pattern, for lower-case texts of these characters.
+_PIECE = re.compile("[a-zà-öø-ÿß]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \\t\\n\\r0-9a-zà-öø-ÿß]+")
+_BETWEEN = "0"
+_TOGETHER = 256
 
 
 class Encoder:
     """Whole texts to little-endian ids of ``dtype``.
 
-    The vocabulary's pre-tokenizer never joins characters across blanks, and neither NFC nor
-    lower-casing looks across them, so the ids of a text are those of its blank-separated words
-    in a row.  Words repeat, so each is encoded by the tokenizers library once per worker.
+    The vocabulary's pre-tokenizer cuts a text into runs of letters, single digits and runs of
+    marks, and the ids of a text are those of its pieces in a row, so pieces are encoded once and
+    kept (the first ``MEMO``).  Texts of ASCII and Latin-1 letters are cut here, by the same
+    rule; NFC leaves them as they are.  Other texts are cut at blanks only, across which neither
+    NFC nor lower-casing looks, and the library cuts the words.
+
+    New runs of letters go to the vocabulary's BPE model together, with a digit between them that
+    shows where each ends; all else goes through the whole tokenizer one by one.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = _BLANK.split(text)
-            try:
-                yield b"".join(map(self.memo.__getitem__, words))
-                continue
-            except KeyError:
-                pass
-            new = list({w for w in words if w not in self.memo})
-            ids = dict(zip(new, self._encode(new), strict=True))
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo.update((w, i) for w, i in ids.items() if len(w) <= MEMO_CHARS)
-            memo = self.memo
-            yield b"".join(ids[w] if w in ids else memo[w] if w in memo else self._encode([w])[0] for w in words)
+        split = pre_tokenizers.WhitespaceSplit()
+        self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = split  # the bytes of ASCII letters are the letters
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        (self.between,) = self._ids(_BETWEEN).tolist()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _letters(self, encoder, pieces: list[str], out: dict[str, bytes]) -> None:
+        width = self.dtype.itemsize
+        groups = [pieces[at : at + _TOGETHER] for at in range(0, len(pieces), _TOGETHER)]
+        texts = [f" {_BETWEEN} ".join(g) for g in groups]
+        for group, found in zip(groups, encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, self.dtype)
+            data = ids.tobytes()
+            edges = (np.flatnonzero(ids == self.between) * width).tolist()
+            for piece, a, b in zip(group, [-width, *edges], [*edges, len(data)], strict=True):
+                out[piece] = data[a + width : b]
+
+    def _encode(self, pieces: set[str], cut: bool) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        letters = set(filter(str.isalpha, pieces)) if cut else set()
+        plain = set(filter(str.isascii, letters))
+        self._letters(self.ascii, list(plain), out)
+        self._letters(self.latin, list(letters - plain), out)
+        for piece in pieces - letters:
+            out[piece] = self._ids(piece).tobytes()
+        return out
+
+    def _rows(self, rows: list[list[str]], memo: dict[str, bytes], cut: bool) -> list[bytes]:
+        new = self._encode(set().union(*rows).difference(memo), cut)
+        held = len(memo)
+        memo.update(new)
+        out = [b"".join(map(memo.__getitem__, pieces)) for pieces in rows]
+        for piece in new:
+            if held >= MEMO or len(piece) > MEMO_CHARS:
+                del memo[piece]
+            else:
+                held += 1
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        simple = [_SIMPLE.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = iter(self._rows([_PIECE.findall(t.lower()) for t, s in zip(texts, simple, strict=True) if s], self.pieces, True))
+        rest = iter(self._rows([_WORD.findall(t) for t, s in zip(texts, simple, strict=True) if not s], self.words, False))
+        return [next(cut) if s else next(rest) for s in simple]
 
 
 def id_type(vocabulary: int) -> np.dtype:
