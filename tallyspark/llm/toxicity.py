@@ -190,7 +190,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sam
     below = lambda c: hash60(F.lit("toxicity"), c) < F.lit(int(bound * (1 << HASH_BITS)))
     marked = known.filter(below(F.col("_id"))).groupBy("_id").agg(*[F.max(n).alias(n) for n in names])
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text")).filter(below(F.col("_id")))
-    rows = texts.join(marked, "_id").select("_text", F.array(*names).alias("_labels"))
+    rows = texts.join(marked.hint("merge"), "_id").select("_text", F.array(*names).alias("_labels"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -218,7 +218,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sam
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fitted)]})
 
     featured = rows.mapInArrow(featurize, "words array<bigint>, shape array<double>, labels array<int>")
-    fitted = pickle.loads(featured.coalesce(1).mapInArrow(train, "model binary").first()[0])
+    fitted = pickle.loads(featured.repartition(1).mapInArrow(train, "model binary").first()[0])
     chain = Chain.__new__(Chain)
     chain.cut, chain.fitted, chain.models = fitted["cut"], fitted["fitted"], []
     for state in fitted["models"]:
