@@ -7,14 +7,22 @@ by their hash, so that equal passages are cut alike wherever they stand.  Pieces
 ``SENTENCE`` words with the same words are one class.  Paragraphs of at least ``PARAGRAPH`` words are compared as sets of
 five-word shingles: ``BANDS`` bands of ``ROWS`` MinHash values (at similarity 0.8 all but 3 in 1,000
 pairs share a band), candidates verified by exact Jaccard similarity of at least ``THRESHOLD``,
-classes are the connected components.  Nothing expands a bucket into its pairs: members are
+classes are the connected components.
+
+Beside these, every run of ``SPAN`` words that stands in two documents is found, whatever lines and
+sentences it crosses.  The word stream of a whole document is winnowed: of each ``WINNOW``
+neighbouring runs of ``SEED`` words those with the smallest hash are seeds, so that equal runs of
+``SPAN`` words hold the same seeds.  Runs whose smallest seed is in several documents are then read
+from the texts again and are classes by equality of their words.
+
+Nothing expands a bucket into its pairs: members are
 verified against the bucket's smallest content, and only buckets that are then still in
 several components are compared member by member, in tiles of bounded size that join components
 as they find links and write only these.
 
 Spans.  Classes that occur in at least two documents repeat.  The first occurrence (smallest
 doc_id, then place) stays, all others go.  Neighbouring units of the same fate, at most ``GAP``
-words apart, make a span; spans of fewer than ``SPAN`` words are left alone.
+words (or as many characters as these have) apart, make a span; spans of fewer than ``SPAN`` words are left alone.
 
 Nulls: rows with a null id or text, and empty texts, have no spans.  Rows with the same id are
 one document.  An empty table gives an empty result.  Further columns are kept by
@@ -41,20 +49,25 @@ THRESHOLD = 0.8
 SHINGLE = 5
 ROWS, BANDS = 3, 8
 PARAGRAPH, SENTENCE, LONG, SPAN, GAP = 20, 6, 16, 20, 5
+#: Words of a seed, and seed places of which one at least is taken: SEED + WINNOW - 1 = SPAN.
+SEED, WINNOW = 6, 15
 #: One word hash in so many marks a cut.
 CUT = 8
 #: Paragraphs that one side of a tile holds.
 TILE = 500
 _SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*|[.!?。！？]+")
 _WORD = re.compile(r"\w+")
-SENTENCE_TYPE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+SENTENCE_TYPE = pa.struct([
+    ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+SEED_TYPE = pa.struct([("at", pa.int32()), ("h", pa.int64())])
 UNITS = (
-    "doc_id bigint, start int, stop int, words int, h bigint, bands array<bigint>, "
-    "sentences array<struct<start:int,stop:int,words:int,h:bigint,g:bigint>>"
+    "doc_id bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>, "
+    "sentences array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>, seeds array<struct<at:int,h:bigint>>"
 )
 _UNIT_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
-    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE))])
+    ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
+    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE)), ("seeds", pa.list_(SEED_TYPE))])
+WINDOWS = "doc_id bigint, start int, stop int, at int, words int, h bigint, g bigint"
 
 
 def _sentences(text: str, start: int, stop: int, memo: WordHashes) -> Iterator[tuple[int, int, list[str]]]:
@@ -92,6 +105,46 @@ def _sentences(text: str, start: int, stop: int, memo: WordHashes) -> Iterator[t
         yield at, end, held
 
 
+def _slide(values: np.ndarray, size: int, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of each ``size`` neighbouring values."""
+    width = 1
+    while 2 * width <= size:
+        values = least(values[:-width], values[width:])
+        width *= 2
+    return least(values[: len(values) - size + width], values[size - width :]) if width < size else values
+
+
+def _runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a document's runs of ``SEED`` words, and the smallest inside each run of ``SPAN`` words."""
+    count = len(words) - SEED + 1
+    if count < WINNOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        runs = words[:count].copy()
+        for i in range(1, SEED):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + words[i : count + i]
+    runs = mix(runs, 31)
+    return runs, _slide(runs, WINNOW, np.minimum)
+
+
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of a document's seeds; none where it has fewer than ``SPAN`` words."""
+    runs, least = _runs(words)
+    if not len(runs):
+        return np.zeros(0, np.int64), runs
+    # A run is taken if it is the smallest of any of the windows that hold it.
+    edge = np.zeros(WINNOW - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINNOW, np.maximum) == runs)
+    return at, runs[at]
+
+
+def _digests(hashes: np.ndarray, places) -> np.ndarray:
+    """Two 64-bit values per (first word, number of words)."""
+    data = memoryview(hashes.tobytes())
+    found = b"".join([xxhash.xxh3_128_digest(data[8 * at : 8 * (at + n)]) for at, n in places])
+    return np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, 2)
+
+
 def min_hashes(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """paragraphs x (BANDS * ROWS) minima over the shingles of each paragraph (none is empty)."""
     out = np.empty((len(starts), BANDS * ROWS), np.uint64)
@@ -106,7 +159,8 @@ def min_hashes(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> n
 
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
-    """A row per paragraph with words: its place, hash, bands (from ``PARAGRAPH`` words), sentences."""
+    """A row per paragraph with words: its place, hash, bands (from ``PARAGRAPH`` words), sentences and
+    the seeds that begin in it; ``at`` counts the words of the document before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -115,37 +169,40 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
                 yield from units(part.column(0).to_pylist(), part.column(1).to_pylist(), memo)
 
     def units(ids, texts, memo):
-        rows, words, pieces, counts = [], [], [], []
+        rows, words, pieces, counts, bases = [], [], [], [], []
         for doc_id, text in zip(ids, texts, strict=True):
-            at = 0
+            at, base = 0, len(words)
+            bases.append(base)
             while at <= len(text):
                 stop = text.find("\n", at)
                 stop = len(text) if stop < 0 else stop
                 first, before = len(words), len(pieces)
                 for a, b, mine in _sentences(text, at, stop, memo):
                     if len(mine) >= SENTENCE:
-                        pieces.append((a, b, len(words), len(mine)))
+                        pieces.append((a, b, len(words), len(mine), len(words) - base))
                     words += mine
                 if len(words) > first:
-                    rows.append((doc_id, at, stop, len(words) - first, first))
+                    rows.append((doc_id, at, stop, len(words) - first, first, first - base))
                     counts.append(len(pieces) - before)
                 at = stop + 1
         if not rows:
             return
         hashes = memo.of(words)
-        data = memoryview(hashes.tobytes())
-
-        def digests(places):
-            found = b"".join([xxhash.xxh3_128_digest(data[8 * at : 8 * (at + n)]) for at, n in places])
-            return np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, 2)
-
-        inner = np.array(pieces, np.int64).reshape(-1, 4)
-        keys = digests(zip(inner[:, 2].tolist(), inner[:, 3].tolist(), strict=True))
-        columns = [*(inner[:, i].astype(np.int32) for i in (0, 1, 3)), keys[:, 0], keys[:, 1]]
+        inner = np.array(pieces, np.int64).reshape(-1, 5)
+        keys = _digests(hashes, zip(inner[:, 2].tolist(), inner[:, 3].tolist(), strict=True))
+        columns = [*(inner[:, i].astype(np.int32) for i in (0, 1, 4, 3)), keys[:, 0], keys[:, 1]]
         sentences = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
             pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
-        contents = digests([(row[4], row[3]) for row in rows])[:, 1]
+        found = [(base, *seeds(hashes[base:end])) for base, end in zip(bases, [*bases[1:], len(words)], strict=True)]
+        begins = np.concatenate([base + at for base, at, _ in found])
+        many = np.bincount(np.searchsorted([row[4] for row in rows], begins, "right") - 1, minlength=len(rows))
+        sown = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()),
+            pa.StructArray.from_arrays([
+                pa.array(np.concatenate([at for _, at, _ in found]).astype(np.int32)),
+                pa.array(np.concatenate([h for _, _, h in found]).view(np.int64))], fields=list(SEED_TYPE)))
+        contents = _digests(hashes, [(row[4], row[3]) for row in rows])[:, 1]
         bands = [None] * len(rows)
         long = [i for i, row in enumerate(rows) if row[3] >= PARAGRAPH]
         if long:
@@ -159,8 +216,8 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
                 bands[i] = key
         yield pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
-            pa.array([r[3] for r in rows], pa.int32()), pa.array(contents, pa.int64()),
-            pa.array(bands, pa.list_(pa.int64())), sentences,
+            pa.array([r[5] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array(contents, pa.int64()),
+            pa.array(bands, pa.list_(pa.int64())), sentences, sown,
         ], schema=_UNIT_SCHEMA)
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).dropna()
@@ -261,39 +318,78 @@ def _near_paragraphs(docs: DataFrame, units: DataFrame, threshold: float) -> Dat
     return labels.select(F.col("u").alias("h"), F.col("v").alias("label")).union(labels.select("v", "v").distinct())
 
 
+def _word_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text, as ``_sentences`` gives them, and their character ranges."""
+    words, places = [], []
+    for match in _WORD.finditer(text):
+        mine = words_of(match[0])
+        words += mine
+        places += [match.span()] * len(mine)
+    return words, places
+
+
+def repeated_windows(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """The runs of ``SPAN`` words whose smallest seed is in several documents."""
+    sown = units.select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.*")
+    repeated = sown.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
+    places = sown.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+                text = text.as_py()
+                words = [w for line in text.split("\n") for _, _, mine in _sentences(line, 0, len(line), memo) for w in mine]
+                hashes = memo.of(words)
+                runs, least = _runs(hashes)
+                places = places.values.to_numpy()
+                begins = np.flatnonzero(np.isin(least, runs[places[places < len(runs)]]))
+                if not len(begins):
+                    continue
+                ranges = np.array(_word_places(text)[1])
+                for begin in (begins[i : i + 10_000] for i in range(0, len(begins), 10_000)):
+                    keys = _digests(hashes, [(b, SPAN) for b in begin.tolist()])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(begin), doc_id, np.int64)), pa.array(ranges[begin, 0].astype(np.int32)),
+                        pa.array(ranges[begin + SPAN - 1, 1].astype(np.int32)), pa.array(begin.astype(np.int32)),
+                        pa.array(np.full(len(begin), SPAN, np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                    ], names=["doc_id", "start", "stop", "at", "words", "h", "g"])
+
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).dropna()
+    return rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, WINDOWS)
+
+
 def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
     """doc_id, start and stop (characters), n_words, first_doc and removed of every repeated span."""
     units = stage(paragraph_units(docs), "units")
     sentences = units.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
     # Two passes: which hashes are in several documents, then only their rows.
-    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "start", "stop", "words", "h", F.lit(0).cast("bigint").alias("g"))
+    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
     sentences = sentences.unionByName(paragraphs)
     repeated = sentences.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
-    found = sentences.join(repeated, "h").select("doc_id", "start", "stop", "words", "h", "g")
+    found = sentences.join(repeated, "h").select("doc_id", "start", "stop", "at", "words", "h", "g")
     near = stage(_near_paragraphs(docs, units, threshold), "near-paragraphs")
-    found = stage(found.unionByName(
-        paragraphs.join(near, "h").select("doc_id", "start", "stop", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
-    place = F.struct("doc_id", "start")
+    found = stage(found.unionByName(repeated_windows(docs, units)).unionByName(
+        paragraphs.join(near, "h").select("doc_id", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
+    place = F.struct("doc_id", "at")
     first = (
         found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max("doc_id").alias("high"))
         .filter("first.doc_id < high").select("h", "g", "first")
     )
     marked = found.join(first, ["h", "g"]).select(
-        "doc_id", "start", "stop", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("removed"))
+        "doc_id", "start", "stop", "at", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("removed"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (doc_id, removed), table in consecutive(batches, ["doc_id", "removed"]):
             rows, current = [], None
-            for start, stop, words, origin in zip(*(table.column(c).to_pylist() for c in ("start", "stop", "words", "first_doc")), strict=True):
-                if current and start <= current[1] + 8 * GAP:
-                    if stop > current[1]:
-                        # A paragraph may hold sentences that count already.
-                        new = words if start >= current[1] else max(0, words - current[2])
-                        current[1], current[2] = stop, current[2] + new
-                    current[3] = min(current[3], origin)
+            for start, stop, at, words, origin in zip(*(table.column(c).to_pylist() for c in ("start", "stop", "at", "words", "first_doc")), strict=True):
+                if current and (start <= current[1] + 8 * GAP or at <= current[4] + GAP):
+                    # Units overlap; each word counts once.
+                    current[1], current[2] = max(current[1], stop), current[2] + max(0, at + words - max(at, current[4]))
+                    current[3], current[4] = min(current[3], origin), max(current[4], at + words)
                 else:
                     rows += [current] if current else []
-                    current = [start, stop, words, origin]
+                    current = [start, stop, words, origin, at + words]
             rows = [r for r in [*rows, current] if r[2] >= span]
             if rows:
                 yield pa.RecordBatch.from_arrays([

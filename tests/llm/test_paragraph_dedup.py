@@ -98,3 +98,30 @@ def test_tiles_link_what_the_pivot_does_not_reach(spark, monkeypatch):
         for b in range(a):
             if pd.jaccard(sets[a], sets[b]) >= 0.8:
                 assert labels[h[a]] == labels[h[b]]
+
+
+def covered(got, rows, shared, words):
+    """Documents whose spans hold all words of ``shared``."""
+    texts = dict(rows)
+    return {r.doc_id for r in got if len(set(pd.words_of(texts[r.doc_id][r.start : r.stop])) & set(pd.words_of(shared))) == words}
+
+
+def test_every_shared_run_of_20_words_is_found_whatever_its_sentences(spark):
+    rnd = random.Random(81)
+
+    def prose(count, low, high, tag):
+        out = []
+        while count > 0:
+            n = min(count, rnd.randint(low, high))
+            out.append(" ".join(f"{tag}{rnd.randrange(10**6)}" for _ in range(n)) + ".")
+            count -= n
+        return " ".join(out)
+
+    rows, passages = [], []
+    for k, (n, low, high) in enumerate([(n, *s) for n in (20, 25, 40, 55) for s in ((2, 5), (8, 14), (25, 40), (500, 500))] * 8):
+        shared = prose(n, low, high, f"p{k}x")
+        passages.append((2 * k, shared, len(set(pd.words_of(shared)))))
+        rows += [(2 * k + i, prose(60, low, high, "a")[:-1] + " " + shared[:-1] + " " + prose(60, low, high, "b")) for i in (0, 1)]
+    got = run(spark, rows)
+    assert [k for k, shared, n in passages if not {k, k + 1} <= covered(got, rows, shared, n)] == []
+    assert {r.doc_id for r in got if r.removed} == {k + 1 for k, _, _ in passages}
