@@ -125,3 +125,13 @@ def test_every_shared_run_of_20_words_is_found_whatever_its_sentences(spark):
     got = run(spark, rows)
     assert [k for k, shared, n in passages if not {k, k + 1} <= covered(got, rows, shared, n)] == []
     assert {r.doc_id for r in got if r.removed} == {k + 1 for k, _, _ in passages}
+
+
+def test_a_passage_in_lines_of_four_words(spark):
+    rnd = random.Random(82)
+    words = [f"v{rnd.randrange(10**6)}" for _ in range(80)]
+    shared = "\n".join(" ".join(words[i : i + 4]) for i in range(0, 80, 4))
+    rows = [(i, f"{passage(3)} intro{i}\n{shared}\nend{i} {passage(3)}") for i in range(4)]
+    got = run(spark, rows)
+    assert covered(got, rows, shared, len(set(words))) == {0, 1, 2, 3}
+    assert [(r.doc_id, r.n_words, r.first_doc) for r in sorted(got, key=lambda r: r.doc_id)] == [(i, 80, 0) for i in range(4)]
