@@ -7,7 +7,8 @@ weighted by its tag and name and discounted by its link density (link characters
 characters).  The best container is kept, with siblings that score at least a fifth of it and
 sibling paragraphs and headings that are prose.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are taken out before by element, role and
-name.
+name.  A form with little prose goes, one around an article stays without its controls, and so does
+a noscript part.
 
 Output: the kept blocks in page order, character references decoded, white space inside a block
 (line breaks included) as one space, trimmed, empty blocks left out, joined by two line feeds.
@@ -32,13 +33,19 @@ from pyspark.sql.types import LongType, StringType, StructType
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never article text.
 SKIPPED = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea iframe "
-    "svg math object canvas audio video dialog menu map datalist".split()
+    "head script style template nav footer aside button select option textarea iframe "
+    "svg object canvas audio video dialog menu map datalist annotation annotation-xml".split()
 )
+#: Elements that are left out if they hold little prose.
+PARTS = frozenset(["form", "noscript"])
+#: Paragraph points from which a container counts by itself.
+LEAST = 10.0
 #: Elements that belong to the text around them; every other element ends a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter "
-    "nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+    "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td th li dt dd h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -69,7 +76,7 @@ LIKELY = frozenset("article content main body post entry story text blog column
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG_WEIGHT = {"article": 25, "main": 20, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys(
-    "address ol ul dl dd dt li form".split(), -3) | dict.fromkeys(HEADINGS | {"th"}, -5)
+    "address ol ul dl dd dt li form noscript".split(), -3) | dict.fromkeys(HEADINGS | {"th"}, -5)
 _LEVELS = 6
 
 
@@ -84,6 +91,8 @@ class _Page(HTMLParser):
         self.blocks: list[tuple[int, str, int]] = []
         self.pieces: list[str] = []
         self.owner = self.links = 0
+        self.doubtful: set[int] = set()
+        self.fields: set[int] = set()
 
     def _flush(self) -> None:
         if self.pieces:
@@ -121,6 +130,8 @@ class _Page(HTMLParser):
             self._close(*CLOSES[tag])
         if tag not in INLINE:
             self._flush()
+        if tag in ("input", "select", "textarea", "button") and self.open.get("form") and ("type", "hidden") not in attrs:
+            self.fields.add(next(i for i in reversed(self.stack) if self.tags[i] == "form"))
         if tag in VOID:
             return
         parent = self.stack[-1]
@@ -129,6 +140,8 @@ class _Page(HTMLParser):
         self.parents.append(parent)
         self.weights.append(weight)
         self.dropped.append(drop or self.dropped[parent])
+        if tag in PARTS:
+            self.doubtful.add(len(self.tags) - 1)
         self.stack.append(len(self.tags) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -188,6 +201,34 @@ class _Page(HTMLParser):
         while len(self.stack) > 1:
             self._pop()
         self._flush()
+        if self.doubtful:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Drop the doubtful elements with little prose."""
+        points, articles = [0.0] * len(self.tags), [False] * len(self.tags)
+        for owner, text, _ in self.blocks:
+            if self.tags[owner] not in HEADINGS:
+                points[owner] += _points(text)
+        for i in range(len(self.tags) - 1, 0, -1):
+            parent = self.parents[i]
+            points[parent] += points[i]
+            articles[parent] |= articles[i] or (self.tags[i] in ("article", "main") and points[i] > 0)
+        for i in range(1, len(self.tags)):
+            if self.dropped[self.parents[i]]:
+                self.dropped[i] = True
+            elif i in self.doubtful and not self._holds_prose(i, points, articles):
+                self.dropped[i] = True
+        self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
+
+    def _holds_prose(self, i: int, points: list[float], articles: list[bool]) -> bool:
+        if articles[i] or points[i] >= LEAST or points[i] > 0.5 * points[0]:
+            return True
+        return self.tags[i] == "form" and i not in self.fields
+
+
+def _points(text: str) -> float:
+    return (len(text) >= 25) + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
 
 
 def _keepers(page: _Page) -> set[int]:
@@ -200,7 +241,7 @@ def _keepers(page: _Page) -> set[int]:
         own.setdefault(owner, []).append(text)
         chars[owner] += len(text)
         links[owner] += linked
-        points = (len(text) >= 25) + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
+        points = _points(text)
         if page.tags[owner] in HEADINGS:
             continue
         at = page.parents[owner] if page.tags[owner] in PARAGRAPHS else owner
@@ -228,7 +269,7 @@ def _keepers(page: _Page) -> set[int]:
         above = page.parents[above]
     if best == 0 or page.tags[best] == "body":
         return {best}
-    least = max(10.0, final(best) / 5)
+    least = max(LEAST, final(best) / 5)
     kept, parent = {best}, page.parents[best]
     for i in range(1, count):
         if page.parents[i] != parent or i == best or page.dropped[i] or not chars[i]:

@@ -56,3 +56,12 @@ def test_columns(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [
         (0, "é ü", 3), (1, "", 0), (2, PROSE, len(PROSE)), (2, PROSE, len(PROSE))]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_a_form_around_the_page_keeps_the_article():
+    page = f"""<body><form id="aspnetForm"><input type="hidden" name="__VIEWSTATE"><div><input name="q"><button>Go</button></div>
+    <div id="body"><p>{PROSE}</p><p>{PROSE} More.</p><p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>
+    here.</p><noscript>Turn scripts on.</noscript></div><select><option>One</select></form>"""
+    assert main_text(page) == f"{PROSE}\n\n{PROSE} More.\n\nSum x=2 here."
+    page = f"<body><article><p>{PROSE}</p><p>{PROSE} More.</p><form><label>Mail</label><input><p>Join us.</p></form></article><form><p>{PROSE}</p><input></form>"
+    assert main_text(page) == f"{PROSE}\n\n{PROSE} More."
