@@ -8,7 +8,9 @@ characters).  The best container is kept, with siblings that score at least a fi
 sibling paragraphs and headings that are prose.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are taken out before by element, role and
 name.  A form with little prose goes, one around an article stays without its controls, and so does
-a noscript part.
+a noscript part.  Names of layout (``no-sidebar``) say nothing, and a name only lowers the weight
+where another name of the element is a likely one, or where the element holds most of the page's
+points (reader comments go even then).  Lists of links go outside the best container.
 
 Output: the kept blocks in page order, character references decoded, white space inside a block
 (line breaks included) as one space, trimmed, empty blocks left out, joined by two line feeds.
@@ -70,6 +72,10 @@ NEVER = frozenset(
     "pager login signup toolbar masthead complementary contentinfo search dialog skip related recommended recommendations "
     "trending widget copyright disclaimer paywall".split()
 )
+#: Words of reader comments, which may be most of a page.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: Names that tell what a page has, not what the element is.
+_LAYOUT = re.compile(r"(?:no|has|with|without)[-_]", re.I)
 #: Words that mark a part as likely left out, unless a likely word stands beside them.
 SELDOM = frozenset("header head top bottom side meta tools tags author byline popular hidden aux extra rail teaser".split())
 LIKELY = frozenset("article content main body post entry story text blog column page hentry".split())
@@ -92,6 +98,7 @@ class _Page(HTMLParser):
         self.pieces: list[str] = []
         self.owner = self.links = 0
         self.doubtful: set[int] = set()
+        self.named: set[int] = set()
         self.fields: set[int] = set()
 
     def _flush(self) -> None:
@@ -175,9 +182,15 @@ class _Page(HTMLParser):
         if tag in SKIPPED or (tag == "header" and not (self.open.get("article") or self.open.get("main"))):
             return weight, True
         names: set[str] = set()
+        beside = False
         for name, value in attrs:
             if name in ("class", "id", "role"):
-                names.update(w.lower() for w in _NAME.findall(value or ""))
+                for token in (value or "").split():
+                    words = {w.lower() for w in _NAME.findall(token)}
+                    if _LAYOUT.match(token):
+                        words -= NEVER
+                    names |= words
+                    beside |= bool(words & LIKELY) and not words & NEVER
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and value and _INVISIBLE.search(value)
             ):
@@ -186,7 +199,13 @@ class _Page(HTMLParser):
             return weight, False
         likely = bool(names & LIKELY)
         if tag not in ("article", "main"):
-            if names & NEVER or (names & SELDOM and not likely):
+            if names & NEVER:
+                if tag in INLINE or (names & COMMENTS and not beside):
+                    return weight, True
+                if not beside:
+                    self.named.add(len(self.tags))
+                return weight - 25 + 25 * beside, False
+            if names & SELDOM and not likely:
                 return weight, True
         elif names & NEVER and not likely:
             return weight, True
@@ -201,6 +220,7 @@ class _Page(HTMLParser):
         while len(self.stack) > 1:
             self._pop()
         self._flush()
+        self.doubtful |= self.named
         if self.doubtful:
             self._settle()
 
@@ -222,17 +242,19 @@ class _Page(HTMLParser):
         self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
 
     def _holds_prose(self, i: int, points: list[float], articles: list[bool]) -> bool:
-        if articles[i] or points[i] >= LEAST or points[i] > 0.5 * points[0]:
+        if points[i] > 0.5 * points[0]:
             return True
-        return self.tags[i] == "form" and i not in self.fields
+        if self.tags[i] in PARTS and (articles[i] or points[i] >= LEAST) and i not in self.named:
+            return True
+        return self.tags[i] == "form" and i not in self.fields and i not in self.named
 
 
 def _points(text: str) -> float:
     return (len(text) >= 25) + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
 
 
-def _keepers(page: _Page) -> set[int]:
-    """The best container and the siblings that are kept with it."""
+def _keepers(page: _Page) -> tuple[set[int], int]:
+    """The best container and the siblings that are kept with it, and the best by itself."""
     count = len(page.tags)
     score, chars, links = [0.0] * count, [0] * count, [0] * count
     own: dict[int, list[str]] = {}
@@ -260,7 +282,7 @@ def _keepers(page: _Page) -> set[int]:
 
     ranked = [i for i in touched if page.tags[i] not in ("html", "#root")]
     if not ranked:
-        return {0}
+        return {0}, 0
     best = max(ranked, key=lambda i: (final(i), -i))
     above = best
     while above:  # parts of one article belong together
@@ -268,7 +290,7 @@ def _keepers(page: _Page) -> set[int]:
             best = above
         above = page.parents[above]
     if best == 0 or page.tags[best] == "body":
-        return {best}
+        return {best}, best
     least = max(LEAST, final(best) / 5)
     kept, parent = {best}, page.parents[best]
     for i in range(1, count):
@@ -283,7 +305,7 @@ def _keepers(page: _Page) -> set[int]:
                 kept.add(i)
         elif page.tags[i] in HEADINGS and density == 0 and i < best:
             kept.add(i)
-    return kept
+    return kept, best
 
 
 def _link_lists(page: _Page) -> set[int]:
@@ -307,10 +329,12 @@ def main_text(html: str | None) -> str:
     if not page.blocks:
         return ""
     lists = _link_lists(page)
-    roots = _keepers(page)
-    inside = [0 in roots]
+    roots, best = _keepers(page)
+    whole = page.tags[best] in ("#root", "body")
+    inside, within = [0 in roots], [False]
     for i in range(1, len(page.tags)):
-        inside.append(i not in lists and (i in roots or inside[page.parents[i]]))
+        within.append((i == best and not whole) or within[page.parents[i]])
+        inside.append((within[i] or i not in lists) and (i in roots or inside[page.parents[i]]))
     return "\n\n".join(text for owner, text, _ in page.blocks if inside[owner])
 
 

@@ -65,3 +65,17 @@ def test_a_form_around_the_page_keeps_the_article():
     assert main_text(page) == f"{PROSE}\n\n{PROSE} More.\n\nSum x=2 here."
     page = f"<body><article><p>{PROSE}</p><p>{PROSE} More.</p><form><label>Mail</label><input><p>Join us.</p></form></article><form><p>{PROSE}</p><input></form>"
     assert main_text(page) == f"{PROSE}\n\n{PROSE} More."
+
+
+def test_layout_names_do_not_drop_the_article():
+    prose = f"<p>{PROSE}</p><p>{PROSE} More.</p>"
+    side = f'<div class="sidebar"><p>{PROSE} Side.</p></div><div class="post-comments"><p>{PROSE} Nice.</p></div>'
+    for names in ('id="content" class="has-sidebar"', 'class="main-content no-sidebar"', 'class="post no-comments"', 'class="entry share"', 'class="widget"'):
+        assert main_text(f"<body><div><div {names}>{prose}</div>{side}</div>") == f"{PROSE}\n\n{PROSE} More."
+
+
+def test_link_lists_stay_inside_the_article_only():
+    links = "<ul><li><a href=1>First thing</a></li><li><a href=2>Second</a></li></ul>"
+    page = f"<body>{links}<article><p>{PROSE}</p><p>{PROSE} More.</p>{links}<ul class=menu><li><a href=3>Menu</a></li></ul></article>{links}"
+    assert main_text(page) == f"{PROSE}\n\n{PROSE} More.\n\nFirst thing\n\nSecond"
+    assert main_text(f"<body>{links}<p>{PROSE}</p><p>{PROSE} More.</p>") == f"{PROSE}\n\n{PROSE} More."
