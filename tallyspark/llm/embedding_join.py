@@ -74,7 +74,7 @@ def leading_directions(units: DataFrame, sample: int = SAMPLE, leading: int = LE
 
     picked = units.filter(hash60(F.lit("ego"), F.col("vec_id")) <= bound)
     # The one task that sees the sample; some lengths may be missing in it.
-    fitted = {r["n"]: np.frombuffer(r["axes"]).reshape(r["n"], -1) for r in picked.coalesce(1).sortWithinPartitions("n").mapInArrow(fit, "n int, axes binary").collect()}
+    fitted = {r["n"]: np.frombuffer(r["axes"]).reshape(r["n"], -1) for r in picked.repartition(1).sortWithinPartitions("n").mapInArrow(fit, "n int, axes binary").collect()}
     return fitted
 
 

@@ -3,6 +3,7 @@ import pytest
 
 from tallyspark.llm import embedding_join as ej
 from tallyspark.llm.components import components
+from tallyspark.plans.staging import stage
 
 DDL = "vec_id bigint, embedding array<float>, label int"
 
@@ -76,3 +77,25 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "u bigint, v bigint")).collect()))
     assert got == {**{i: 0 for i in range(1, 61)}, **{k: 100 for k in range(101, 160)}, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_the_sample_is_picked_by_all_tasks(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(8)
+    units = stage(ej.unit_vectors(vectors), "units")
+    parts = units.rdd.getNumPartitions()
+    assert parts > 1
+    tracker = spark.sparkContext.statusTracker()
+
+    def wide(group, call):
+        """Stages of ``call`` with a task per part of the table."""
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            call()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return sum(tracker.getStageInfo(s).numTasks == parts for s in stages if tracker.getStageInfo(s))
+
+    # The table is counted, and then scanned for the sample.
+    assert wide("sample-fit", lambda: ej.leading_directions(units)) > wide("sample-count", units.count)
