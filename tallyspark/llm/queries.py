@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontamination, embedding_join, html_text, mixing, paragraph_dedup, sharding, token_files, toxicity, zip_archives
+from . import (
+    dart_minhash, decontamination, embedding_join, html_text, lexical_search, mixing, packing, paragraph_dedup, resampling,
+    sharding, token_files, toxicity, zip_archives,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +235,70 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_paragraph_minhash")
 def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Packing (11)
+
+
+@query("op11_vector_packing")
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+# Ranked lexical search (12)
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op12_nra_search", f"""WITH w AS (SELECT doc_id, unnest({_terms_sql('text')}) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS l FROM d),
+t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // l))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= {lexical_search.RANKS}""")
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Importance resampling (13)
+
+
+def _runs_sql(name: str) -> str:
+    """Per text of ``name`` (id, words): its features, one row each."""
+    return f"""SELECT id, unnest(list_concat(words, list_concat(
+  list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+  list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])))) AS feature FROM {name}"""
+
+
+_RESAMPLE_SQL = f"""WITH crc_table AS ({_crc_table()}),
+d AS (SELECT doc_id AS id, coalesce({_terms_sql('text')}, []) AS words FROM documents),
+b AS (SELECT item_id AS id, coalesce({_terms_sql('text')}, []) AS words FROM benchmark),
+df AS ({_runs_sql('d')}), bf AS ({_runs_sql('b')}),
+u AS (SELECT feature, feature AS x, hex(encode(feature)) AS h FROM (SELECT feature FROM df UNION SELECT feature FROM bf)),
+k AS (SELECT feature, (xor({_CRC}, 4294967295::UBIGINT) % {resampling.BUCKETS})::BIGINT AS bucket FROM u, crc_table),
+n AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t
+  FROM (SELECT 's' AS side, feature FROM df UNION ALL SELECT 't', feature FROM bf) JOIN k USING (feature) GROUP BY bucket),
+a AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM n),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + {resampling.BUCKETS})) / ((s + 1)::DOUBLE * (t_all + {resampling.BUCKETS}))))::BIGINT AS gain FROM n, a),
+w AS (SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM df JOIN k USING (feature) JOIN g USING (bucket) GROUP BY id),
+x AS (SELECT d.id AS doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || d.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT {resampling.SHARE[0]} * count(*) // {resampling.SHARE[1]} FROM r) THEN rank END AS rank
+FROM x LEFT JOIN r USING (doc_id)"""
+
+
+@query("op13_importance_resampling", _RESAMPLE_SQL)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -48,3 +49,22 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     for i in range(size):
         out = mix(out ^ words[i : len(words) - size + 1 + i], i + 1)
     return out
+
+
+#: Runs of the letters a to z, digits, and all that is not ASCII, in UTF-8.
+_PLAIN = re.compile(rb"[0-9a-z\x80-\xff]+")
+_BREAK = re.compile(rb"[^0-9a-z\x80-\xff]")
+#: Bytes of a text whose words are held at once.
+BLOCK = 1 << 20
+
+
+def plain_words(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text in order, in blocks; only A to Z are lower-cased."""
+    text, at = (text or b"").lower(), 0
+    while at < len(text):
+        found = _BREAK.search(text, min(at + BLOCK, len(text)))
+        end = found.start() if found else len(text)
+        words = _PLAIN.findall(text, at, end)
+        if words:
+            yield words
+        at = end
