@@ -23,9 +23,14 @@ One byte per coordinate rules out pairs whose estimate is ``SLACK`` (four standa
 the threshold; all others are verified by their exact weighted Jaccard similarity, at least
 ``THRESHOLD``.
 
+What is linked are contents (sequences of words), numbered in the order of their smallest
+doc_id; a row is known by its id and the hash of its text, so an id that comes with several texts
+is several documents.
+
 Nulls: rows with a null id, and null, empty or wordless texts, link with nothing and stay.  Texts
 of fewer than five words are one shingle.  Rows that repeat an id and its words are one
-document, of which one row stays.  An empty table gives an empty result.
+document, of which one row stays; so is a wordless text that repeats with its id.  An empty table
+gives an empty result.  Further columns stay in ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranking import global_rank
 from ..plans.staging import stage
 from .batches import consecutive
 from .components import components
@@ -148,24 +154,28 @@ def _sets(texts: Sequence[str | None], memo: WordHashes) -> tuple[list, list]:
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the words), bands and sketch (a byte per coordinate)."""
+    """doc_id, text_hash, content (digest of the words), bands and sketch (a byte per coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                sets, digests = _sets(part.column(1).to_pylist(), memo)
+                sets, digests = _sets(part.column("text").to_pylist(), memo)
                 signature = signatures(sets)
                 keys = band_keys(signature)
                 sketch = mix(signature, 9).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "content": pa.array(digests, pa.binary()),
+                    "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "content": pa.array(digests, pa.binary()),
                     "bands": pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel())),
                     "sketch": pa.array([s.tobytes() for s in sketch], pa.binary()),
                 })
 
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, content binary, bands array<bigint>, sketch binary")
+    return _plain(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, content binary, bands array<bigint>, sketch binary")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,8 +194,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
                 yield batch.select(["a", "b"]).filter(keep)
 
     return (
-        pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
         .select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
     )
 
@@ -204,8 +214,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "ta", "tb", F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(run, "u bigint, v bigint")
     )
 
@@ -219,7 +229,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: D
         labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low < high AND n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
     )
-    held = sketches.join(texts, "doc_id").select(F.col("doc_id").alias("id"), "sketch", "text")
+    held = sketches.join(texts, "node").select(F.col("node").alias("id"), "sketch", "text")
     rows = (
         labelled.join(mixed, "key").join(held, "id")
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -262,43 +272,59 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: D
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, component_id (the smallest linked id) and kept, one row per row of ``docs``."""
+    return _labelled(docs, threshold).drop("text_hash")
+
+
+def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_hash, component_id and kept of every row."""
     sketched = stage(sketch_documents(docs), "sketches")
     usable = sketched.filter("content IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stage(usable.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "classes")
-    reps = stage(usable.join(classes, ["content", "doc_id"]).dropDuplicates(["content", "doc_id"]), "reps")
-    sketches = reps.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    first = usable.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    # Numbers rise with the ids, so a component's smallest number has its smallest id.
+    classes = stage(global_rank(first.select("content", "first.*"), ["doc_id", "content"], "node"), "classes")
+    reps = stage(
+        usable.join(classes, ["content", "doc_id", "text_hash"])
+        .dropDuplicates(["node"]).select("node", "doc_id", "text_hash", "bands", "sketch"), "reps")
+    sketches = reps.select("node", "sketch")
+
+    banded = reps.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     keys = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1")
     members = stage(banded.join(keys.select("key", "pivot"), "key"), "members")
-    active = members.select(F.col("id").alias("doc_id")).distinct()
-    plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    active = members.select(F.col("id").alias("node")).distinct().join(classes, "node").select("node", "doc_id", "text_hash")
     # Merged at every size: a broadcast list of ids would do only for small inputs.
-    texts = stage(plain.join(active.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = stage(_plain(docs).join(active.hint("merge"), ["doc_id", "text_hash"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     stars = members.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = stage(_verified(_likely(stars, sketches, threshold), texts, threshold), "links")
-    labels = components(first)
+    links = stage(_verified(_likely(stars, sketches, threshold), texts, threshold), "links")
+    labels = components(links)
     labels = components(labels.select("u", "v").union(_across(members, labels, sketches, texts, threshold)))
 
-    by_content = classes.join(labels.withColumnRenamed("u", "doc_id"), "doc_id", "left").select(
-        "content", F.coalesce("v", "doc_id").alias("component_id"))
+    heads = classes.select(F.col("node").alias("label"), F.col("doc_id").alias("head"))
+    joined = labels.select(F.col("u").alias("node"), F.col("v").alias("label")).join(heads, "label").select("node", "head")
+    by_content = stage(
+        classes.join(joined, "node", "left").select("content", F.coalesce("head", "doc_id").alias("component_id"),
+            F.when(F.col("head").isNull(), F.struct("doc_id", "text_hash")).alias("stays")), "contents")
     return (
-        sketched.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("content")).alias("content"))
-        .join(stage(by_content, "contents"), "content", "left")
-        .select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        sketched.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("content")).alias("content"))
+        .join(by_content, "content", "left")
+        .select("doc_id", "text_hash", F.coalesce("component_id", "doc_id").alias("component_id"),
+                (F.col("component_id").isNull() | F.coalesce(F.struct("doc_id", "text_hash") == F.col("stays"), F.lit(False))).alias("kept"))
     )
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id."""
-    found = stage(near_duplicates(docs, threshold), "near-duplicates")
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return left
-    again = stage(repeated, "repeated")
-    once = left.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    found = stage(_labelled(docs, threshold), "near-duplicates").filter("doc_id IS NOT NULL")
+    # The document is one column beside the keys, so its own columns may have any names.
+    rows = docs.select(
+        docs["doc_id"].cast("bigint").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("hash"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    keys = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")]
+    gone = found.filter("NOT kept").select(*keys).distinct()
+    left = rows.join(gone.hint("merge"), ["id", "hash"], "left_anti")
+    repeated = found.filter("kept").groupBy(*keys).count().filter("count > 1").select("id", "hash")
+    if not repeated.isEmpty():
+        again = stage(repeated, "repeated")
+        once = left.join(again, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+        left = left.join(again, ["id", "hash"], "left_anti").unionByName(once)
+    return left.select("row.*")

@@ -112,13 +112,32 @@ def test_odd_rows_and_the_filter(spark):
     docs = spark.createDataFrame(rows, DDL).selectExpr("doc_id", "text", "'x' AS component_id", "1 AS kept", "2 AS _gone")
     got = dm.near_duplicates(docs).collect()
     assert sorted(str((r.doc_id, r.component_id)) for r in got) == brute(rows)
-    left = dm.drop_near_duplicates(docs.drop("_gone"))
-    assert left.columns == ["doc_id", "text", "component_id", "kept"]
+    left = dm.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [None, 3, 9, 10, 11, 12, 13, 15]))
     empty = spark.createDataFrame([], DDL)
     assert dm.near_duplicates(empty).collect() == [] and dm.drop_near_duplicates(empty).collect() == []
 
 
+def test_ids_that_repeat_with_different_texts_lose_no_text(spark):
+    """Each group of equal or near texts keeps exactly one row, whatever ids its rows share."""
+    a, b, c = text(60), text(70), text(80)
+    near = changed(c, 1)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, a), (5, near), (2, c.upper() + "!"), (2, None), (2, ""), (7, "!?"), (7, "!?")]
+    docs = spark.createDataFrame(rows, DDL).selectExpr("doc_id", "text", "1 AS id", "2 AS hash", "3 AS row", "4 AS node").repartition(4)
+    left = sorted(str((r.doc_id, r.text)) for r in dm.drop_near_duplicates(docs).collect())
+    assert left == sorted(map(str, [(1, a), (2, b), (2, c.upper() + "!"), (2, None), (2, ""), (7, "!?")]))
+    found = {(r.doc_id, r.component_id, r.kept) for r in dm.near_duplicates(docs).collect()}
+    assert {(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 2, False), (4, 1, False), (5, 2, False)} <= found
+
+
+def test_rows_of_one_id_and_the_same_words_are_one(spark):
+    t = text(40)
+    rows = [(8, t), (8, t.upper()), (8, t + " !"), (9, t)]
+    left = dm.drop_near_duplicates(spark.createDataFrame(rows, DDL)).collect()
+    assert [r.doc_id for r in left] == [8]
+
+
 @pytest.mark.parametrize("s, least", [(0.8, 0.995), (0.85, 0.9995)])
 def test_band_recall(s, least):
     assert 1 - (1 - s**dm.ROWS) ** dm.BANDS >= least
