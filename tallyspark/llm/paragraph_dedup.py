@@ -11,9 +11,12 @@ classes are the connected components.
 
 Beside these, every run of ``SPAN`` words that stands in two documents is found, whatever lines and
 sentences it crosses.  The word stream of a whole document is winnowed: of each ``WINNOW``
-neighbouring runs of ``SEED`` words those with the smallest hash are seeds, so that equal runs of
-``SPAN`` words hold the same seeds.  Runs whose smallest seed is in several documents are then read
-from the texts again and are classes by equality of their words.
+neighbouring runs of ``SEED`` words the one with the smallest hash is the seed, so that equal runs of
+``SPAN`` words have the same seed.  Neighbouring runs of ``SPAN`` words with one seed make a stretch,
+one row for about ten words, and stretches are classes by equality of their words.  Where all
+stretches of a seed are alike, as in copies, that settles the seed.  Where a seed has different
+stretches, the first occurrence of each is read again, and its runs of ``SPAN`` words are classes by
+equality too; all other occurrences of a stretch repeat its first one as a whole.
 
 Nothing expands a bucket into its pairs: members are
 verified against the bucket's smallest content, and only buckets that are then still in
@@ -24,9 +27,10 @@ Spans.  Classes that occur in at least two documents repeat.  The first occurren
 doc_id, then place) stays, all others go.  Neighbouring units of the same fate, at most ``GAP``
 words (or as many characters as these have) apart, make a span; spans of fewer than ``SPAN`` words are left alone.
 
-Nulls: rows with a null id or text, and empty texts, have no spans.  Rows with the same id are
-one document.  An empty table gives an empty result.  Further columns are kept by
-``remove_repeats`` and left out of ``repeated_spans``.
+Nulls: rows with a null id or text, and empty texts, have no spans.  A document is an id with a
+text: rows that repeat both are one document, an id with several texts is several documents, the
+``node`` of spans tells them apart.  An empty table gives an empty result.  Further columns, whatever
+their names, are kept by ``remove_repeats`` and left out of ``repeated_spans``.
 """
 
 from __future__ import annotations
@@ -59,15 +63,15 @@ _SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*|[.!?。！？]+")
 _WORD = re.compile(r"\w+")
 SENTENCE_TYPE = pa.struct([
     ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
-SEED_TYPE = pa.struct([("at", pa.int32()), ("h", pa.int64())])
+STRETCH_TYPE = pa.struct([("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 UNITS = (
-    "doc_id bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>, "
-    "sentences array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>, seeds array<struct<at:int,h:bigint>>"
+    "doc_id bigint, node bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>, "
+    "sentences array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>, stretches array<struct<at:int,words:int,h:bigint,g:bigint>>"
 )
 _UNIT_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
-    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE)), ("seeds", pa.list_(SEED_TYPE))])
-WINDOWS = "doc_id bigint, start int, stop int, at int, words int, h bigint, g bigint"
+    ("doc_id", pa.int64()), ("node", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
+    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE)), ("stretches", pa.list_(STRETCH_TYPE))])
+FOUND = "doc_id bigint, node bigint, start int, stop int, at int, words int, h bigint, g bigint"
 
 
 def _sentences(text: str, start: int, stop: int, memo: WordHashes) -> Iterator[tuple[int, int, list[str]]]:
@@ -127,15 +131,27 @@ def _runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs, _slide(runs, WINNOW, np.minimum)
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a document's seeds; none where it has fewer than ``SPAN`` words."""
-    runs, least = _runs(words)
-    if not len(runs):
-        return np.zeros(0, np.int64), runs
-    # A run is taken if it is the smallest of any of the windows that hold it.
-    edge = np.zeros(WINNOW - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINNOW, np.maximum) == runs)
-    return at, runs[at]
+def _span_digests(words: np.ndarray, count: int) -> np.ndarray:
+    """A 64-bit value per run of ``SPAN`` words, for the first ``count`` of them."""
+    out, mixed = np.zeros(count, np.uint64), mix(words, 41)
+    with np.errstate(over="ignore"):
+        for i in range(SPAN):
+            out = out * np.uint64(0xD1342543DE82EF95) + mixed[i : count + i]
+    return mix(out, 43)
+
+
+def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words, seed and digest of a document's stretches; none below ``SPAN`` words."""
+    _, least = _runs(words)
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), least, least
+    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    runs = np.diff(np.append(at, len(least)))
+    with np.errstate(over="ignore"):
+        # A stretch is its runs of SPAN words in a row.
+        each = _span_digests(words, len(least)) ^ mix((np.arange(len(least)) - np.repeat(at, runs)).astype(np.uint64), 47)
+        digests = mix(np.add.reduceat(mix(each, 53), at) + runs.astype(np.uint64), 59)
+    return at, runs + SPAN - 1, least[at], digests
 
 
 def _digests(hashes: np.ndarray, places) -> np.ndarray:
@@ -160,17 +176,17 @@ def min_hashes(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> n
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
     """A row per paragraph with words: its place, hash, bands (from ``PARAGRAPH`` words), sentences and
-    the seeds that begin in it; ``at`` counts the words of the document before."""
+    the stretches that begin in it; ``at`` counts the words of the document before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                yield from units(part.column(0).to_pylist(), part.column(1).to_pylist(), memo)
+                yield from units(*(part.column(c).to_pylist() for c in ("doc_id", "node", "text")), memo)
 
-    def units(ids, texts, memo):
+    def units(ids, nodes, texts, memo):
         rows, words, pieces, counts, bases = [], [], [], [], []
-        for doc_id, text in zip(ids, texts, strict=True):
+        for doc_id, node, text in zip(ids, nodes, texts, strict=True):
             at, base = 0, len(words)
             bases.append(base)
             while at <= len(text):
@@ -182,7 +198,7 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
                         pieces.append((a, b, len(words), len(mine), len(words) - base))
                     words += mine
                 if len(words) > first:
-                    rows.append((doc_id, at, stop, len(words) - first, first, first - base))
+                    rows.append((doc_id, at, stop, len(words) - first, first, first - base, node))
                     counts.append(len(pieces) - before)
                 at = stop + 1
         if not rows:
@@ -194,14 +210,14 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         sentences = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
             pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
-        found = [(base, *seeds(hashes[base:end])) for base, end in zip(bases, [*bases[1:], len(words)], strict=True)]
-        begins = np.concatenate([base + at for base, at, _ in found])
+        found = [(base, *stretches(hashes[base:end])) for base, end in zip(bases, [*bases[1:], len(words)], strict=True)]
+        begins = np.concatenate([base + at for base, at, *_ in found])
         many = np.bincount(np.searchsorted([row[4] for row in rows], begins, "right") - 1, minlength=len(rows))
+        fields = [np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4)]
         sown = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()),
             pa.StructArray.from_arrays([
-                pa.array(np.concatenate([at for _, at, _ in found]).astype(np.int32)),
-                pa.array(np.concatenate([h for _, _, h in found]).view(np.int64))], fields=list(SEED_TYPE)))
+                *(pa.array(f.astype(np.int32)) for f in fields[:2]), *(pa.array(f.view(np.int64)) for f in fields[2:])], fields=list(STRETCH_TYPE)))
         contents = _digests(hashes, [(row[4], row[3]) for row in rows])[:, 1]
         bands = [None] * len(rows)
         long = [i for i, row in enumerate(rows) if row[3] >= PARAGRAPH]
@@ -215,13 +231,18 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
             for i, key in zip(long, keys.astype(np.int64).tolist(), strict=True):
                 bands[i] = key
         yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[6] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
             pa.array([r[5] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array(contents, pa.int64()),
             pa.array(bands, pa.list_(pa.int64())), sentences, sown,
         ], schema=_UNIT_SCHEMA)
 
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).dropna()
-    return rows.mapInArrow(run, UNITS)
+    return _nodes(docs).mapInArrow(run, UNITS)
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, node (a hash of id and text) and text of the rows that have both."""
+    doc_id, text = docs["doc_id"].cast("bigint"), docs["text"].cast("string")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("node"), text.alias("text")).dropna()
 
 
 def _set(text: str, memo: WordHashes) -> np.ndarray:
@@ -238,11 +259,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _texts(docs: DataFrame, units: DataFrame, active: DataFrame) -> DataFrame:
     """h and text of one occurrence of each active paragraph."""
     places = (
-        units.filter("bands IS NOT NULL").select("h", F.struct("doc_id", "start", "stop").alias("place")).join(active, "h")
+        units.filter("bands IS NOT NULL").select("h", F.struct("node", "start", "stop").alias("place")).join(active, "h")
         .groupBy("h").agg(F.min("place").alias("place")).select("h", "place.*")
     )
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.join(places, "doc_id").select("h", F.expr("substring(text, start + 1, stop - start)").alias("text")).groupBy("h").agg(F.min("text").alias("text"))
+    return _nodes(docs).join(places, "node").select("h", F.expr("substring(text, start + 1, stop - start)").alias("text")).groupBy("h").agg(F.min("text").alias("text"))
 
 
 def _stars(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -328,59 +348,78 @@ def _word_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return words, places
 
 
-def repeated_windows(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """The runs of ``SPAN`` words whose smallest seed is in several documents."""
-    sown = units.select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.*")
-    repeated = sown.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
-    places = sown.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+def repeated_runs(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """Repeated stretches, and the runs of ``SPAN`` words of seeds with different stretches (``FOUND``)."""
+    sown = units.select("doc_id", "node", F.explode("stretches").alias("s")).select("doc_id", "node", "s.*")
+    seeds = (
+        sown.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+        .filter("low < high").select("h", (F.col("g0") < F.col("g1")).alias("several"))
+    )
+    # Rows of seeds that stand in one document only end here.
+    held = stage(sown.join(seeds, "h"), "stretches")
+    classes = (
+        held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "node", "at")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .select("h", "g", "first", (F.col("low") < F.col("high")).alias("repeated"))
+    )
+    marked = held.join(classes, ["h", "g"]).withColumn(
+        "opened", F.col("several") & (F.struct("doc_id", "node", "at") == F.col("first"))).filter("repeated OR opened")
+    places = marked.groupBy("node").agg(F.collect_list(F.struct("at", "words", "h", "g", "repeated", "opened")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
-                text = text.as_py()
-                words = [w for line in text.split("\n") for _, _, mine in _sentences(line, 0, len(line), memo) for w in mine]
-                hashes = memo.of(words)
-                runs, least = _runs(hashes)
-                places = places.values.to_numpy()
-                begins = np.flatnonzero(np.isin(least, runs[places[places < len(runs)]]))
-                if not len(begins):
-                    continue
-                ranges = np.array(_word_places(text)[1])
-                for begin in (begins[i : i + 10_000] for i in range(0, len(begins), 10_000)):
-                    keys = _digests(hashes, [(b, SPAN) for b in begin.tolist()])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(begin), doc_id, np.int64)), pa.array(ranges[begin, 0].astype(np.int32)),
-                        pa.array(ranges[begin + SPAN - 1, 1].astype(np.int32)), pa.array(begin.astype(np.int32)),
-                        pa.array(np.full(len(begin), SPAN, np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                    ], names=["doc_id", "start", "stop", "at", "words", "h", "g"])
-
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).dropna()
-    return rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, WINDOWS)
+            columns = (batch.column(c) for c in ("doc_id", "node", "text", "places"))
+            for doc_id, node, text, places in zip(*columns, strict=True):
+                text, places = text.as_py(), places.values
+                at, count, h, g, repeated, opened = (places.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                whole = [(at[repeated], count[repeated], h[repeated], g[repeated])]
+                if opened.any():
+                    words = [w for line in text.split("\n") for _, _, mine in _sentences(line, 0, len(line), memo) for w in mine]
+                    hashes = memo.of(words)
+                    digests = _span_digests(hashes, max(len(hashes) - SPAN + 1, 0)).view(np.int64)
+                    runs = count[opened] - SPAN + 1
+                    begins = np.repeat(at[opened], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+                    whole.append((begins, np.full(len(begins), SPAN), np.repeat(h[opened], runs), digests[begins]))
+                ranges = np.array(_word_places(text)[1], np.int32).reshape(-1, 2)
+                for begins, counts, h, g in whole:
+                    for i in range(0, len(begins), 10_000):
+                        b, n = begins[i : i + 10_000], counts[i : i + 10_000]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(b), doc_id.as_py(), np.int64)), pa.array(np.full(len(b), node.as_py(), np.int64)),
+                            pa.array(ranges[b, 0]), pa.array(ranges[b + n - 1, 1]), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32)),
+                            pa.array(h[i : i + 10_000]), pa.array(g[i : i + 10_000]),
+                        ], names=["doc_id", "node", "start", "stop", "at", "words", "h", "g"])
+
+    return _nodes(docs).join(places, "node").mapInArrow(run, FOUND)
 
 
 def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
     """doc_id, start and stop (characters), n_words, first_doc and removed of every repeated span."""
+    return _spans(docs, threshold, span).drop("node")
+
+
+def _spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
+    """The repeated spans with the ``node`` of the text that they are places in."""
     units = stage(paragraph_units(docs), "units")
-    sentences = units.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
+    sentences = units.select("doc_id", "node", F.explode("sentences").alias("s")).select("doc_id", "node", "s.*")
     # Two passes: which hashes are in several documents, then only their rows.
-    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
+    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "node", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
     sentences = sentences.unionByName(paragraphs)
-    repeated = sentences.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
-    found = sentences.join(repeated, "h").select("doc_id", "start", "stop", "at", "words", "h", "g")
+    repeated = sentences.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("h")
+    found = sentences.join(repeated, "h").select("doc_id", "node", "start", "stop", "at", "words", "h", "g")
     near = stage(_near_paragraphs(docs, units, threshold), "near-paragraphs")
-    found = stage(found.unionByName(repeated_windows(docs, units)).unionByName(
-        paragraphs.join(near, "h").select("doc_id", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
-    place = F.struct("doc_id", "at")
+    found = stage(found.unionByName(repeated_runs(docs, units)).unionByName(
+        paragraphs.join(near, "h").select("doc_id", "node", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
+    place = F.struct("doc_id", "node", "at")
     first = (
-        found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max("doc_id").alias("high"))
-        .filter("first.doc_id < high").select("h", "g", "first")
+        found.groupBy("h", "g").agg(F.min(place).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .filter("low < high").select("h", "g", "first")
     )
     marked = found.join(first, ["h", "g"]).select(
-        "doc_id", "start", "stop", "at", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("removed"))
+        "doc_id", "node", "start", "stop", "at", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("removed"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc_id, removed), table in consecutive(batches, ["doc_id", "removed"]):
+        for (doc_id, node, removed), table in consecutive(batches, ["doc_id", "node", "removed"]):
             rows, current = [], None
             for start, stop, at, words, origin in zip(*(table.column(c).to_pylist() for c in ("start", "stop", "at", "words", "first_doc")), strict=True):
                 if current and (start <= current[1] + 8 * GAP or at <= current[4] + GAP):
@@ -393,28 +432,28 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SP
             rows = [r for r in [*rows, current] if r[2] >= span]
             if rows:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([doc_id] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.int64()))),
+                    pa.array([doc_id] * len(rows), pa.int64()), pa.array([node] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.int64()))),
                     pa.array([bool(removed)] * len(rows)),
-                ], names=["doc_id", "start", "stop", "n_words", "first_doc", "removed"])
+                ], names=["doc_id", "node", "start", "stop", "n_words", "first_doc", "removed"])
 
     return (
-        marked.withColumn("removed", F.col("removed").cast("int")).repartition("doc_id")
-        .sortWithinPartitions("doc_id", "removed", "start", F.desc("stop"))
-        .mapInArrow(merge, "doc_id bigint, start int, stop int, n_words int, first_doc bigint, removed boolean")
+        marked.withColumn("removed", F.col("removed").cast("int")).repartition("node")
+        .sortWithinPartitions("doc_id", "node", "removed", "start", F.desc("stop"))
+        .mapInArrow(merge, "doc_id bigint, node bigint, start int, stop int, n_words int, first_doc bigint, removed boolean")
     )
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the removed spans cut out of ``text``."""
-    spans = stage(repeated_spans(docs, **options), "spans")
-    cuts = (
-        spans.filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-        .withColumnRenamed("doc_id", "_id")
-    )
-    text = F.col("text")
+    spans = stage(_spans(docs, **options), "spans")
+    cuts = spans.filter("removed").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    # The document is one column beside the keys, so its own columns may have any names.
+    node = F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string")))
+    rows = docs.select(node.alias("node"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row.text")
     # Pieces between the cuts; spans of a document do not overlap.
-    ends = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length(text)))
-    begins = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["stop"]))
+    ends = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text)))
+    begins = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["stop"]))
     pieces = F.zip_with(begins, ends, lambda b, e: F.substring(text, b + 1, F.greatest(e - b, F.lit(0))))
-    joined = docs.join(cuts, docs["doc_id"] == F.col("_id"), "left")
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), text).otherwise(F.concat_ws("", pieces))).select(*docs.columns)
+    cut = F.when(F.col("cuts").isNull(), text).otherwise(F.concat_ws("", pieces))
+    return rows.join(cuts, "node", "left").select(F.col("row").withField("text", cut).alias("row")).select("row.*")

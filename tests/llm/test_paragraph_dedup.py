@@ -135,3 +135,83 @@ def test_a_passage_in_lines_of_four_words(spark):
     got = run(spark, rows)
     assert covered(got, rows, shared, len(set(words))) == {0, 1, 2, 3}
     assert [(r.doc_id, r.n_words, r.first_doc) for r in sorted(got, key=lambda r: r.doc_id)] == [(i, 80, 0) for i in range(4)]
+
+
+def test_an_id_with_several_texts_is_several_documents(spark):
+    shared, own, other = passage(6), passage(4), passage(6)
+    rows = [(1, f"{shared} {own}"), (2, f"{passage(2)} {shared}"), (2, other), (2, other)]
+    docs = spark.createDataFrame(rows, DDL).selectExpr("doc_id", "text", "1 AS node", "2 AS row", "3 AS cuts", "4 AS _id", "5 AS _cuts").repartition(3)
+    left = pd.remove_repeats(docs)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in left.collect())
+    assert [t for i, t in got if i == 1] == [rows[0][1]]
+    assert [t for i, t in got if t == other] == [other, other]
+    (cut,) = [t for i, t in got if i == 2 and t != other]
+    assert cut and len(cut) <= len(rows[1][1]) - 0.9 * len(shared)
+
+
+def brute_runs(rows, span=pd.SPAN):
+    """Word places (doc_id, place) in a run of ``span`` words that an earlier document has; all shared places."""
+    words = {i: [w for line in t.split("\n") for w in pd.words_of(line)] for i, t in rows if t}
+    holders = {}
+    for i, ws in words.items():
+        for at in range(len(ws) - span + 1):
+            holders.setdefault(tuple(ws[at : at + span]), set()).add(i)
+    late, shared = set(), set()
+    for i, ws in words.items():
+        for at in range(len(ws) - span + 1):
+            held = holders[tuple(ws[at : at + span])]
+            if len(held) > 1:
+                shared |= {(i, at + k) for k in range(span)}
+                if min(held) < i:
+                    late |= {(i, at + k) for k in range(span)}
+    return late, shared
+
+
+def places(got, rows, removed):
+    texts, out = dict(rows), set()
+    for r in got:
+        if r.removed in removed:
+            before = len(pd._word_places(texts[r.doc_id][: r.start])[0])
+            out |= {(r.doc_id, before + k) for k in range(len(pd._word_places(texts[r.doc_id][r.start : r.stop])[0]))}
+    return out
+
+
+def test_mixed_copies_against_all_runs(spark):
+    """Whole copies, near copies, cut and glued copies: no shared run of 20 words is missed."""
+    rnd = random.Random(83)
+    bases = [passage(14).split() for _ in range(5)]
+    rows = []
+    for i in range(70):
+        words = list(rnd.choice(bases))
+        kind = i % 5
+        if kind == 1:
+            for _ in range(rnd.randrange(1, 6)):
+                words[rnd.randrange(len(words))] = f"e{rnd.randrange(10**6)}"
+        elif kind == 2:
+            cut = rnd.randrange(len(words) - 25)
+            words = words[cut : cut + rnd.randrange(18, 60)] + passage(3).split()
+        elif kind == 3:
+            other = rnd.choice(bases)
+            words = words[: rnd.randrange(20, len(words))] + other[rnd.randrange(len(other) - 20) :]
+        elif kind == 4:
+            words = passage(6).split() + words[rnd.randrange(len(words)) :]
+        rows.append((i, " ".join(words)))
+    rows += [(100, "w " * 200), (101, "x " + "w " * 90), (102, "w " * 21 + "end")]
+    got = run(spark, rows)
+    late, shared = brute_runs(rows)
+    assert not late - places(got, rows, {True})
+    assert not shared - places(got, rows, {True, False})
+
+
+def test_the_small_table_against_all_runs(spark):
+    from conftest import SF_DIR
+    from tallyspark.llm.queries import QUERIES
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op8_paragraph_minhash"](spark, SF_DIR).collect()
+    late, shared = brute_runs(rows)
+    assert late and not late - places(got, rows, {True})
+    assert not shared - places(got, rows, {True, False})
+    # What is removed beyond shared runs are repeated pieces and near paragraphs with their gaps.
+    assert len(places(got, rows, {True})) <= 1.35 * len(late)
