@@ -3,7 +3,8 @@ import json
 import random
 
 from tallyspark.operators.calls import parse_calls
-from tallyspark.operators.chaining import chain_sessions
+from tallyspark.operators import chaining
+from tallyspark.operators.chaining import _split_hot, chain_sessions
 from tallyspark.operators.ledger import assign_sessions
 from tallyspark.plans.staging import stage
 from tallyspark.schemas import CALL_RAW
@@ -107,3 +108,56 @@ def test_a_shared_first_message_is_cut_below_it(spark):
         if rng.random() < 0.1:
             calls.append((None, ["sys"]))
     check(spark, {"a": calls}, 40, assign_sessions)
+
+
+def parts(spark, order, hot_rows):
+    """Calls per component after the cuts."""
+    calls = stage(parse_calls(spark.createDataFrame(raw_rows(order), CALL_RAW)), "t")
+    narrow = calls.select("call_seq", "header", "n_messages", "prefix_keys", "auto_id")
+    placed, *_ = _split_hot(narrow, hot_rows)
+    return [r["count"] for r in placed.groupBy("component").count().collect()]
+
+
+def one_root(rng, n, named, below=60):
+    """A shared first message, many conversations below it, and a share of calls with an id."""
+    calls, open_lists = [], [["sys"]]
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.06:
+            m = ["sys"]
+        elif kind < 0.5:
+            m = rng.choice(open_lists[-40:]) + [f"t{rng.randrange(3)}"]
+        else:
+            m = ["sys", f"u{rng.randrange(below)}"] + [f"t{rng.randrange(2)}" for _ in range(rng.randrange(3))]
+        open_lists.append(m)
+        calls.append((f"id{rng.randrange(5)}" if rng.random() < named else None, m))
+    return calls
+
+
+def test_one_call_with_an_id_does_not_stop_the_cuts(spark):
+    rng = random.Random(14)
+    calls = [(None, ["sys"] + [f"u{rng.randrange(300)}"] + ["t"] * rng.randrange(4)) for _ in range(2000)]
+    for at in (300, 900, 1500):
+        calls[at] = (None, ["sys"])
+    for at in (301, 1000):  # right after a call of the shared message, and elsewhere
+        mixed = list(calls)
+        mixed[at] = ("me", mixed[at][1])
+        order, _ = check(spark, {"a": mixed}, 20, assign_sessions)
+        assert max(parts(spark, order, 20)) <= 40
+
+
+def test_mixed_components_equal_the_sequential_scan(spark):
+    for seed, named in ((21, 0.02), (22, 0.1), (23, 0.4)):
+        rng = random.Random(seed)
+        scenarios = {f"q{i}": [(h and f"q{i}-{h}", [f"q{i}"] + m) for h, m in one_root(rng, 150, named, 8)] for i in range(4)}
+        # Ids that move between components leave their old one.
+        scenarios["z"] = [(h and f"q0-{h}", ["z"] + m) for h, m in one_root(rng, 80, 0.3, 8)]
+        check(spark, scenarios, 12, assign_sessions)
+
+
+def test_a_long_wait_at_the_root_is_followed_to_its_end(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "FIRST_EVENTS", 3)
+    calls = [(None, ["sys"]), ("me", ["sys", "a"])]
+    calls += [(None, ["sys", "a"] + ["t"] * i) for i in range(1, 60)]
+    calls += [(None, ["sys", "b"]), (None, ["sys", "b", "c"])] + [(None, ["sys", f"u{i}"]) for i in range(40)]
+    check(spark, {"a": calls}, 10, assign_sessions)
