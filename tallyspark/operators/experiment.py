@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import stats
 from ..functions.rounding import from_units, py_round
 
+# Executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Names of the two arms every plan gets.
 SHAM_ARM = "aa_sham"
 RAW_ARM = "raw_trajectory"
@@ -56,23 +64,22 @@ def with_mandatory_arms(arms: Column, include_raw: Column, include_sham: Column)
     return F.array_union(arms, added)
 
 
-def shuffled(cells: Column, key: Column) -> Column:
-    """Cells in the order of a Fisher-Yates shuffle whose draws come from SHA-256 of the key."""
-    def swap(order: Column, i: Column) -> Column:
-        digest = F.sha2(F.concat(key, F.lit("|"), i.cast("string")).cast("binary"), 256)
-        draw = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
-        j = (draw % (i + 1).cast("decimal(20,0)")).cast("int")
-        return F.transform(
-            order,
-            lambda cell, at: F.when(at == i, F.element_at(order, j + 1))
-            .when(at == j, F.element_at(order, i + 1))
-            .otherwise(cell),
-        )
+@F.pandas_udf(ArrayType(IntegerType()))
+def _permutation(sizes: pd.Series, keys: pd.Series) -> pd.Series:
+    """Places in the order of a Fisher-Yates shuffle whose draws come from SHA-256 of key and step."""
+    out = []
+    for size, key in zip(sizes, keys, strict=True):
+        order = list(range(int(size)))
+        for i in range(int(size) - 1, 0, -1):
+            j = int.from_bytes(hashlib.sha256(f"{key}|{i}".encode()).digest()[:8], "big") % (i + 1)
+            order[i], order[j] = order[j], order[i]
+        out.append(order)
+    return pd.Series(out)
 
-    steps = F.when(
-        F.size(cells) > 1, F.sequence(F.size(cells) - 1, F.lit(1), F.lit(-1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, cells, swap)
+
+def shuffled(cells: Column, key: Column) -> Column:
+    """Cells in shuffled order: a block's places are permuted in one pass, then its cells are picked."""
+    return F.transform(_permutation(F.size(cells), key), lambda at: F.element_at(cells, at + 1))
 
 
 def plan_for_tasks(tasks: DataFrame, spec: ExperimentSpec) -> DataFrame:

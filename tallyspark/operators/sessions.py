@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..functions.rounding import from_units, py_round, to_units
 from ..functions.usage import call_tokens
-from ..plans.ordered import CHUNK, HOT_ROWS, across_chunks, in_chunk, tag_chunks, with_position
+from ..plans.ordered import CHUNK, HOT_ROWS, across_chunks, has_hot_key, in_chunk, tag_chunks, with_position
 
 UNKNOWN_SESSION = "?"
 _RATIO_DIGITS = 12
@@ -101,6 +101,19 @@ def compounding_growth(ledger: DataFrame, by: Sequence[str] = ("session",),
     keys = [session_key(F.col(k)).alias(k) if k == "session" else F.col(k) for k in by]
     series = ledger.select(*keys, "call_seq", prompt.alias("_p")).filter(F.col("_p") != 0)
     wide = F.col("_offset").cast("decimal(20,0)")
+    weigh = F.coalesce(F.sum((F.col("_g") * F.col("_i")).cast("decimal(28,0)")), F.lit(0))
+    if not has_hot_key(ledger.select(*keys), by, hot_rows):
+        plain = Window.partitionBy(*by).orderBy("call_seq")
+        totals = series.select(
+            *by,
+            F.greatest(F.col("_p") - F.lag("_p").over(plain), F.lit(0)).alias("_g"),
+            (F.row_number().over(plain) - 1).cast("bigint").alias("_i"),
+        ).groupBy(*by).agg(
+            F.count(F.lit(1)).alias("series_calls"),
+            F.coalesce(F.sum(F.col("_g").cast("decimal(20,0)")), F.lit(0)).alias("_growth"),
+            weigh.alias("_weighted"),
+        )
+        return totals.select(*by, "series_calls", _carried().alias("carried_growth"))
 
     ordered = in_chunk(by, "call_seq")
     grown = tag_chunks(series, by, "call_seq", hot_rows).select(
@@ -113,7 +126,7 @@ def compounding_growth(ledger: DataFrame, by: Sequence[str] = ("session",),
         F.min_by("_p", "call_seq").alias("_first"),
         F.max_by("_p", "call_seq").alias("_last"),
         F.coalesce(F.sum("_g"), F.lit(0)).alias("_g"),
-        F.coalesce(F.sum((F.col("_g") * F.col("_i")).cast("decimal(28,0)")), F.lit(0)).alias("_gi"),
+        weigh.alias("_gi"),
     )
     over = across_chunks(by)
     before = over.rowsBetween(-(2**31), -1)
@@ -131,10 +144,11 @@ def compounding_growth(ledger: DataFrame, by: Sequence[str] = ("session",),
             "_weighted"
         ),
     )
-    carried = (F.col("series_calls") - 1).cast("decimal(12,0)") * F.col("_growth").cast(
-        "decimal(24,0)"
-    ) - F.col("_weighted")
-    return totals.select(*by, "series_calls", carried.cast("double").alias("carried_growth"))
+    return totals.select(*by, "series_calls", _carried().alias("carried_growth"))
+
+
+def _carried() -> Column:
+    return ((F.col("series_calls") - 1).cast("decimal(12,0)") * F.col("_growth").cast("decimal(24,0)") - F.col("_weighted")).cast("double")
 
 
 def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),

@@ -4,6 +4,10 @@ A window partitioned by session puts a whole session into one task.  Here a key
 than ``hot_rows`` rows is cut into chunks of about that many rows along its order column;
 each chunk is windowed on its own, one summary row per chunk is windowed per key, and the
 result is carried back to the chunk.  Ordinary keys keep chunk 0 and need one shuffle.
+
+Whether any key is that large is counted first, from the key columns alone.  Where none is, which
+is the rule, the plan is the plain window: one shuffle, one sort, no join.  Pass a staged or stored
+table, of which that count reads nothing but the keys.
 """
 
 from __future__ import annotations
@@ -40,6 +44,12 @@ def tag_chunks(df: DataFrame, keys: Sequence[str], order: str,
     )
 
 
+def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
+    """Whether a key has more than ``hot_rows`` rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.filter(F.col("_n") > hot_rows).limit(1).isEmpty()
+
+
 def in_chunk(keys: Sequence[str], order: str):
     return Window.partitionBy(*keys, CHUNK).orderBy(order)
 
@@ -52,6 +62,12 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, values: dict[s
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add, per name, the latest earlier non-NULL value of its expression within the key."""
     names = list(values)
+    if not has_hot_key(df, keys, hot_rows):
+        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"_v_{n}": e for n, e in values.items()}).select(
+            *[F.col(c) for c in df.columns],
+            *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(n) for n in names],
+        )
     tagged = tag_chunks(
         df.withColumns({f"_v_{n}": e for n, e in values.items()}), keys, order, hot_rows
     )
@@ -86,6 +102,9 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, values: dict[s
 def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str = "pos",
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the zero-based position of each row within its key."""
+    if not has_hot_key(df, keys, hot_rows):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint")
+        return df.withColumn(name, place - 1)
     tagged = tag_chunks(df, keys, order, hot_rows)
     local = tagged.withColumn("_rn", F.row_number().over(in_chunk(keys, order)).cast("bigint"))
     counts = tagged.filter("_hot").groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))

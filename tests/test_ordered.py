@@ -89,3 +89,31 @@ def test_ratio_sums_pass_nine_million_calls(spark):
 
     rows = spark.range(9_400_000).select(F.lit(10**12).cast("bigint").alias("ratio_units"))
     assert rows.agg(_total("ratio_units")).first()[0] == 9_400_000 * 10**12
+
+
+def test_without_a_hot_key_the_plan_is_a_plain_window(spark):
+    df = table(spark)
+    for got in (with_previous(df, ["key"], "seq", {"p": F.col("v")}), with_position(df, ["key"], "seq")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_block_of_ten_thousand_cells_is_shuffled_in_one_pass(spark):
+    import hashlib
+    import time
+
+    from tallyspark.operators.experiment import shuffled
+
+    def plain(n, key):
+        out = list(range(n))
+        for i in range(n - 1, 0, -1):
+            j = int.from_bytes(hashlib.sha256(f"{key}|{i}".encode()).digest()[:8], "big") % (i + 1)
+            out[i], out[j] = out[j], out[i]
+        return out
+
+    rows = spark.createDataFrame([(n, f"k{n}") for n in (0, 1, 2, 7, 10_000)], "n INT, key STRING")
+    cells = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    start = time.perf_counter()
+    got = {r.n: list(r.s) for r in rows.select("n", shuffled(cells, F.col("key")).alias("s")).collect()}
+    assert time.perf_counter() - start < 20
+    assert got == {n: plain(n, f"k{n}") for n in (0, 1, 2, 7, 10_000)}
