@@ -39,8 +39,11 @@ def canonical_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def common_prefix_len(a: Column, b: Column) -> Column:
-    """Number of leading characters two texts share, by halving steps over substrings."""
+def common_prefix_len(a: Column, b: Column, bits: int = LENGTH_BITS) -> Column:
+    """Number of leading characters two texts share, by halving steps over substrings.
+
+    ``bits``: the texts are shorter than ``2 ** (bits + 1)`` characters.
+    """
     limit = F.least(F.length(a), F.length(b))
 
     def extend(done: Column, bit: Column) -> Column:
@@ -52,7 +55,7 @@ def common_prefix_len(a: Column, b: Column) -> Column:
 
     return F.when(
         a.isNotNull() & b.isNotNull(),
-        F.aggregate(F.sequence(F.lit(LENGTH_BITS), F.lit(0), F.lit(-1)), F.lit(0), extend),
+        F.aggregate(F.sequence(F.lit(bits), F.lit(0), F.lit(-1)), F.lit(0), extend),
     )
 
 

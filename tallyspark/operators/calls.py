@@ -10,9 +10,11 @@ from ..functions.rounding import py_round
 from ..functions.usage import parse_usage, tool_names, with_usage
 
 _REQUEST_DDL = (
-    "model STRING, prompt VARIANT, tools VARIANT, system VARIANT, messages ARRAY<VARIANT>, "
+    "model STRING, prompt VARIANT, tools VARIANT, system VARIANT, messages VARIANT, "
     "_bad STRING"
 )
+#: Characters of a message that one digest covers, and that one row of the message store holds.
+BLOCK_CHARS = 1024
 PARSE_ERROR = "JSONDecodeError"  # fixed value
 
 
@@ -23,12 +25,17 @@ def request_of(body: Column) -> Column:
 def message_texts(request: Column) -> Column:
     """Canonical text of each message."""
     return F.coalesce(
-        F.transform(request["messages"], lambda m: F.to_json(m)), F.array().cast("array<string>")
+        F.transform(messages_of(request), lambda m: F.to_json(m)), F.array().cast("array<string>")
     )
 
 
-def prefix_keys(texts: Column) -> Column:
-    """128-bit digests of the message list cut after 1, 2, ... messages.
+def messages_of(request: Column) -> Column:
+    """The message list; NULL where ``messages`` is something else."""
+    return F.try_variant_get(request["messages"], "$", "array<variant>")
+
+
+def prefix_keys(digests: Column) -> Column:
+    """128-bit digests of the message list cut after 1, 2, ... messages, from the messages' digests.
 
     Two calls share their first k messages exactly when they share key k.
     """
@@ -38,17 +45,43 @@ def prefix_keys(texts: Column) -> Column:
 
     empty = F.array().cast("array<binary>")
     return F.aggregate(
-        texts, empty,
+        digests, empty,
         lambda keys, m: F.array_append(
             keys, key(F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit(bytearray(b""))), m)
         ),
     )
 
 
+def text_blocks(message: Column) -> Column:
+    """A text cut into blocks of ``BLOCK_CHARS`` characters."""
+    return F.regexp_extract_all(message, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def message_store(calls: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Each different block of the calls' messages once: ``sha`` of its message, ``key``, ``block``.
+
+    ``calls`` is the staged result of :func:`parse_calls`.  ``wanted`` (``sha``, ``key``) must be
+    small enough to be broadcast; without it the map side already keeps one row per block.
+    """
+    messages = calls.select(
+        F.explode(F.arrays_zip(
+            F.col("message_sha256").alias("sha"), F.col("block_keys").alias("keys"),
+            F.col("message_texts").alias("text"))).alias("m")
+    )
+    blocks = messages.select(
+        F.col("m.sha").alias("sha"),
+        F.explode(F.arrays_zip(F.col("m.keys").alias("key"), text_blocks(F.col("m.text")).alias("block"))).alias("b"),
+    ).select("sha", "b.*")
+    if wanted is not None:
+        blocks = blocks.join(F.broadcast(wanted), ["sha", "key"], "left_semi")
+    return blocks.groupBy("sha", "key").agg(F.first("block").alias("block"))
+
+
 def parse_calls(call_raw: DataFrame, keep_text: bool = False) -> DataFrame:
     """Everything later steps need from the bodies, without the bodies.
 
-    ``keep_text`` adds ``canonical``, the text of the whole message list.
+    Of the texts only ``message_texts`` remain, for :func:`message_store`; a stored column that no
+    other step reads.  ``keep_text`` adds ``canonical``, the text of the whole message list.
 
     A request that is not JSON keeps its row and is named in ``request_parse_error``; a
     response that cannot be read has NULL usage.
@@ -57,6 +90,7 @@ def parse_calls(call_raw: DataFrame, keep_text: bool = False) -> DataFrame:
         with_usage(call_raw, "_res")
         .withColumn("_req", request_of(F.col("request_body")))
         .withColumn("_texts", message_texts(F.col("_req")))
+        .withColumn("_digests", F.transform("_texts", lambda t: text.sha256_hex(t, 32)))
     )
     req = F.col("_req")
     texts = F.col("_texts")
@@ -65,7 +99,7 @@ def parse_calls(call_raw: DataFrame, keep_text: bool = False) -> DataFrame:
     seed = text.canonical_json(req["prompt"])
     whole = text.canonical_list(texts)
     roles = F.transform(
-        F.filter(req["messages"], lambda m: F.startswith(F.to_json(m), F.lit("{"))),
+        F.filter(messages_of(req), lambda m: F.startswith(F.to_json(m), F.lit("{"))),
         lambda m: F.try_variant_get(m, "$.role", "string"),
     )
     return parsed.select(
@@ -87,10 +121,12 @@ def parse_calls(call_raw: DataFrame, keep_text: bool = False) -> DataFrame:
         tool_names(req["tools"]).alias("tool_names"),
         F.size(texts).alias("n_messages"),
         F.coalesce(roles, F.array().cast("array<string>")).alias("roles"),
-        F.transform(texts, lambda t: text.sha256_hex(t, 16)).alias("message_sha256"),
+        F.transform("_digests", lambda d: F.substring(d, 1, 16)).alias("message_sha256"),
         F.transform(texts, lambda t: F.octet_length(t).cast("bigint")).alias("message_bytes"),
         F.transform(texts, lambda t: F.length(t)).alias("message_chars"),
-        prefix_keys(texts).alias("prefix_keys"),
+        prefix_keys(F.col("_digests")).alias("prefix_keys"),
+        F.transform(texts, lambda t: F.transform(text_blocks(t), lambda b: F.xxhash64(b))).alias("block_keys"),
+        texts.alias("message_texts"),
         text.auto_session(
             F.when(F.size(texts) > 0, whole).otherwise(F.coalesce(seed, F.lit("[]")))
         ).alias("auto_id"),

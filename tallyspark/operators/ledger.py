@@ -116,8 +116,8 @@ def build_ledger(call_raw: DataFrame, profiles: DataFrame, prices: DataFrame,
                  cache_schemas: DataFrame, hot_rows: int = HOT_ROWS) -> AuditTables:
     """Meter raw calls.
 
-    Bodies are parsed once into a staged narrow table; sessions, previous-call links and
-    prices work on that.  The linked rows are staged too, because the ledger, the traces and
+    Bodies are read and parsed once, into a staged table; sessions, previous-call links and
+    prices read its narrow columns, and the comparison of rewritten messages its texts.  The linked rows are staged too, because the ledger, the traces and
     the text comparison all read them, and so is the outcome of that comparison.
     """
     calls = stage(parse_calls(call_raw), "calls")
@@ -128,7 +128,7 @@ def build_ledger(call_raw: DataFrame, profiles: DataFrame, prices: DataFrame,
         ),
         "linked",
     )
-    lcp = stage(differing_prefix(compared, call_raw), "lcp")
+    lcp = stage(differing_prefix(compared, calls), "lcp")
     settled = compared.filter(~F.col("texts_differ")).withColumn("lcp", F.lit(None).cast("int"))
     rewritten = compared.filter("texts_differ").join(lcp, "call_seq", "left")
     rows = settled.unionByName(rewritten.select(*settled.columns)).withColumn(

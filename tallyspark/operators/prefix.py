@@ -9,9 +9,11 @@ from ..functions.pricing import PREFIX_MUTATION_MULTIPLIER
 from ..functions.rounding import py_round
 from ..functions.text import common_prefix_len
 from ..plans.ordered import HOT_ROWS, with_previous
-from .calls import request_of
+from .calls import BLOCK_CHARS, message_store
 
 _SEGMENTS = ("tools", "system", "model")
+#: Digests of up to so many blocks (about 50 bytes each) are broadcast to pick from the messages.
+BROADCAST_BLOCKS = 500_000
 
 
 def link_previous(calls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -24,7 +26,8 @@ def link_previous(calls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         calls, ["session"], "call_seq",
         {
             "prev_messages": F.when(
-                F.col("n_messages") > 0, F.struct("call_seq", "prefix_keys", "message_chars")
+                F.col("n_messages") > 0, F.struct(
+                    "call_seq", "prefix_keys", "message_chars", "message_sha256", "block_keys")
             ),
             "prev_segments": F.struct(
                 F.col("tools_key").alias("tools"), F.col("system_key").alias("system"),
@@ -62,7 +65,8 @@ def mutation() -> Column:
 
 def compare_messages(linked: DataFrame) -> DataFrame:
     """Replace the key and length arrays by counts: shared messages, shared characters, the
-    previous open form's length, and whether one pair of texts has to be compared."""
+    previous open form's length, and, where a message was rewritten, in which block the two texts
+    part (``differing``: the block's number and both sides' keys in the message store)."""
     prev = F.col("prev_messages")
     shared = F.size(
         F.filter(
@@ -78,6 +82,14 @@ def compare_messages(linked: DataFrame) -> DataFrame:
     step1 = linked.withColumn("_shared", F.when(prev.isNotNull() & (F.col("n_messages") > 0), shared))
     same = F.col("_shared")
     differs = (same < n_prev) & (same < F.col("n_messages"))
+    own_keys, old_keys = (F.try_element_at(k, same + 1) for k in (F.col("block_keys"), prev["block_keys"]))
+    equal = F.zip_with(own_keys, old_keys, lambda a, b: a.eqNullSafe(b))
+    block = F.greatest(F.array_position(equal, False), F.lit(1)).cast("int")
+    differing = F.struct(
+        (block - 1).alias("block"),
+        F.try_element_at("message_sha256", same + 1).alias("own_sha"), F.try_element_at(own_keys, block).alias("own_key"),
+        F.try_element_at(prev["message_sha256"], same + 1).alias("old_sha"), F.try_element_at(old_keys, block).alias("old_key"),
+    )
     # "[" and the shared messages, each followed by a comma when both lists go on after it.
     chars = (
         F.lit(1) + total(F.slice(prev["message_chars"], F.lit(1), same))
@@ -85,44 +97,39 @@ def compare_messages(linked: DataFrame) -> DataFrame:
     )
     return step1.withColumns(
         {
-            "prev_seq": prev["call_seq"],
-            "shared_messages": same,
+            "differing": F.when(differs, differing),
             "base_chars": F.when(same.isNotNull(), total(prev["message_chars"]) + n_prev),
             "shared_chars": F.when(same.isNotNull(), chars),
             "texts_differ": F.coalesce(differs, F.lit(False)),
         }
-    ).drop("_shared", "prev_messages", "prefix_keys", "message_chars")
+    ).drop("_shared", "prev_messages", "prefix_keys", "message_chars", "block_keys", "message_texts")
 
 
-def differing_prefix(compared: DataFrame, call_raw: DataFrame) -> DataFrame:
+def differing_prefix(compared: DataFrame, calls: DataFrame) -> DataFrame:
     """(call_seq, lcp): common characters of the first differing message pair.
 
-    Only calls that rewrote a message read texts again, and only that one message of the two
-    calls is moved; append-only calls are settled by the digests.
+    The digests say in which block the texts part, so two blocks per rewritten message are fetched
+    from the message store; no body and no whole text is joined, and a long message is a block.
     """
-    todo = compared.filter("texts_differ").select("call_seq", "prev_seq", "shared_messages")
-    wanted = todo.select(
-        F.col("call_seq").alias("owner"), "shared_messages",
+    sides = compared.filter("texts_differ").select(
+        "call_seq", "differing.block",
         F.explode(
             F.array(
-                F.struct(F.col("call_seq").alias("seq"), F.lit(True).alias("own")),
-                F.struct(F.col("prev_seq").alias("seq"), F.lit(False).alias("own")),
+                F.struct(F.lit(True).alias("own"), F.col("differing.own_sha").alias("sha"), F.col("differing.own_key").alias("key")),
+                F.struct(F.lit(False).alias("own"), F.col("differing.old_sha").alias("sha"), F.col("differing.old_key").alias("key")),
             )
-        ).alias("t"),
-    ).select("owner", "shared_messages", F.col("t.seq").alias("call_seq"), F.col("t.own").alias("own"))
-    texts = wanted.join(call_raw.select("call_seq", "request_body"), "call_seq").select(
-        "owner", "own",
-        F.to_json(
-            F.try_element_at(request_of(F.col("request_body"))["messages"], F.col("shared_messages") + 1)
-        ).alias("text"),
-    )
-    pairs = texts.groupBy("owner").agg(
-        F.max(F.when(F.col("own"), F.col("text"))).alias("a"),
-        F.max(F.when(~F.col("own"), F.col("text"))).alias("b"),
-    )
-    return pairs.select(
-        F.col("owner").alias("call_seq"), common_prefix_len(F.col("a"), F.col("b")).alias("lcp")
+        ).alias("s"),
+    ).select("call_seq", F.col("block").alias("number"), "s.*").filter(F.col("key").isNotNull())
+    wanted = sides.select("sha", "key").distinct()
+    few = wanted.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    pairs = sides.join(message_store(calls, wanted if few else None), ["sha", "key"]).groupBy("call_seq").agg(
+        F.max("number").alias("number"),
+        F.max(F.when(F.col("own"), F.col("block"))).alias("a"),
+        F.max(F.when(~F.col("own"), F.col("block"))).alias("b"),
     )
+    # A text that ends before the block shares nothing more.
+    rest = F.coalesce(common_prefix_len(F.col("a"), F.col("b"), BLOCK_CHARS.bit_length()), F.lit(0))
+    return pairs.select("call_seq", (F.col("number") * BLOCK_CHARS + rest).alias("lcp"))
 
 
 def stable_ratio(lcp: Column) -> Column:
