@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import secrets
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import disclosure as d
 from ..functions.text import hmac_sha256_hex, ledger_day
 from ..functions.usage import parse_usage
+from ..plans.ordered import with_position
 from ..plans.ranking import global_rank
 from ..sources.ledgers import day_range, trace_day_range
 from .sessions import session_key, trace_ratio_lists, trace_shapes
@@ -74,11 +76,16 @@ def first_seen_dictionary(ledger: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def project_ledger(ledger: DataFrame, dictionary: DataFrame, include_model_names: bool = False) -> DataFrame:
-    """Ledger rows through the closed schema; a string above the bound fails the job."""
+    """Ledger rows through the closed schema; a string above the bound fails the job.
+
+    ``row`` is the call's place in its day, which keeps the order without the call numbers.
+    """
     model = F.col("model") if include_model_names else d.pseudonym(F.col("model"))
-    rows = ledger.withColumn("session", session_key(F.col("session"))).join(dictionary, "session")
+    placed = with_position(
+        ledger.withColumn("_day", F.coalesce("ledger_day", F.lit("0001-01-01").cast("date"))), ["_day"], "call_seq", "row")
+    rows = placed.withColumn("session", session_key(F.col("session"))).join(dictionary, "session")
     out = rows.select(
-        "ledger_day", "ts", F.col("label").alias("session"),
+        "ledger_day", "row", "ts", F.col("label").alias("session"),
         d.closed(F.col("dialect"), d.DIALECTS).alias("dialect"),
         d.closed(F.col("path"), d.PATHS).alias("path"),
         "status", "latency_ms", model.alias("model"),
@@ -97,9 +104,10 @@ def project_ledger(ledger: DataFrame, dictionary: DataFrame, include_model_names
 
 
 def project_traces(traces: DataFrame, dictionary: DataFrame, salt: bytes) -> DataFrame:
-    """Trace rows with message hashes re-keyed under the submission's salt."""
-    out = traces.join(dictionary, "session").select(
-        F.col("label").alias("session"), "ts", "status", "n_messages",
+    """Trace rows with message hashes re-keyed under the submission's salt; ``row`` is the event's
+    place in its session."""
+    out = with_position(traces, ["session"], "call_seq", "row").join(dictionary, "session").select(
+        F.col("label").alias("session"), "row", "ts", "status", "n_messages",
         F.transform(F.coalesce("roles", F.array().cast("array<string>")),
                     lambda r: F.coalesce(F.when(r.isin(*d.ROLES), r), F.lit("other"))).alias("roles"),
         F.transform(F.coalesce("message_sha256", F.array().cast("array<string>")),
@@ -154,14 +162,30 @@ def anonymize(ledger: DataFrame, traces: DataFrame, day_from: str, day_to: str,
 
 
 def sample_row(submission: Submission) -> DataFrame:
-    """The preview row: the first ledger row of the first day."""
-    return submission.ledger.orderBy("ledger_day", "ts", "session").limit(1)
+    """The preview row: the first ledger row of the first day, in file order."""
+    return submission.ledger.filter("row = 0").orderBy(F.asc_nulls_last("ledger_day")).limit(1)
 
 
 def write_submission(submission: Submission, path: str) -> None:
-    """``ledger/`` by day, ``traces/`` by trace day, and a one-row ``manifest/``."""
-    submission.ledger.write.partitionBy("ledger_day").parquet(f"{path}/ledger")
-    submission.traces.withColumn("trace_day", ledger_day(F.col("ts"))).write.partitionBy(
-        "trace_day"
-    ).parquet(f"{path}/traces")
-    submission.manifest.write.json(f"{path}/manifest")
+    """One version of the dataset: ``ledger/`` by day, ``traces/`` by trace day, then ``manifest/``.
+
+    Every run writes its tables into a folder of its own, and its manifest, which names that folder, is
+    the last and only thing that readers look for.  A run that fails leaves no manifest, and one that
+    is repeated replaces the manifest, so readers see one whole version at any time.
+    """
+    version = f"version-{uuid.uuid4().hex}"
+    # Rows lie in call order inside each day and session.
+    submission.ledger.repartitionByRange("ledger_day", "row").sortWithinPartitions("ledger_day", "row").write.partitionBy(
+        "ledger_day").parquet(f"{path}/{version}/ledger")
+    submission.traces.withColumn("trace_day", ledger_day(F.col("ts"))).repartitionByRange(
+        "trace_day", "session", "row").sortWithinPartitions("trace_day", "session", "row").write.partitionBy(
+        "trace_day").parquet(f"{path}/{version}/traces")
+    submission.manifest.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ledger, traces and manifest of the version that the manifest names."""
+    found = spark.read.json(f"{path}/manifest")
+    version = found.select("version").first()[0]  # one row
+    return (
+        spark.read.parquet(f"{path}/{version}/ledger"), spark.read.parquet(f"{path}/{version}/traces"), found.drop("version"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..plans.local import local_table
@@ -163,3 +164,122 @@ def _read_front_matter(batches):
             columns=["name", "description", "signature", "steps_replaced", "body",
                      "preconditions", "source", "file_order"],
         )
+
+
+# Profiles of backends
+
+PROFILE_FILES = (
+    "file STRING, name STRING, dialect STRING, base_url STRING, accountant_model STRING, price_date STRING, "
+    "cache_schema ARRAY<STRUCT<category: STRING, surfaces: BOOLEAN, path: ARRAY<STRING>>>, "
+    "prices STRUCT<input_per_1m: DOUBLE, cached_input_per_1m: DOUBLE, output_per_1m: DOUBLE, cache_creation_per_1m: DOUBLE>, "
+    "priced BOOLEAN"
+)
+_CATEGORIES = ("cached_tokens", "cache_creation_tokens", "reasoning_tokens")
+#: Profile files that one task reads.
+FILES_PER_TASK = 64
+
+
+def _number(value) -> float | None:
+    return None if value is None else float(value)
+
+
+def profile_row(file: str, text: str) -> tuple:
+    """The fields of one YAML profile, as ``PROFILE_FILES``."""
+    import yaml
+
+    data = yaml.safe_load(text) or {}
+    if not isinstance(data, dict) or "base_url" not in data:
+        raise ValueError(f"{file}: a profile needs base_url")
+    schema = None
+    if "cache_schema" in data:
+        given = data["cache_schema"] or {}
+        specs = {c: given.get(c) or {} for c in _CATEGORIES}
+        schema = [(c, bool(s.get("surfaces")), [str(p) for p in s["path"]] if s.get("path") else None) for c, s in specs.items()]
+    priced, prices = "prices_per_1m" in data, None
+    if priced:
+        given = data["prices_per_1m"] or {}
+        prices = tuple(_number(given.get(k)) for k in ("input", "cached_input", "output", "cache_creation"))
+    text_or_none = lambda k: None if data.get(k) is None else str(data[k])
+    return (
+        file, str(data.get("name", file.rsplit("/", 1)[-1].rsplit(".", 1)[0])), str(data.get("dialect", "openai")),
+        str(data["base_url"]).rstrip("/"), text_or_none("accountant_model"), text_or_none("price_date"), schema, prices, priced,
+    )
+
+
+class ProfilePartition(InputPartition):
+    def __init__(self, files: list[str]):
+        self.files = files
+
+
+class ProfileReader(DataSourceReader):
+    """Reads the profiles under a path, some files a task."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[ProfilePartition]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+        info = system.get_file_info(root)
+        if info.type == fs.FileType.NotFound:
+            return [ProfilePartition([])]
+        found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
+        names = sorted(f.path for f in found if f.is_file and f.path.endswith((".yaml", ".yml")))
+        return [ProfilePartition(names[i : i + FILES_PER_TASK]) for i in range(0, len(names), FILES_PER_TASK)] or [ProfilePartition([])]
+
+    def read(self, partition: ProfilePartition) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+        for name in partition.files:
+            with system.open_input_stream(name) as f:
+                yield profile_row(name, f.read().decode("utf-8"))
+
+
+class ProfileSource(DataSource):
+    """``spark.read.format("backend_profiles").load(path)``: YAML profiles, one row per file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "backend_profiles"
+
+    def schema(self) -> str:
+        return PROFILE_FILES
+
+    def reader(self, schema: StructType) -> ProfileReader:
+        return ProfileReader(self.options["path"])
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """``PROFILE_FILES`` of the YAML files under a path; a file without ``base_url`` fails the job."""
+    spark.dataSource.register(ProfileSource)
+    return spark.read.format(ProfileSource.name()).load(path)
+
+
+def _unique(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``rows``; reading the result fails where two of them have the same keys."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    described = F.concat_ws(" on ", *[F.col(k) for k in reversed(keys)])
+    twice = F.raise_error(F.concat(F.lit(f"{label} already registered: "), described)).cast("boolean")
+    return rows.join(counts, keys).filter(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True))).drop("_n")
+
+
+def register_profiles(read: DataFrame, prices: DataFrame, cache_schemas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles, and the price and cache-schema tables with what the profiles define.
+
+    A profile without model or price date registers nothing.  One may name a known model; defining
+    a model's schema or its price of a date again, in the tables or in two profiles, is an error, and
+    so is a price without one of the required rates.
+    """
+    routed = read.filter((F.coalesce("accountant_model", F.lit("")) != "") & (F.coalesce("price_date", F.lit("")) != ""))
+    priced = routed.filter("priced").select(
+        "price_date", "accountant_model", "prices.*", F.concat(F.lit("from profile "), F.col("name")).alias("notes"))
+    defined = routed.filter(F.col("cache_schema").isNotNull()).select("accountant_model", "cache_schema")
+    categories = _unique(defined, ["accountant_model"], "cache schema").select(
+        "accountant_model", F.explode("cache_schema").alias("s")).select("accountant_model", "s.*")
+    return (
+        read.select("dialect", "name", "accountant_model", "price_date"),
+        register_prices(prices, _unique(priced, ["price_date", "accountant_model"], "price").select(*prices.columns)),
+        register_cache_schema(cache_schemas, categories),
+    )

@@ -2,58 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ledger_day
 from ..functions.usage import parse_usage
-from ..plans.local import columns_of, local_table
+from ..plans.local import columns_of
+from ..plans.ranking import global_rank
 from ..schemas import LEDGER, LEDGER_JSON, TRACE, TRACE_JSON
-
-#: Lines that one file may hold; numbers of later files start behind those of earlier ones.
-FILE_SPAN = 1 << 40
-
-
-def number_files(rows: DataFrame, line: str) -> DataFrame:
-    """Make the line numbers of several files one order: by file name, then line.
-
-    One small row per file is ranked; a folder's first file starts at 0.
-    """
-    ranks = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
-    return rows.join(ranks, "_file").withColumn(line, F.col("_rank") * F.lit(FILE_SPAN) + F.col(line)).drop("_rank")
-
-
-def _line_numbers(df: DataFrame, name: str) -> DataFrame:
-    """Add a BIGINT that grows with the line order inside each file.
-
-    A split starts at a byte offset and cannot hold more lines than bytes, so the offset plus
-    the row's place in its split keeps the order across splits.  A split is a bounded group.
-    """
-    split = Window.partitionBy("_file", "_start")
-    return df.withColumn(
-        name, F.col("_start") + F.col("_id") - F.min("_id").over(split)
-    ).drop("_start", "_id")
+from .lines import stem, text_lines
 
 
 def _json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Rows of a JSON-lines folder or file; lines that are not JSON objects are skipped.
+    """Rows of JSON-lines files with their ``file`` and ``line``; lines that are not JSON objects are skipped.
 
     A field of another type than expected is NULL, the rest of its line is kept.
     """
-    try:
-        lines = spark.read.text(path).select(
-            "value",
-            F.col("_metadata.file_name").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_id"),
-        )
-    except Exception as error:  # noqa: BLE001 - a missing day is an empty day
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        lines = local_table(spark, [], "value STRING, _file STRING, _start BIGINT, _id BIGINT")
+    lines = text_lines(spark, path)
     whole = F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()
     return lines.withColumn("_r", F.when(whole, F.from_json("value", ddl))).filter(
-        F.col("_r").isNotNull()).select("_r.*", "_file", "_start", "_id")
+        F.col("_r").isNotNull()).select("_r.*", F.col("file").alias("_file"), F.col("line").alias("_line"))
 
 
 def read_ledger_json(spark: SparkSession, path: str) -> DataFrame:
@@ -62,22 +30,20 @@ def read_ledger_json(spark: SparkSession, path: str) -> DataFrame:
     ``call_seq`` is taken from the line when present, else from the order of the day files and
     of the lines in them.
     """
-    rows = number_files(_line_numbers(_json_lines(spark, path, LEDGER_JSON), "_line"), "_line")
-    columns = columns_of(LEDGER)
+    rows = _json_lines(spark, path, LEDGER_JSON)
     return rows.withColumns(
         {
             "call_seq": F.coalesce("call_seq", "_line"),
-            "ledger_day": F.regexp_extract("_file", r"^(.*)\.[^.]*$", 1).try_cast("date"),
+            "ledger_day": stem(F.col("_file")).try_cast("date"),
             "usage_tokens": parse_usage(F.col("usage")),
         }
-    ).select(*columns)
+    ).select(*columns_of(LEDGER))
 
 
 def read_trace_json(spark: SparkSession, path: str) -> DataFrame:
-    """Per-session trace files; the session is the file stem."""
-    rows = _line_numbers(_json_lines(spark, path, TRACE_JSON), "call_seq")
-    columns = columns_of(TRACE)
-    return rows.withColumn("session", F.regexp_extract("_file", r"^(.*)\.[^.]*$", 1)).select(*columns)
+    """Per-session trace files; the session is the file stem, ``call_seq`` the line's place."""
+    rows = _json_lines(spark, path, TRACE_JSON)
+    return rows.withColumns({"session": stem(F.col("_file")), "call_seq": F.col("_line")}).select(*columns_of(TRACE))
 
 
 def day_range(ledger: DataFrame, day_from: str, day_to: str) -> DataFrame:
@@ -113,6 +79,11 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{TRACE}, trace_day DATE").parquet(path)
 
 
+def ordered_report(report: DataFrame) -> DataFrame:
+    """The report in the order of its sessions, each with its one-based ``place``."""
+    return global_rank(report, ["session"], "place")
+
+
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines in the order of the sessions."""
     ordered = report.orderBy("session") if "session" in report.columns else report

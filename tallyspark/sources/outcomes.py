@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ledgers import number_files
+from .lines import text_lines
 
 _LINE = "task STRING, arm STRING, rep INT, resolved STRING, session STRING"
 #: JSON texts that count as not resolved, as in Python's truth of a value.
@@ -16,15 +16,7 @@ REQUIRED = ("task", "arm", "rep", "resolved")
 def load_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """Outcome JSON lines in file order; blank lines are skipped and a line without one of
     the required keys fails the job."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    # A split is a bounded group; its start offset keeps the order across splits.
-    place = F.col("_start") + F.col("_id") - F.min("_id").over(Window.partitionBy("_file", "_start"))
-    rows = number_files(lines.withColumn("line_no", place), "line_no").filter(F.btrim("value") != "")
+    rows = text_lines(spark, path).withColumnRenamed("line", "line_no").filter(F.btrim("value") != "")
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
     missing = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), keys))
     checked = rows.filter(
