@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import economics, pricing, stats
 from ..functions import messages as msg
-from ..functions.text import canonical_json
+from ..functions.text import canonical_json, safe_session
 from ..functions.trajectory import shape
 from ..functions.usage import normalize_anthropic
 from ..operators import acceptance, experiment, privacy, probing, sessions, skills, transforms
 from ..operators.ledger import AuditTables, build_ledger
 from ..plans.ordered import with_position
+from ..plans.ranking import global_rank
 from ..plans.staging import stage, staging_root
-from ..sources import derived, ledgers, outcomes, trajectories
+from ..schemas import TRACE_JSON
+from ..sources import derived, dimensions, ledgers, outcomes, trajectories
 from ..sources.dimensions import builtin_cache_schemas, builtin_prices
 from .sqltext import CALLS, LINKS, TURNS, dbl, report_ctes, rounded
 
@@ -407,6 +409,132 @@ def ledger_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sum("usage_tokens.prompt_tokens"), F.lit(0)).alias("prompt_tokens"))
 
 
+_TRAJECTORY_SQL = """SELECT 'c' || conv_id AS task_id, CAST(count(*) AS INTEGER) AS n_steps,
+  string_agg(CASE WHEN role = 'system' THEN 'system' WHEN turn % 3 = 2 THEN 'tool' WHEN role = 'user' THEN 'user' ELSE 'assistant' END, ',' ORDER BY turn) AS roles,
+  CAST(count(*) FILTER (role <> 'system' AND turn % 3 = 2) AS INTEGER) AS n_observations,
+  CASE WHEN conv_id % 4 = 0 THEN 'exit_ERROR' ELSE 'submitted' END AS exit_status,
+  conv_id % 5 = 0 AS empty_patch, conv_id % 4 = 0 AS error FROM conversations GROUP BY conv_id"""
+
+
+# --- Files ------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{staging_root(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
+
+
+def _write_files(lines: DataFrame, order: str, path: str, *folders: str) -> None:
+    """JSON lines in their order, one file per value of the folder columns, beside broken lines."""
+    lines.repartition(*folders).sortWithinPartitions(*folders, order).select("value", *folders).write.partitionBy(
+        *folders).text(path)
+
+
+@query("ledger_json_scan", f"""WITH {CALLS},
+n AS (SELECT *, row_number() OVER (ORDER BY k % 3, CAST(day AS VARCHAR), seq) AS place FROM step)
+SELECT seq AS call_id, place, session, CASE WHEN used AND NOT second THEN p END AS prompt_tokens,
+  CAST(k * 2 AS DOUBLE) AS latency_ms FROM n""")
+def ledger_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as JSON lines in nested folders with broken lines between, read back in line order."""
+    path = _folder(spark, "ledger-json")
+    rows = stored(spark, sf_dir).ledger.withColumn("part", F.floor(F.col("latency_ms") / 2).cast("bigint") % 3)
+    good = F.to_json(F.struct(F.col("call_seq").cast("string").alias("path"), "session", "usage", "latency_ms"))
+    # A call's number rides along as text; the reader must number the lines by itself.
+    lines = rows.select(
+        "part", F.concat(F.lit("d"), F.col("ledger_day").cast("string")).alias("day"), "call_seq",
+        F.explode(F.array(good, F.concat(F.lit('{"broken": '), F.col("call_seq").cast("string")), F.lit("[1, 2]"))).alias("value"))
+    _write_files(lines, "call_seq", path, "part", "day")
+    read = ledgers.read_ledger_json(spark, path)
+    return global_rank(read.select("call_seq", "path", "session", "usage_tokens", "latency_ms"), ["call_seq"], "place").select(
+        F.col("path").cast("bigint").alias("call_id"), "place", "session", "usage_tokens.prompt_tokens", "latency_ms")
+
+
+@query("trace_scan", f"""WITH {TURNS}, b AS (SELECT conv_id, t, CAST(n_messages AS INTEGER) AS n_messages, roles FROM ccalls)
+SELECT 's' || conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS place, n_messages, roles FROM b""")
+def trace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace events as JSON lines, a file per session in folders of sessions, read back in line order."""
+    path = _folder(spark, "trace-json")
+    traces = stored(spark, sf_dir, "named").traces
+    number = F.substring("session", 2, 20).cast("bigint")
+    lines = traces.select(
+        F.concat(F.lit("s"), number.cast("string")).alias("name"), "call_seq",
+        F.to_json(F.struct("ts", "status", "n_messages", "roles", "message_sha256", "message_bytes")).alias("value"))
+    # The writer names its files itself, so a session's folder stands for its file here.
+    _write_files(lines, "call_seq", path, "name")
+    read = ledgers.text_lines(spark, path).select("file", "line", F.from_json("value", TRACE_JSON).alias("t"))
+    session = F.regexp_extract("file", "name=([^/]*)/", 1)
+    return with_position(read.select(session.alias("session"), "line", "t.*"), ["session"], "line", "place").select(
+        "session", (F.col("place") + 1).alias("place"), "n_messages", F.array_join("roles", ",").alias("roles"))
+
+
+@query("trajectory_files", f"{_TRAJECTORY_SQL}")
+def trajectory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per file, read as whole files."""
+    path = _folder(spark, "trajectories")
+    documents = _trajectory_documents(spark, sf_dir, "swe-agent")
+    documents.withColumn("bucket", F.get_json_object("document", "$.task_id")).repartition(8).write.partitionBy("bucket").text(path)
+    return _shape_rows(trajectories.load_trajectories(spark, path, "swe-agent"))
+
+
+@query("profile_registration", """WITH p AS (SELECT p_partkey AS id, p_size AS size FROM part)
+SELECT 'm' || id AS accountant_model, '2025-01-' || lpad(CAST(1 + id % 28 AS VARCHAR), 2, '0') AS price_date,
+  CASE WHEN id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS dialect,
+  CAST(size AS DOUBLE) AS input_per_1m, CAST(size AS DOUBLE) / 4 AS cached_input_per_1m, CAST(size AS DOUBLE) * 2 AS output_per_1m,
+  CASE WHEN id % 3 = 0 THEN CAST(size AS DOUBLE) / 2 END AS cache_creation_per_1m,
+  id % 2 = 0 AS cached_shown, CASE WHEN id % 2 = 0 THEN 'prompt_tokens_details/cached_tokens' END AS cached_path FROM p""")
+def profile_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML profile per part, read through the data source and registered beside the built-in tables."""
+    path = _folder(spark, "profiles")
+    number, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    day = F.concat(F.lit("2025-01-"), F.lpad((1 + number % 28).cast("string"), 2, "0"))
+    field = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\n"))
+    doc = F.concat(
+        field("name", F.concat(F.lit("b"), number.cast("string"))),
+        F.when(number % 2 != 0, field("dialect", F.lit("anthropic"))).otherwise(F.lit("")),
+        field("base_url", F.lit("http://backend.invalid/")),
+        field("accountant_model", F.concat(F.lit("m"), number.cast("string"))), field("price_date", F.concat(F.lit("'"), day, F.lit("'"))),
+        F.lit("prices_per_1m:\n"), field("  input", size.cast("string")), field("  cached_input", (size / 4).cast("string")),
+        field("  output", (size * 2).cast("string")),
+        F.when(number % 3 == 0, field("  cache_creation", (size / 2).cast("string"))).otherwise(F.lit("")),
+        F.when(number % 2 == 0, F.lit(
+            "cache_schema:\n  cached_tokens:\n    surfaces: true\n    path: [prompt_tokens_details, cached_tokens]\n")).otherwise(F.lit("cache_schema: {}\n")))
+    parts = derived.table(spark, sf_dir, "part").select(doc.alias("value"), number.alias("number"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with system.open_output_stream(f"{root}/b{row['number']}.yaml") as f:
+                    f.write(row["value"].encode())
+            yield batch.select(["number"])
+
+    parts.mapInArrow(write, "number BIGINT").write.format("noop").mode("overwrite").save()
+    found, prices, schemas = dimensions.register_profiles(
+        dimensions.read_profiles(spark, path), builtin_prices(spark), builtin_cache_schemas(spark))
+    cached = schemas.filter("category = 'cached_tokens'").select(
+        "accountant_model", F.col("surfaces").alias("cached_shown"), F.array_join("path", "/").alias("cached_path"))
+    return found.join(prices.drop("notes"), ["price_date", "accountant_model"]).join(cached, "accountant_model").drop("name")
+
+
+@query("ordered_report", report_ctes("session") + " SELECT row_number() OVER (ORDER BY session) AS place, session, calls, cost_usd FROM report")
+def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report in the order that its table is shown in."""
+    report = sessions.session_report(stored(spark, sf_dir).ledger)
+    return ledgers.ordered_report(report).select("place", "session", "calls", "cost_usd")
+
+
+@query("safe_sessions", """WITH s AS (SELECT doc_id, text, substr(text, 1 + doc_id % 5, 1 + doc_id % 90) AS header FROM documents)
+SELECT doc_id, CASE WHEN regexp_full_match(header, '[A-Za-z0-9._-]{1,64}') THEN header
+  ELSE 'hdr-' || substr(sha256(header), 1, 10) END AS session FROM s WHERE header IS NOT NULL""")
+def safe_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session ids that are no file names become hashes."""
+    header = F.expr("substring(text, CAST(1 + doc_id % 5 AS INT), CAST(1 + doc_id % 90 AS INT))")
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", header.alias("header")).filter(F.col("header").isNotNull())
+    return docs.select("doc_id", safe_session(F.col("header")).alias("session"))
+
+
 # --- Experiments ----------------------------------------------------------------------------
 
 _OUTCOMES = """
@@ -702,13 +830,6 @@ def masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Trajectories ---------------------------------------------------------------------------
 
-_TRAJECTORY_SQL = """SELECT 'c' || conv_id AS task_id, CAST(count(*) AS INTEGER) AS n_steps,
-  string_agg(CASE WHEN role = 'system' THEN 'system' WHEN turn % 3 = 2 THEN 'tool' WHEN role = 'user' THEN 'user' ELSE 'assistant' END, ',' ORDER BY turn) AS roles,
-  CAST(count(*) FILTER (role <> 'system' AND turn % 3 = 2) AS INTEGER) AS n_observations,
-  CASE WHEN conv_id % 4 = 0 THEN 'exit_ERROR' ELSE 'submitted' END AS exit_status,
-  conv_id % 5 = 0 AS empty_patch, conv_id % 4 = 0 AS error FROM conversations GROUP BY conv_id"""
-
-
 def _trajectory_documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     c = derived.table(spark, sf_dir, "conversations")
     tool = (F.col("role") != "system") & (F.col("turn") % 3 == 2)
@@ -736,9 +857,12 @@ def _trajectory_documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFr
 
 
 def _shapes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return _shape_rows(trajectories.ADAPTERS[kind](_trajectory_documents(spark, sf_dir, kind)))
+
+
+def _shape_rows(parsed: DataFrame) -> DataFrame:
     from ..functions.trajectory import is_error
 
-    parsed = trajectories.ADAPTERS[kind](_trajectory_documents(spark, sf_dir, kind))
     s = shape(F.col("task_id"), F.col("steps"), F.col("exit_status"), F.col("submitted_patch"))
     return parsed.select(s.alias("s"), is_error(F.col("exit_status")).alias("error")).select(
         "s.task_id", "s.n_steps", F.array_join("s.roles", ",").alias("roles"), "s.n_observations",
@@ -814,6 +938,26 @@ def shared_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("message_bytes", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("bytes"))
 
 
+@query("shared_dataset_in_order", f"""WITH {CALLS}, {_FIRST_SEEN},
+r AS (SELECT CAST(day AS VARCHAR) AS ledger_day, row_number() OVER (PARTITION BY day ORDER BY seq) - 1 AS "row", seq, label AS session,
+  CASE WHEN used AND NOT second THEN p END AS prompt_tokens FROM step JOIN fs USING (session))
+SELECT ledger_day, "row", session, prompt_tokens, ledger_day = (SELECT min(ledger_day) FROM r) AND "row" = 0 AS is_sample FROM r""")
+def shared_dataset_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written dataset: a repeated run leaves one version, and rows come back in call order."""
+    t = stored(spark, sf_dir)
+    path = _folder(spark, "submission")
+    submission = privacy.anonymize(t.ledger, t.traces, "2024-01-01", "2024-12-31", salt=_SALT)
+    for _ in range(2):
+        privacy.write_submission(submission, path)
+    ledger, _, manifest = privacy.read_submission(spark, path)
+    sample = privacy.sample_row(privacy.Submission(ledger, ledger, ledger, manifest)).select(
+        F.col("ledger_day").alias("first_day"), F.col("row").alias("first_row"))
+    is_sample = (F.col("ledger_day") == F.col("first_day")) & (F.col("row") == F.col("first_row"))
+    return ledger.join(F.broadcast(sample), is_sample, "left").select(
+        F.col("ledger_day").cast("string").alias("ledger_day"), "row", "session", "usage.prompt_tokens",
+        F.col("first_day").isNotNull().alias("is_sample"))
+
+
 @query("submission_manifest", f"""WITH {CALLS} SELECT 'hash-only' AS tier, 2 AS schema, 'pseudonymized' AS model_names,
   count(*) AS calls, count(DISTINCT session) AS sessions,
   CAST(sum(CASE WHEN used AND NOT second THEN p ELSE 0 END) AS BIGINT) AS prompt_tokens,
