@@ -8,9 +8,15 @@ characters).  The best container is kept, with siblings that score at least a fi
 sibling paragraphs and headings that are prose.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are taken out before by element, role and
 name.  A form with little prose goes, one around an article stays without its controls, and so does
-a noscript part.  Names of layout (``no-sidebar``) say nothing, and a name only lowers the weight
-where another name of the element is a likely one, or where the element holds most of the page's
-points (reader comments go even then).  Lists of links go outside the best container.
+a noscript part.
+
+Names weigh; what they take out depends on the prose.  A name counts if all its words are of that
+kind or neutral (``related-posts``, not ``related-work``), and not in names of layout (``no-sidebar``).
+An element so named goes if no name beside it is a likely one and if it holds at most half of the
+points of the page without its reader comments; these go where anything else is left to read.  Headings
+and inline elements never go by their names, and an ``article`` or ``main`` only as a comment.
+Lists of links go outside the best container.  What stands between two kept siblings stays if it is no
+link list and bears no such name, and so does a part of headings before the best container.
 
 Output: the kept blocks in page order, character references decoded, white space inside a block
 (line breaks included) as one space, trimmed, empty blocks left out, joined by two line feeds.
@@ -67,18 +73,29 @@ _SCOPE = frozenset("body article section main div td th li blockquote table".spl
 #: Words in class, id or role that mark what is never part of an article.
 NEVER = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist "
-    "disqus replies reply respond discussion cookie cookies consent gdpr notice notices notification alert breadcrumb breadcrumbs nav navbar "
+    "disqus replies reply respond cookie cookies consent gdpr notice notices notification alert breadcrumb breadcrumbs nav navbar "
     "navigation menu sidebar footer banner newsletter subscribe subscription popup modal overlay share sharing social pagination "
     "pager login signup toolbar masthead complementary contentinfo search dialog skip related recommended recommendations "
     "trending widget copyright disclaimer paywall".split()
 )
 #: Words of reader comments, which may be most of a page.
-COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that may stand beside those in one name without changing what it says.
+NEUTRAL = frozenset(
+    "a an the and of for in to at on item items list lists box boxes block blocks wrap wrapper container inner outer area section bar bars "
+    "panel group holder row col column left right top bottom side center middle main site page global local post posts article articles "
+    "entry entries story stories content text body link links message text banner footer header user reader blog news home web www my our id js "
+    "module modules component template layout region view large small big mini first last primary secondary third level sub form field feed "
+    "google policy policies bottom sticky fixed mobile desktop thread count button buttons icon icons social media zone slot unit".split()
+)
 #: Names that tell what a page has, not what the element is.
 _LAYOUT = re.compile(r"(?:no|has|with|without)[-_]", re.I)
-#: Words that mark a part as likely left out, unless a likely word stands beside them.
+_PLAIN = NEVER | NEUTRAL
+#: Words of parts that are seldom the article; they weigh, and no such part is kept as a sibling.
 SELDOM = frozenset("header head top bottom side meta tools tags author byline popular hidden aux extra rail teaser".split())
 LIKELY = frozenset("article content main body post entry story text blog column page hentry".split())
+#: Names of containers whose own header belongs to the article.
+_ARTICLES = frozenset("article post entry story hentry".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG_WEIGHT = {"article": 25, "main": 20, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys(
@@ -99,6 +116,9 @@ class _Page(HTMLParser):
         self.owner = self.links = 0
         self.doubtful: set[int] = set()
         self.named: set[int] = set()
+        self.comments: set[int] = set()
+        self.seldom: set[int] = set()
+        self.articles: list[int] = []
         self.fields: set[int] = set()
 
     def _flush(self) -> None:
@@ -109,7 +129,10 @@ class _Page(HTMLParser):
             self.pieces, self.links = [], 0
 
     def _pop(self) -> None:
-        tag = self.tags[self.stack.pop()]
+        number = self.stack.pop()
+        if self.articles and self.articles[-1] == number:
+            self.articles.pop()
+        tag = self.tags[number]
         self.open[tag] -= 1
         if tag not in INLINE:
             self._flush()
@@ -178,10 +201,12 @@ class _Page(HTMLParser):
             self.links += len(" ".join(data.split()))
 
     def _judge(self, tag: str, attrs: list) -> tuple[int, bool]:
-        weight = _TAG_WEIGHT.get(tag, 0)
-        if tag in SKIPPED or (tag == "header" and not (self.open.get("article") or self.open.get("main"))):
+        weight, number = _TAG_WEIGHT.get(tag, 0), len(self.tags)
+        inside = self.open.get("article") or self.open.get("main") or self.articles
+        if tag in SKIPPED or (tag == "header" and not inside):
             return weight, True
         names: set[str] = set()
+        never: set[str] = set()
         beside = False
         for name, value in attrs:
             if name in ("class", "id", "role"):
@@ -189,43 +214,47 @@ class _Page(HTMLParser):
                     words = {w.lower() for w in _NAME.findall(token)}
                     if _LAYOUT.match(token):
                         words -= NEVER
-                    names |= words
-                    beside |= bool(words & LIKELY) and not words & NEVER
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
-                name == "style" and value and _INVISIBLE.search(value)
+                    found = words & NEVER
+                    names |= words - NEVER
+                    if found and words <= _PLAIN:
+                        never |= found
+                    else:
+                        beside |= bool(words & LIKELY)
+            elif tag not in ("html", "body") and (
+                name == "hidden" or (name == "aria-hidden" and value == "true")
+                or (name == "style" and value and _INVISIBLE.search(value))
             ):
                 return weight, True
-        if not names or tag in ("html", "body"):
+        if tag in ("html", "body") or tag in INLINE or tag in HEADINGS or not names | never:
             return weight, False
-        likely = bool(names & LIKELY)
-        if tag not in ("article", "main"):
-            if names & NEVER:
-                if tag in INLINE or (names & COMMENTS and not beside):
-                    return weight, True
-                if not beside:
-                    self.named.add(len(self.tags))
-                return weight - 25 + 25 * beside, False
-            if names & SELDOM and not likely:
-                return weight, True
-        elif names & NEVER and not likely:
-            return weight, True
-        return weight + 25 * likely, False
+        if never & COMMENTS and not beside:
+            self.comments.add(number)
+        elif never and not beside and tag not in ("article", "main"):
+            self.named.add(number)
+        likely = beside or (bool(names & LIKELY) and not never)
+        if names & SELDOM and not likely:
+            self.seldom.add(number)
+            weight -= 10
+        if likely and names & _ARTICLES and not never:
+            self.articles.append(number)
+        return weight - 25 * bool(never) + 25 * likely, False
 
     def finish(self, html: str) -> None:
-        last = html.rfind("<!--")
-        if last >= 0 and html.find("-->", last) < 0:
-            html = html[:last]  # a comment that is never closed
         self.feed(html)
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""  # a comment that is never closed
         self.close()
         while len(self.stack) > 1:
             self._pop()
         self._flush()
+        if self.comments:
+            self._settle_comments()
         self.doubtful |= self.named
         if self.doubtful:
             self._settle()
 
-    def _settle(self) -> None:
-        """Drop the doubtful elements with little prose."""
+    def _sums(self) -> tuple[list[float], list[bool]]:
+        """Points of each element with all in it, and whether an article with prose is in it."""
         points, articles = [0.0] * len(self.tags), [False] * len(self.tags)
         for owner, text, _ in self.blocks:
             if self.tags[owner] not in HEADINGS:
@@ -234,13 +263,29 @@ class _Page(HTMLParser):
             parent = self.parents[i]
             points[parent] += points[i]
             articles[parent] |= articles[i] or (self.tags[i] in ("article", "main") and points[i] > 0)
+        return points, articles
+
+    def _drop(self, chosen) -> None:
         for i in range(1, len(self.tags)):
-            if self.dropped[self.parents[i]]:
-                self.dropped[i] = True
-            elif i in self.doubtful and not self._holds_prose(i, points, articles):
+            if self.dropped[self.parents[i]] or chosen(i):
                 self.dropped[i] = True
         self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
 
+    def _settle_comments(self) -> None:
+        """Drop the readers' comments, unless nothing else is on the page."""
+        points, _ = self._sums()
+        inside = [False] * len(self.tags)
+        for i in range(1, len(self.tags)):
+            inside[i] = i in self.comments or inside[self.parents[i]]
+        told = sum(points[i] for i in self.comments if not inside[self.parents[i]])
+        if points[0] - told > 0:
+            self._drop(self.comments.__contains__)
+
+    def _settle(self) -> None:
+        """Drop the doubtful elements with little prose."""
+        points, articles = self._sums()
+        self._drop(lambda i: i in self.doubtful and not self._holds_prose(i, points, articles))
+
     def _holds_prose(self, i: int, points: list[float], articles: list[bool]) -> bool:
         if points[i] > 0.5 * points[0]:
             return True
@@ -293,8 +338,10 @@ def _keepers(page: _Page) -> tuple[set[int], int]:
         return {best}, best
     least = max(LEAST, final(best) / 5)
     kept, parent = {best}, page.parents[best]
-    for i in range(1, count):
-        if page.parents[i] != parent or i == best or page.dropped[i] or not chars[i]:
+    beside = [i for i in range(1, count) if page.parents[i] == parent and not page.dropped[i] and chars[i]]
+    titles = _only_headings(page)
+    for i in beside:
+        if i == best or i in page.seldom:
             continue
         density = links[i] / chars[i]
         if i in touched and final(i) - page.weights[i] * (1 - density) >= least:
@@ -303,11 +350,26 @@ def _keepers(page: _Page) -> tuple[set[int], int]:
             text = " ".join(own[i])
             if (len(text) > 80 and density < 0.25) or (density == 0 and re.search(r"[.!?。]( |$)", text)):
                 kept.add(i)
-        elif page.tags[i] in HEADINGS and density == 0 and i < best:
+        elif i in titles and density == 0 and i < best:
             kept.add(i)
+    first, last = min(kept), max(kept)
+    kept |= {i for i in beside if first < i < last and links[i] <= 0.25 * chars[i] and i not in page.seldom}
     return kept, best
 
 
+def _only_headings(page: _Page) -> set[int]:
+    """Elements all of whose text is in headings."""
+    other, some = [False] * len(page.tags), [False] * len(page.tags)
+    for owner, _, _ in page.blocks:
+        heading = page.tags[owner] in HEADINGS
+        some[owner] |= heading
+        other[owner] |= not heading
+    for i in range(len(page.tags) - 1, 0, -1):
+        some[page.parents[i]] |= some[i]
+        other[page.parents[i]] |= other[i]
+    return {i for i in range(1, len(page.tags)) if some[i] and not other[i]}
+
+
 def _link_lists(page: _Page) -> set[int]:
     """Lists and tables that are mostly links."""
     chars, links = [0] * len(page.tags), [0] * len(page.tags)

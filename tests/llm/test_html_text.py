@@ -79,3 +79,70 @@ def test_link_lists_stay_inside_the_article_only():
     page = f"<body>{links}<article><p>{PROSE}</p><p>{PROSE} More.</p>{links}<ul class=menu><li><a href=3>Menu</a></li></ul></article>{links}"
     assert main_text(page) == f"{PROSE}\n\n{PROSE} More.\n\nFirst thing\n\nSecond"
     assert main_text(f"<body>{links}<p>{PROSE}</p><p>{PROSE} More.</p>") == f"{PROSE}\n\n{PROSE} More."
+
+
+TWO = f"<p>{PROSE}</p><p>{PROSE} More.</p>"
+BOTH = f"{PROSE}\n\n{PROSE} More."
+
+
+def test_names_weigh_and_do_not_drop_the_article():
+    for page in (
+        f'<div id="top"><div class="article">{TWO}</div></div>',
+        f'<div id="header-wrap"><div class="text">{TWO}</div></div>',
+        f'<div class="popular-science">{TWO}</div>', f'<div class="hidden-gems">{TWO}</div>',
+        f'<article id="search-engines">{TWO}</article>', f'<article class="alert">{TWO}</article>',
+        f'<body style="display:none">{TWO}</body>', f'<body class="x" hidden><div>{TWO}</div></body>',
+        f'<script>var s="<!--";</script><article>{TWO}</article>',
+        f"<article>{TWO}</article><!-- the end",
+    ):
+        assert main_text(page) == BOTH, page
+
+
+def test_sections_of_a_paper_keep_their_names():
+    page = f"""<div class="paper"><h1>T</h1><section id="intro">{TWO}</section><section id="related-work"><h2 id="related-work">Related</h2>
+    <p>{PROSE}</p></section><section id="discussion"><h2><span id="Discussion">Discussion</span></h2><p>{PROSE}</p></section>
+    <blockquote class="author"><p>{PROSE}</p></blockquote><p class="side">Aside, in the text.</p></div>"""
+    assert main_text(page).split("\n\n") == ["T", PROSE, f"{PROSE} More.", "Related", PROSE, "Discussion", PROSE, PROSE, "Aside, in the text."]
+
+
+def test_short_parts_between_and_titles_before():
+    page = f"<div><div>{TWO}</div><div><p>The end, my friend of long.</p></div><div>{TWO}</div></div>"
+    assert main_text(page) == f"{BOTH}\n\nThe end, my friend of long.\n\n{BOTH}"
+    assert main_text(f'<body><div><h1>Title</h1></div><div class="content">{TWO}</div></body>') == f"Title\n\n{BOTH}"
+    assert main_text(f'<body><header><h1>Site</h1></header><div class="article"><header><h1>Title</h1></header>{TWO}</div></body>') == f"Title\n\n{BOTH}"
+
+
+def test_comments_and_related_lists_go():
+    more = f'<div class="related-posts"><p>{PROSE}</p></div><section class="comment-list">' + f'<article class="comment"><p>{PROSE} Nice.</p></article>' * 9 + "</section>"
+    assert main_text(f"<body><article>{TWO}{more}</article></body>") == BOTH
+    assert main_text(f"<body><div class=story>{TWO}</div>{more}</body>") == BOTH
+    assert main_text(f'<div class="comments"><p>{PROSE}</p></div>') == PROSE
+
+
+def test_generated_pages_give_their_articles():
+    """Pages of random layout, wrapper names and parts around an article that is known."""
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice("alpha beta gamma delta river stone cloud paper winter music".split())
+
+    def sentence(n):
+        return " ".join(word() for _ in range(n)).capitalize() + ", " + word() + "."
+
+    for _ in range(300):
+        want, inner = [], ""
+        if rnd.random() < 0.7:
+            title = sentence(3)
+            want.append(title)
+            inner += rnd.choice(["<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(title)
+        for _ in range(rnd.randrange(3, 9)):
+            text = sentence(rnd.randrange(15, 60))
+            want.append(text)
+            inner += rnd.choice(["<p>{}</p>", "<p id=discussion>{}</p>", "<section id=related-work><p>{}</p></section>", "<blockquote class=author><p>{}</p></blockquote>", "<p>{}"]).format(text)
+            if rnd.random() < 0.3:
+                inner += rnd.choice(["<div class=ad>{}</div>", "<div class='share-bar'><p>{}</p></div>", "<form><p>{}</p><input></form>", "<script>'{}'</script>", "<nav><a href=x>{}</a></nav>"]).format(sentence(4))
+        page = rnd.choice(["<article>{}</article>", "<main><article>{}</article></main>", "<div class=post-content>{}</div>", "<div id=top><div class=story>{}</div></div>", "<article class=notice>{}</article>"]).format(inner)
+        around = ["<nav><ul><li><a href=1>{}</a></li></ul></nav>", "<div class=sidebar><p>{}</p></div>", "<footer>{}</footer>", "<div class='cookie-notice'><p>{}</p></div>", "<div id=comments><p>{}</p></div>", "<aside><p>{}</p></aside>"]
+        parts = [p.format(sentence(rnd.randrange(5, 30))) for p in rnd.sample(around, 3)]
+        got = main_text(f"<html><body>{parts[0]}{page}{parts[1]}{parts[2]}</body></html>")
+        assert got.split("\n\n") == want, (page, got)
