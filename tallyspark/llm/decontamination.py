@@ -1,32 +1,34 @@
 """Benchmark items in documents, up to a fifth of their words edited.
 
-Texts are sequences of words (runs of word characters, lower case).  An item of n words leaks
+Texts are sequences of words (runs of word characters, lower case; letters of scripts that are written
+without blanks are words of their own).  An item of n words leaks
 into a document if some run of the document is at most ``edits(n) = floor(n / 5)`` word
-insertions, deletions and replacements away from it.
+insertions, deletions and replacements away from it.  An item of fewer than ``LEAST_WORDS`` words,
+which stands by chance in many texts, leaks where a whole line has exactly its words.
 
 Search by the CGK embedding.  A random walk reads a window from its first word: step j writes
 the current word and moves on if a random bit of (walk, j, word) says so.  Edits shift two walks
 against each other until they meet again, so a small edit distance becomes a small Hamming
 distance of the written sequences.  Locality-sensitive hashing samples ``COORDINATES`` places of
-a walk of ``WALKS``, ``SAMPLES`` times per walk; a window is a candidate for the items that agree
-in one of the samples.  Tests measure the recall at the edit limit (aim: 0.95, and more for
+a walk of ``WALKS``, ``SAMPLES`` times per walk; the sampled key of a window is looked up among those of
+all items of its length class, and the items in its bucket are its candidates.  Tests measure the recall at the edit limit (aim: 0.95, and more for
 fewer edits).  Candidates are verified by the exact edit distance with a free end.
 
 Windows have the size of the items: places are sampled up to where a walk leaves the shortest
 item of a length class.  Windows that cannot hold any item are skipped by an exact test first:
 an item cut into ``edits(n) + 1`` pieces keeps one piece whole, so only starts within
-``edits(n)`` words of such a place are looked at.  Whole texts are searched.
+``edits(n)`` words of such a place are walked.  Whole texts are searched.
 
-The benchmark goes to every task, in groups of at most ``GROUP_WORDS`` words, one pass over the
-documents each.  Documents are not shuffled.
+The benchmark goes to every task in groups of about ``GROUP_WORDS`` words, one group after the other
+with a staged pass over the documents each.  Documents are not shuffled.
 
-Nulls: a null or empty text has no leaks, a null or empty item matches nothing, and neither do
-items of fewer than ``LEAST_WORDS`` words.  Equal items are all reported.  Repeated documents are
+Nulls: a null or empty text has no leaks, a null or wordless item matches nothing.  Equal items are all reported.  Repeated documents are
 searched like any other.  An input column named ``leaks`` is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from itertools import repeat
 
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..plans.staging import stage
 from .ordering import hash60
 from .words import mix, words_of
 
@@ -45,6 +48,17 @@ LEAST_WORDS = 5
 GROUP_WORDS = 2_000_000
 LEAK = "array<struct<item_id:bigint,edits:int,start:int,n_words:int>>"
 _TABLE_BITS = 20
+#: Letters of scripts without blanks: Thai to Khmer, kana and Han.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_SPLIT = re.compile(f"[{_DENSE}]|[^\\W{_DENSE}]+")
+
+
+def item_words(text: str | None) -> list[str]:
+    """Words as this search sees them."""
+    if text and _HAS_DENSE.search(text):
+        return _SPLIT.findall(text.lower())
+    return words_of(text)
 
 
 def edits(n: int) -> int:
@@ -87,7 +101,11 @@ class Matcher:
     """The items of one group, ready to be searched for."""
 
     def __init__(self, items: Sequence[tuple[int, str | None]]):
-        worded = [(i, words_of(t)) for i, t in items]
+        worded = [(i, item_words(t)) for i, t in items]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for i, w in worded:
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w), []).append(i)
         worded = [(i, w) for i, w in worded if len(w) >= LEAST_WORDS]
         self.vocabulary: dict[str, int] = {}
         for _, words in worded:
@@ -162,7 +180,9 @@ class Matcher:
                 flat += [*self.lists[k], *[end] * 2]
             words = np.array([*flat, end], np.int64)
             for walk in range(WALKS):
-                self.buckets[low, walk] = self._walk(words, np.array(starts), low, walk)
+                keys = self._walk(words, np.array(starts), low, walk)
+                order = np.argsort(keys, axis=0, kind="stable")
+                self.buckets[low, walk] = (np.take_along_axis(keys, order, axis=0), np.array(members)[order])
 
     def _windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and items that the piece test leaves, without repeats."""
@@ -194,35 +214,34 @@ class Matcher:
         return code // len(self.items), code % len(self.items)
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and items whose walks agree in a sample."""
+        """Starts and items whose walks agree in a sample: the buckets of the windows that are left."""
         start, item = self._windows(words)
-        keep = np.zeros(len(start), bool)
+        found = [np.zeros(0, np.int64)]
         closed = np.append(words, 0)
-        for low, members in self.classes.items():
-            mine = np.flatnonzero(self.low[item] == low)
-            if not len(mine):
-                continue
-            place = np.full(len(self.items), -1)
-            place[members] = np.arange(len(members))
-            # Each window is walked once, whatever the number of items it is tried for.
-            windows, which = np.unique(start[mine], return_inverse=True)
+        for low in self.classes:
+            # Each window is walked once, whatever the number of items that it may hold.
+            windows = np.unique(start[self.low[item] == low])
             for at in range(0, len(windows), 1 << 16):
-                part = np.flatnonzero((which >= at) & (which < at + (1 << 16)))
+                part = windows[at : at + (1 << 16)]
                 for walk in range(WALKS):
-                    keys = self._walk(closed, windows[at : at + (1 << 16)], low, walk)
-                    theirs = self.buckets[low, walk][place[item[mine[part]]]]
-                    keep[mine[part]] |= (keys[which[part] - at] == theirs).any(axis=1)
-        return start[keep], item[keep]
+                    keys, (sorted_keys, members) = self._walk(closed, part, low, walk), self.buckets[low, walk]
+                    for s in range(SAMPLES):
+                        first, last = (np.searchsorted(sorted_keys[:, s], keys[:, s], side) for side in ("left", "right"))
+                        many = last - first
+                        which = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        found.append(np.repeat(part, many) * len(self.items) + members[which, s])
+        code = np.unique(np.concatenate(found))
+        return code // len(self.items), code % len(self.items)
 
     def search(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Per text: (item id, edits, first word, words) of the best place of each item."""
         found: list[dict] = [{} for _ in texts]
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        out: list[list[tuple[int, int, int, int]]] = [self._short_lines(t) if self.short and t else [] for t in texts]
         if not self.items:
             return out
         get, flat, bounds = self.vocabulary.get, [], [0]
         for text in texts:
-            words = words_of(text)
+            words = item_words(text)
             flat.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
             flat.append(np.zeros(1, np.int64))  # documents are apart by a word that no item has
             bounds.append(bounds[-1] + len(words) + 1)
@@ -237,19 +256,27 @@ class Matcher:
             if distance <= most and (k not in found[d] or place < found[d][k]):
                 found[d][k] = place
         for d, hits in enumerate(found):
-            out[d] = sorted((self.ids[k], e, s, n) for k, (e, s, n) in hits.items())
+            out[d] = sorted([*out[d], *((self.ids[k], e, s, n) for k, (e, s, n) in hits.items())])
         return out
 
+    def _short_lines(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Short items that are a whole line: the first such line of each."""
+        at, found = 0, {}
+        for line in text.split("\n"):
+            words = item_words(line)
+            for i in self.short.get(tuple(words), ()) if len(words) < LEAST_WORDS else ():
+                found.setdefault(i, (i, 0, at, len(words)))
+            at += len(words)
+        return list(found.values())
+
 
-def _groups(items: DataFrame, most: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in groups of at most about ``most`` words, each read on its own."""
+def _groups(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in groups of about ``most`` words; one group at a time is on the driver."""
     rows = items.select(items["item_id"].cast("bigint").alias("i"), items["text"].cast("string").alias("t")).dropna()
     words = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // 4
     count = max(1, -(-words // most))
-    return [
-        [tuple(r) for r in (rows.filter(hash60(F.col("i"), F.col("t")) % count == g) if count > 1 else rows).collect()]
-        for g in range(count)
-    ]
+    for g in range(count):
+        yield [tuple(r) for r in (rows.filter(hash60(F.col("i"), F.col("t")) % count == g) if count > 1 else rows).collect()]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
@@ -275,7 +302,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS
                     yield pa.RecordBatch.from_arrays([*rest, text, pa.array(rows, leak)], names=part.schema.names)
         return run
 
+    held = None
     for group in _groups(items, group_words):
+        if held is not None:  # the former group is done with before the next one is sent
+            out = stage(out, "searched")
+            held.unpersist()
         held = docs.sparkSession.sparkContext.broadcast(group)
         out = out.mapInArrow(searcher(held), schema)
     return out.select(*names, F.array_sort("_leaks").alias("leaks"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from conftest import SF_DIR
@@ -89,10 +90,10 @@ def test_nulls_short_items_repeats_and_long_texts(spark):
     got = dc.find_leaks(docs, items)
     assert got.columns == ["doc_id", "text", "_leak", "leaks"]
     found = [(r.doc_id, [x.item_id for x in r.leaks]) for r in got.collect()]
-    assert sorted(f for f in found if f[1] and f[0]) == [(3, [1, 2]), (3, [1, 2]), (5, [1, 2])]
+    assert sorted(f for f in found if f[1] and f[0]) == [(3, [1, 2]), (3, [1, 2]), (5, [1, 2]), (6, [5])]
     assert [f for f in found if f[0] is None] == [(None, [1, 2])]
     kept = dc.decontaminate(docs, items)
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7]
     assert dc.find_leaks(docs, items.limit(0)).filter("size(leaks) > 0").count() == 0
     assert dc.find_leaks(docs.limit(0), items).count() == 0
 
@@ -104,3 +105,36 @@ def test_a_benchmark_in_groups_gives_the_same(spark):
     whole = {(r.doc_id, tuple(r.leaks)) for r in dc.find_leaks(docs, frame).collect()}
     parts = {(r.doc_id, tuple(r.leaks)) for r in dc.find_leaks(docs, frame, group_words=100).collect()}
     assert whole == parts
+
+
+def test_short_items_are_found_as_whole_lines(spark):
+    items = spark.createDataFrame([(1, "Name the capital."), (2, "yes"), (3, "yes"), (4, "!?")], "item_id bigint, text string")
+    rows = [(1, "x y\nname, the CAPITAL\nyes\nyes"), (2, "name the capital of it"), (3, "they said yes"), (4, "\n\n!?")]
+    got = {r.doc_id: [tuple(x) for x in r.leaks] for r in dc.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert got == {1: [(1, 0, 2, 3), (2, 0, 5, 1), (3, 0, 5, 1)], 2: [], 3: [], 4: []}
+
+
+def test_items_in_scripts_without_blanks(spark):
+    item = "東京の夏は暑くて湿度が高いので人々は山や海へ出かけます"
+    edited = item.replace("湿度", "気温")
+    items = spark.createDataFrame([(1, item), (2, "ประเทศไทยมีเมืองหลวงชื่อกรุงเทพมหานคร")], "item_id bigint, text string")
+    rows = [(1, "前置き。" + item + "。終わり"), (2, "前置き" + edited + "終わり"), (3, "東京は大きい。山や海は遠い。"), (4, "ก ประเทศไทยมีเมืองหลวงชื่อกรุงเทพมหานคร ข")]
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in dc.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [2]}
+
+
+def test_the_buckets_find_the_items_of_windows():
+    """Recall of the look-up by sampled keys alone, at the limit of edits."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(10, 60)))) for i in range(120)]
+    matcher = dc.Matcher(items)
+    found = 0
+    for k, (_, text) in enumerate(items):
+        item = text.split()
+        for at in rnd.sample(range(len(item)), dc.edits(len(item))):
+            item[at] = "other"
+        encoded = np.array([matcher.vocabulary.get(w, 0) for w in item], np.int64)
+        start, which = matcher.candidates(np.append(encoded, 0))
+        found += any(w == k and s <= dc.edits(len(item)) for s, w in zip(start.tolist(), which.tolist(), strict=True))
+    assert found >= 0.95 * len(items)
