@@ -281,6 +281,26 @@ def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by(F.struct(*sums), "batch_id").alias("s")).select("ledger_day", "session", "s.*")
 
 
+@query("streamed_broken_calls", f"""WITH {CALLS} SELECT seq AS call_seq, session,
+  CASE WHEN NOT parsed THEN 'JSONDecodeError' END AS request_parse_error, kind = 'error' AND k % 2 = 1 AS tap_truncated,
+  (SELECT count(*) FROM step) AS calls, (SELECT count(*) FROM step WHERE NOT parsed) AS unread,
+  (SELECT count(*) FROM step WHERE kind = 'error' AND k % 2 = 1) AS truncated
+  FROM step WHERE NOT parsed OR (kind = 'error' AND k % 2 = 1)""")
+def streamed_broken_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that could not be read, set aside by the stream, with the counts that it observed."""
+    from ..schemas import CALL_RAW
+    from ..streaming.live import start_ledger_stream
+
+    base = f"{staging_root(spark)}/tallyspark/broken-{uuid.uuid4().hex}"
+    derived.event_calls(spark, sf_dir).repartition(3).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(CALL_RAW).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    start_ledger_stream(stream, *derived.dimensions(spark), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    seen = spark.read.parquet(f"{base}/out/metrics").agg(*[F.sum(c).alias(c) for c in ("calls", "unread", "truncated")])
+    broken = spark.read.parquet(f"{base}/out/broken")
+    return broken.select("call_seq", "session", "request_parse_error", "tap_truncated", *[
+        seen.select(c).scalar().alias(c) for c in ("calls", "unread", "truncated")])
+
+
 # --- Totals ---------------------------------------------------------------------------------
 
 _DAY_TOTALS = f"""
@@ -308,6 +328,21 @@ _WEIGHTED = f"sum({_TENTHS.format('mean_step_cost_tok_eq')} * calls)"
 _SAVING = f"sum({_TENTHS.format('mean_step_saving_tok_eq')} * calls)"
 
 
+@query("streamed_day_totals", report_ctes("day, session") + "," + _DAY_TOTALS)
+def streamed_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the day totals, kept by a stream of several batches over the ledger."""
+    from ..streaming.live import day_totals_of, start_day_totals
+
+    base = f"{staging_root(spark)}/tallyspark/day-totals-{uuid.uuid4().hex}"
+    ledger = stored(spark, sf_dir).ledger
+    ledger.repartition(6).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    start_day_totals(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    versions = spark.read.parquet(f"{base}/out")
+    last = versions.agg(F.max("version").alias("version"))
+    return day_totals_of(versions.join(last, "version")).withColumn("ledger_day", F.col("ledger_day").cast("string"))
+
+
 @query("report_totals", report_ctes("session") + f"""
 SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
   CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,

@@ -13,7 +13,7 @@ from ..functions.usage import call_tokens
 from ..plans.ordered import CHUNK, HOT_ROWS, across_chunks, has_hot_key, in_chunk, tag_chunks, with_position
 
 UNKNOWN_SESSION = "?"
-_RATIO_DIGITS = 12
+RATIO_DIGITS = 12
 
 _SUMS = (
     "calls", "prompt_tokens", "completion_tokens", "known_cached", "cache_known_calls",
@@ -33,7 +33,7 @@ def session_key(session: Column) -> Column:
     return F.coalesce(F.nullif(session, F.lit("")), F.lit(UNKNOWN_SESSION))
 
 
-def _call_facts(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
+def call_facts(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
     """One narrow row of integers and flags per call."""
     cost = F.col("cost")
     prompt, completion = call_tokens(cost["native_tokens"], F.col("usage_tokens"))
@@ -72,7 +72,7 @@ def _call_facts(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
         if_(mutation.isNotNull(), to_units(mutation["cost_tok_eq"], 1)).alias("mutation_tenths"),
         flag(F.col("cache_miss_unexplained")).alias("cache_miss_unexplained"),
         flag(F.col("gateway_injected")).alias("injected"),
-        if_(ratio.isNotNull(), to_units(ratio, _RATIO_DIGITS)).alias("ratio_units"),
+        if_(ratio.isNotNull(), to_units(ratio, RATIO_DIGITS)).alias("ratio_units"),
         flag(ratio.isNotNull()).alias("ratio_calls"),
         if_(tenths.isNotNull(), tenths).alias("step_tenths"),
         flag(tenths.isNotNull()).alias("step_calls"),
@@ -159,7 +159,7 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
     has NULL there.  Calls are first added up per (session, quality, changed segments, model)
     with fixed-width buffers, so a session of any size reaches the second step as a few rows.
     """
-    facts = _call_facts(ledger, by)
+    facts = call_facts(ledger, by)
     partial = facts.groupBy(*by, "_quality", "_segments", "_model").agg(
         *[_total(c) for c in _SUMS]
     )
@@ -194,7 +194,7 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
         {
             "_fraction": per(known.cast("double"), "cache_known_prompt"),
             "_usd": from_units(F.col("usd_units"), 8),
-            "_ratio": per(from_units(F.col("ratio_units"), _RATIO_DIGITS), "ratio_calls"),
+            "_ratio": per(from_units(F.col("ratio_units"), RATIO_DIGITS), "ratio_calls"),
             "_step": per(from_units(F.col("step_tenths"), 1), "step_calls"),
         }
     ).withColumn("mean_step_cost_tok_eq", py_round(F.col("_step"), 1))

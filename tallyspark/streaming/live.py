@@ -18,26 +18,27 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions import pricing
-from ..functions.rounding import from_units, to_units
+from ..functions.rounding import from_units, py_round, to_units
 from ..functions.text import ledger_day
 from ..functions.usage import call_tokens
 from ..operators.calls import parse_calls
 from ..operators.ledger import AuditTables, price_calls
 from ..operators.prefix import mutation
-from ..operators.sessions import session_key
-from ..plans.local import columns_of
+from ..operators.sessions import RATIO_DIGITS, call_facts, session_key
+from ..plans.local import columns_of, local_table
 from ..schemas import LEDGER, TRACE
 
 # Executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+METRICS = "calls BIGINT, unread BIGINT, truncated BIGINT"
 DAY_MS = 24 * 60 * 60 * 1000
 
 _PASSED = (
@@ -223,13 +224,109 @@ def running_totals(ledger_stream: DataFrame, late: str | None = None) -> DataFra
     )
 
 
+_FIGURES = ("calls", "prompt_tokens", "completion_tokens", "known_cached", "cache_known_calls", "usd_units", "ratio_units", "ratio_calls")
+_CHANGES = "ledger_day STRING, session STRING, " + ", ".join(f"{side}_{f} STRING" for side in ("old", "new") for f in _FIGURES)
+
+
+class SessionTotals(StatefulProcessor):
+    """Integer totals of one session and day; gives its former and its new totals once per batch."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # Texts, because sums of ratios pass 64 bits.
+        fields = ", ".join(f"{f} STRING" for f in _FIGURES)
+        self.totals = handle.getValueState("totals", fields, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = [int(v) for v in self.totals.get()] if self.totals.exists() else None
+        new = list(old or [0] * len(_FIGURES))
+        for batch in rows:
+            for i, f in enumerate(_FIGURES):
+                new[i] += int(batch[f].sum())
+        self.totals.update(tuple(map(str, new)))
+        values = [*key, *([None] * len(new) if old is None else map(str, old)), *map(str, new)]
+        yield pd.DataFrame([values], columns=[c.split()[0] for c in _CHANGES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def session_changes(ledger_stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Per batch, the former and the new totals of every session and day that the batch touches."""
+    facts = call_facts(ledger_stream, ("ledger_day", "session")).select(
+        F.coalesce(F.col("ledger_day").cast("string"), F.lit("")).alias("ledger_day"), "session", *_FIGURES)
+    return facts.groupBy("ledger_day", "session").transformWithStateInPandas(
+        statefulProcessor=SessionTotals(ttl_ms), outputStructType=StructType.fromDDL(_CHANGES),
+        outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None",
+    )
+
+
+def day_changes(changes: DataFrame) -> DataFrame:
+    """What a batch's session totals add to their days: the new row counts, the former is taken back."""
+    parts = []
+    for side, sign in (("new", 1), ("old", -1)):
+        n = {f: F.col(f"{side}_{f}").cast("decimal(38,0)") for f in _FIGURES}
+        known = n["cache_known_calls"] > 0
+        usd = to_units(py_round(from_units(n["usd_units"].cast("bigint"), 8), 6), 6)
+        mean = from_units(n["ratio_units"], RATIO_DIGITS) / F.nullif(n["ratio_calls"].cast("double"), F.lit(0.0))
+        amounts = {
+            "calls": n["calls"], "prompt_tokens": n["prompt_tokens"], "completion_tokens": n["completion_tokens"], "usd_units": usd,
+            "cached_tokens": F.when(known, n["known_cached"]).otherwise(0), "cache_known_sessions": F.when(known, 1).otherwise(0),
+            "sessions": F.lit(1), "ratio_units": F.coalesce(to_units(py_round(mean, 4), 4), F.lit(0)),
+            "ratio_sessions": F.when(n["ratio_calls"] > 0, 1).otherwise(0),
+        }
+        parts.append(changes.filter(F.col(f"{side}_calls").isNotNull()).select(
+            "ledger_day", *[(F.lit(sign) * v).cast("bigint").alias(k) for k, v in amounts.items()]))
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("ledger_day").agg(*[F.sum(c).alias(c) for c in both.columns[1:]])
+
+
+def day_totals_of(sums: DataFrame) -> DataFrame:
+    """The columns of :func:`~tallyspark.operators.sessions.day_totals` from the running sums of days."""
+    mean = from_units(F.col("ratio_units"), 4) / F.nullif(F.col("ratio_sessions").cast("double"), F.lit(0.0))
+    return sums.select(
+        F.nullif("ledger_day", F.lit("")).cast("date").alias("ledger_day"), "calls", "prompt_tokens", "completion_tokens",
+        from_units(F.col("usd_units"), 6).alias("cost_usd"),
+        F.when(F.col("cache_known_sessions") > 0, F.col("cached_tokens")).alias("cached_tokens"),
+        (F.col("sessions") - F.col("cache_known_sessions")).alias("cache_unavailable_sessions"), "sessions",
+        py_round(mean, 4).alias("mean_prefix_stable_ratio"),
+    )
+
+
+def start_day_totals(ledger_stream: DataFrame, out: str, checkpoint: str, ttl_ms: int | None = None, **trigger):
+    """Keep ``out/version=<batch>``: the running sums of all days after each batch.
+
+    The first state is a session's totals, in the stream; the second the days' sums, one small row
+    per day, taken from the version before.  A repeated batch replaces its own version.
+    """
+    spark = ledger_stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        added = day_changes(batch)
+        if batch_id:
+            added = added.unionByName(batch.sparkSession.read.parquet(f"{out}/version={batch_id - 1}"))
+        sums = added.groupBy("ledger_day").agg(*[F.sum(c).alias(c) for c in added.columns[1:]])
+        sums.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    return (
+        session_changes(ledger_stream, ttl_ms).writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def start_ledger_stream(raw_stream: DataFrame, profiles: DataFrame, prices: DataFrame,
                         cache_schemas: DataFrame, out: str, checkpoint: str,
                         ttl_ms: int = 30 * DAY_MS, **trigger):
-    """Write ``out/ledger`` and ``out/traces``.
+    """Write ``out/ledger``, ``out/traces``, ``out/broken`` and ``out/metrics``.
 
     Each micro-batch owns one folder per table, so a repeated batch replaces its own rows and
-    nothing else.
+    nothing else.  No call is dropped: one with an unreadable request or a truncated response is in the
+    ledger, and in ``broken`` besides, for whoever repairs the sender.  ``metrics`` holds what was
+    observed while the ledger was written: calls, broken and truncated ones.
     """
     spark = raw_stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -240,7 +337,17 @@ def start_ledger_stream(raw_stream: DataFrame, profiles: DataFrame, prices: Data
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         tables = price_stream(batch, profiles, prices, cache_schemas)
-        tables.ledger.write.mode("overwrite").parquet(f"{out}/ledger/batch_id={batch_id}")
+        unread, cut = F.col("request_parse_error").isNotNull(), F.coalesce("tap_truncated", F.lit(False))
+        seen = Observation()
+        tables.ledger.observe(
+            seen, F.count(F.lit(1)).alias("calls"), F.count_if(unread).alias("unread"), F.count_if(cut).alias("truncated"),
+        ).write.mode("overwrite").parquet(f"{out}/ledger/batch_id={batch_id}")
+        tables.ledger.filter(unread | cut).select(
+            "call_seq", "session", "ts", "path", "status", "request_parse_error", "tap_truncated"
+        ).write.mode("overwrite").parquet(f"{out}/broken/batch_id={batch_id}")
+        counts = seen.get
+        local_table(batch.sparkSession, [tuple(counts[c] for c in ("calls", "unread", "truncated"))], METRICS).write.mode(
+            "overwrite").parquet(f"{out}/metrics/batch_id={batch_id}")
         tables.traces.write.mode("overwrite").parquet(f"{out}/traces/batch_id={batch_id}")
         batch.unpersist()
 
