@@ -914,6 +914,32 @@ def openhands_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shapes(spark, sf_dir, "openhands")
 
 
+_STEP_ROLE = "CASE WHEN role <> 'system' AND turn % 3 = 2 THEN 'tool' WHEN role IN ('system', 'user') THEN role ELSE 'assistant' END"
+
+
+@query("trajectory_table_functions", f"""WITH s AS (SELECT 'c' || conv_id AS task_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS step,
+  {_STEP_ROLE} AS role, text FROM conversations)
+SELECT task_id, source, step, role, length(text) + CASE WHEN role = 'tool' THEN 13 ELSE 0 END AS chars, role = 'tool' AS is_observation
+FROM s, (VALUES ('swe-agent'), ('openhands')) v(source)""")
+def trajectory_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of events that are rows of a table, by SQL calls of two adapters."""
+    trajectories.register_table_functions(spark)
+    c = derived.table(spark, sf_dir, "conversations")
+    tool = (F.col("role") != "system") & (F.col("turn") % 3 == 2)
+    text = F.when(tool, F.concat(F.lit("OBSERVATION:\n"), F.col("text"))).otherwise(F.col("text"))
+    task = F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("task_id")
+    block = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    first = F.to_json(F.struct(F.when(tool, F.lit("tool")).otherwise(F.col("role")).alias("role"), block.alias("content")))
+    second = F.to_json(F.struct(
+        F.when(tool, F.lit("run")).alias("observation"),
+        F.when(F.col("role") == "assistant", F.lit("agent")).otherwise(F.col("role")).alias("source"), text.alias("content")))
+    steps = spark.sql(
+        """SELECT * FROM swe_agent_steps(TABLE({first}) PARTITION BY task_id ORDER BY turn)
+        UNION ALL SELECT * FROM openhands_steps(TABLE({second}) PARTITION BY task_id ORDER BY turn)""",
+        first=c.select(task, "turn", first.alias("event")), second=c.select(task, "turn", second.alias("event")))
+    return steps.select("task_id", "source", "step", "role", F.length("text").cast("bigint").alias("chars"), "is_observation")
+
+
 @query("canonical_requests", f"""WITH {TURNS} SELECT seq AS call_seq, sha256(canon) AS digest,
   CAST(length(canon) AS INTEGER) AS chars FROM ccalls""")
 def canonical_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

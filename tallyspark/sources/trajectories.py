@@ -2,17 +2,32 @@
 
 Each reader is a ``DataFrame(document STRING) -> trajectories`` function; add one to
 ``ADAPTERS`` to support another format.
+
+Events that are rows of a table already, one per step, go through table functions
+(:func:`register_table_functions`)::
+
+    SELECT * FROM swe_agent_steps(TABLE(events) PARTITION BY task_id ORDER BY turn)
+
+Spark brings a trajectory's events together in order, and a step is given out for each event as it
+comes, so a trajectory of any length needs no memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import sys
+from collections.abc import Callable, Iterator
+
+from pyspark import cloudpickle
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.trajectory import OBSERVATION_MARK
 
+# Executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SWE_DDL = (
     "task_id STRING, history ARRAY<STRUCT<role: STRING, content: VARIANT>>, "
     "info STRUCT<exit_status: STRING, submission: STRING, model_stats: STRUCT<tokens_sent: DOUBLE, "
@@ -126,3 +141,66 @@ def explode_steps(trajectories: DataFrame) -> DataFrame:
     return trajectories.select(
         "task_id", "source", F.posexplode("steps").alias("step", "s")
     ).select("task_id", "source", "step", "s.*")
+
+
+# Table functions
+
+STEPS = "task_id STRING, source STRING, step INT, role STRING, text STRING, is_observation BOOLEAN"
+
+
+def _event(text: str | None) -> dict:
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def _plain_text(content) -> str:
+    """As :func:`content_text`."""
+    if isinstance(content, list):
+        return "\n".join(b["text"] for b in content if isinstance(b, dict) and isinstance(b.get("text"), str))
+    return content if isinstance(content, str) else ""
+
+
+class _Steps:
+    """Numbers the events of one trajectory; needs columns ``task_id`` and ``event`` (JSON text)."""
+
+    source = ""
+
+    def __init__(self):
+        self.at = 0
+
+    def read(self, event: dict) -> tuple[str, str, bool]:
+        raise NotImplementedError
+
+    def eval(self, row) -> Iterator[tuple]:
+        role, text, observed = self.read(_event(row["event"]))
+        yield row["task_id"] or "unknown", self.source, self.at, role, text, observed and OBSERVATION_MARK in text
+        self.at += 1
+
+
+class SweAgentSteps(_Steps):
+    source = "swe-agent"
+
+    def read(self, event: dict) -> tuple[str, str, bool]:
+        role = event.get("role") or "unknown"
+        return str(role), _plain_text(event.get("content")), role == "tool"
+
+
+class OpenHandsSteps(_Steps):
+    source = "openhands"
+
+    def read(self, event: dict) -> tuple[str, str, bool]:
+        observed, source = "observation" in event, event.get("source")
+        role = "tool" if observed else source if source in ("user", "system") else "assistant"
+        return role, _plain_text(event.get("content")), observed
+
+
+TABLE_FUNCTIONS = {"swe_agent_steps": SweAgentSteps, "openhands_steps": OpenHandsSteps}
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Make the adapters callable from SQL."""
+    for name, steps in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(steps, returnType=STEPS))
