@@ -2,8 +2,10 @@
 
 Cosine t between unit vectors is the distance ``epsilon = sqrt(2 - 2 t)``.  Vectors are turned
 onto leading principal directions and sorted by the cells of a grid of width epsilon in these
-(the epsilon grid order).  The sorted sequence is cut into blocks.  Two blocks are compared only
-if their bounding boxes in the leading directions are within epsilon; inside a pair of blocks
+(the epsilon grid order).  The sorted sequence is numbered over all partitions and cut into blocks of
+equal size.  Two blocks are compared only if their bounding boxes in the leading directions are within
+epsilon; boxes meet in the grid cells of the first ``MEET`` directions that they reach into, so
+blocks that are apart in one of these never meet.  Inside a pair of blocks
 the sequence is halved again and again, and intervals that are provably further apart are
 skipped.  Remaining intervals are compared by dense products in double precision.  Pairs are
 never written: a task returns, for each vector with links, their number and the smallest
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranking import global_rank
 from ..plans.staging import stage
 from .batches import consecutive
 from .components import components
@@ -35,6 +38,8 @@ from .ordering import HASH_BITS, hash60
 THRESHOLD = 0.95
 #: Vectors that the directions are fitted on, leading directions, vectors of a block and of an interval.
 SAMPLE, LEADING, BLOCK, INTERVAL = 10_000, 8, 4096, 512
+#: Directions in whose cells boxes meet.
+MEET = 3
 
 
 def unit_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -177,46 +182,34 @@ def link_vectors(vectors: DataFrame, vector: str = "embedding", threshold: float
 
     ddl = "vec_id bigint, n int, unit binary, many bigint, " + ", ".join(f"{c} double" for c in names)
     order = ["n", *[F.floor(F.col(c) / epsilon) for c in names], "vec_id"]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Consecutive blocks of one vector length, by place in the partition."""
-        from pyspark import TaskContext
-
-        base, current, filled, size = TaskContext.get().partitionId() << 32, None, 0, 0
-        for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
-            for i, n in enumerate(batch.column("n").to_pylist()):
-                if n != current or filled == block:
-                    current, filled, size = n, 0, size + 1
-                out[i] = base + size
-                filled += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "block"])
-
-    placed = stage(
-        reps.mapInArrow(place, ddl).repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(number, f"{ddl}, block bigint"), "blocks")
+    placed = global_rank(reps.mapInArrow(place, ddl), order, "rank").withColumn("block", F.floor((F.col("rank") - 1) / block).cast("bigint"))
     boxes = stage(placed.groupBy("block", "n").agg(
         *[F.min(c).alias(f"low_{c}") for c in names], *[F.max(c).alias(f"high_{c}") for c in names]), "boxes")
 
-    # Blocks whose boxes are within epsilon; they meet in a cell of the first direction.
+    # Blocks whose boxes are within epsilon.  Sorted blocks are narrow in the first directions, so
+    # a box reaches into few cells; one side is widened by a cell.
     cell = lambda c: F.floor(F.col(c) / epsilon)
-    left = boxes.withColumn("cell", F.explode(F.sequence(cell("low_c0"), cell("high_c0")))).alias("a")
-    right = boxes.withColumn("cell", F.explode(F.sequence(cell("low_c0") - 1, cell("high_c0") + 1))).alias("b")
+    left, right = boxes, boxes
+    for i, c in enumerate(names[:MEET]):
+        left = left.withColumn(f"cell{i}", F.explode(F.sequence(cell(f"low_{c}"), cell(f"high_{c}"))))
+        right = right.withColumn(f"cell{i}", F.explode(F.sequence(cell(f"low_{c}") - 1, cell(f"high_{c}") + 1)))
+    left, right = left.alias("a"), right.alias("b")
     gap = sum(
         (F.pow(F.greatest(F.lit(0.0), F.col(f"a.low_{c}") - F.col(f"b.high_{c}"), F.col(f"b.low_{c}") - F.col(f"a.high_{c}")), F.lit(2)) for c in names),
         F.lit(0.0),
     )
-    near = left.join(right, ["n", "cell"]).filter((F.col("a.block") <= F.col("b.block")) & (gap <= epsilon**2 + 1e-9))
-    tiles = stage(near.select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct(), "tiles")
+    near = left.join(right, ["n", *[f"cell{i}" for i in range(MEET)]]).filter((F.col("a.block") <= F.col("b.block")) & (gap <= epsilon**2 + 1e-9))
+    tiles = stage(near.select("n", F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct(), "tiles")
     columns = ["vec_id", "n", "unit", "many", *names]
-    sides = placed.select("block", *columns)
+    # A block of the sequence may hold the end of one vector length and the start of the next.
+    first, second = (placed.select(F.col("block").alias(side), *columns) for side in ("a", "b"))
     members = (
-        tiles.join(sides, F.col("a") == F.col("block")).select("a", "b", F.lit(0).alias("side"), *columns)
-        .union(tiles.filter("a < b").join(sides, F.col("b") == F.col("block")).select("a", "b", F.lit(1).alias("side"), *columns))
+        tiles.join(first, ["n", "a"]).select("a", "b", F.lit(0).alias("side"), *columns)
+        .union(tiles.filter("a < b").join(second, ["n", "b"]).select("a", "b", F.lit(1).alias("side"), *columns))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in consecutive(batches, ["a", "b"]):
+        for _, rows in consecutive(batches, ["n", "a", "b"]):
             n = rows.column("n")[0].as_py()
             units = np.frombuffer(b"".join(rows.column("unit").to_pylist())).reshape(-1, n)
             coords = np.column_stack([rows.column(c).to_numpy() for c in names])
@@ -228,7 +221,7 @@ def link_vectors(vectors: DataFrame, vector: str = "embedding", threshold: float
                 yield pa.RecordBatch.from_pydict({"vec_id": ids[at], "links": tile.links[at], "root": ids[tile.roots()[at]]})
 
     partial = stage(
-        members.repartition("a", "b").sortWithinPartitions("a", "b", "side", *order)
+        members.repartition("n", "a", "b").sortWithinPartitions("n", "a", "b", "side", *order[1:])
         .mapInArrow(compare, "vec_id bigint, links bigint, root bigint"), "partial")
     joined = components(partial.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
     sums = partial.groupBy("vec_id").agg(F.sum("links").alias("links"))
