@@ -392,7 +392,7 @@ measured AS (SELECT {rounded('raw', 1)} AS step_cost_tok_eq FROM ms)"""
 
 @query("measured_step_cost", report_ctes("session") + f", {_MEASURED} SELECT * FROM measured")
 def measured_step_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.measured_step_cost(sessions.session_report(stored(spark, sf_dir).ledger))
+    return sessions.measured_step_cost(sessions.step_means(stored(spark, sf_dir).ledger))
 
 
 @query("trace_shapes", f"""WITH {CALLS}, {LINKS} SELECT session, count(*) AS n_calls,
@@ -788,7 +788,7 @@ SELECT name, body AS body_tokens, steps AS steps_replaced, greatest(steps - 1, 0
   failures AS gate_failures,
   name || ': ' || lang || ' [when: ' || CASE WHEN keyed THEN source || ' → ' || lang ELSE '' END || ']' AS card FROM s4""")
 def skill_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = sessions.measured_step_cost(sessions.session_report(stored(spark, sf_dir).ledger))
+    step = sessions.measured_step_cost(sessions.step_means(stored(spark, sf_dir).ledger))
     return skills.price_skills(_document_skills(spark, sf_dir), step).select(
         "name", "body_tokens", "steps_replaced", "net_steps_saved", "step_cost_tok_eq",
         "hold_cost_tok_eq", "break_even_steps", "verdict",

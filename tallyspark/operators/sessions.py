@@ -228,6 +228,16 @@ def session_report(ledger: DataFrame, by: Sequence[str] = ("session",),
     )
 
 
+def step_means(ledger: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
+    """``calls`` and ``mean_step_cost_tok_eq`` of the session report, without its other columns.
+
+    One aggregation of integers that combines before the shuffle; no order of calls is needed.
+    """
+    sums = call_facts(ledger, by).groupBy(*by).agg(*[_total(c) for c in ("calls", "step_tenths", "step_calls")])
+    mean = from_units(F.col("step_tenths"), 1) / F.nullif(F.col("step_calls").cast("double"), F.lit(0.0))
+    return sums.select(*by, "calls", py_round(mean, 1).alias("mean_step_cost_tok_eq"))
+
+
 def day_totals(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Totals over session rows.  An unknown cache stays NULL, and the ratio is the
     unweighted mean of session means."""
@@ -331,12 +341,12 @@ def report_totals(report: DataFrame) -> DataFrame:
     )
 
 
-def session_costs(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def session_costs(ledger: DataFrame) -> DataFrame:
     """Effective cost per session in tenths of a token equivalent, summed over days.
 
     A day's cost is the mean over *priced* calls times *all* calls of that day.
     """
-    daily = session_report(ledger, ("ledger_day", "session"), hot_rows)
+    daily = step_means(ledger, ("ledger_day", "session"))
     return (
         daily.filter(F.col("mean_step_cost_tok_eq").isNotNull())
         .groupBy("session")
@@ -345,7 +355,10 @@ def session_costs(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def measured_step_cost(report: DataFrame) -> DataFrame:
-    """One row: call-weighted mean step cost over priced sessions (NULL without any)."""
+    """One row: call-weighted mean step cost over priced sessions (NULL without any).
+
+    ``report`` is a session report, or the cheaper :func:`step_means`.
+    """
     priced = report.filter(F.col("mean_step_cost_tok_eq").isNotNull())
     return priced.agg(
         py_round(

@@ -48,3 +48,44 @@ def test_running_totals(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     assert running_totals(stream, "2 days").isStreaming
     assert price_stream  # the same pricing serves both paths
+
+
+def test_an_expired_session_opens_anew(spark, tmp_path):
+    """A call that extends a conversation continues it, unless the conversation's state has expired."""
+    import json
+
+    def raw(seq, texts):
+        body = json.dumps({"model": "m", "messages": [{"role": "user", "content": t} for t in texts]})
+        return (seq, "2024-01-01T00:00:00.000+00:00", "openai", "/v1/chat/completions", 200, 1.0, body, None, False, None, False, None, None, False)
+
+    for i, texts in enumerate((["a"], ["a", "b"], ["a", "b", "c"])):
+        spark.createDataFrame([raw(i, texts)], CALL_RAW).coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    found = {}
+    for ttl in (1, 10**9):
+        stream = spark.readStream.schema(CALL_RAW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        out = str(tmp_path / f"out{ttl}")
+        query = start_ledger_stream(stream, *derived.dimensions(spark), out, str(tmp_path / f"cp{ttl}"), ttl)
+        assert query.awaitTermination(240) and query.exception() is None
+        found[ttl] = spark.read.parquet(f"{out}/ledger").orderBy("call_seq").collect()
+    assert len({r.session for r in found[10**9]}) == 1 and [r.prefix_stable_ratio for r in found[10**9]] == [None, 1.0, 1.0]
+    assert len({r.session for r in found[1]}) == 3 and [r.prefix_stable_ratio for r in found[1]] == [None] * 3
+
+
+def test_a_repeated_batch_of_day_totals_changes_nothing(spark):
+    from tallyspark.streaming.live import _CHANGES, day_changes, day_totals_of
+
+    names = [c.split()[0] for c in _CHANGES.split(", ")]
+
+    def change(day, session, old, new):
+        return dict(zip(names, [day, session, *(old or [None] * 8), *map(str, new)], strict=True))
+
+    #            calls, prompt, completion, cached, known calls, usd, ratio, ratio calls
+    first = [1, 10, 2, 0, 0, 150, 500_000_000_000, 1]
+    second = [3, 30, 6, 4, 2, 149, 2_000_000_000_000, 3]
+    rows = [change("2024-01-01", "a", None, first), change("2024-01-01", "a", list(map(str, first)), second),
+            change("2024-01-01", "b", None, [2, 5, 1, 0, 0, 0, 0, 0]), change("", "c", None, [1, 0, 0, 0, 0, 0, 0, 0])]
+    got = {str(r.ledger_day): r for r in day_totals_of(day_changes(spark.createDataFrame(rows, _CHANGES))).collect()}
+    r = got["2024-01-01"]
+    assert (r.calls, r.prompt_tokens, r.completion_tokens, r.cached_tokens, r.cache_unavailable_sessions, r.sessions) == (5, 35, 7, 4, 1, 2)
+    assert r.cost_usd == 1e-06 and r.mean_prefix_stable_ratio == 0.6667
+    assert (got["None"].cached_tokens, got["None"].sessions, got["None"].mean_prefix_stable_ratio) == (None, 1, None)
