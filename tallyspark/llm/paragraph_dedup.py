@@ -18,6 +18,9 @@ stretches of a seed are alike, as in copies, that settles the seed.  Where a see
 stretches, the first occurrence of each is read again, and its runs of ``SPAN`` words are classes by
 equality too; all other occurrences of a stretch repeat its first one as a whole.
 
+Documents are known by their ids; only if an id comes with several texts, the pairs of id and text are
+numbered in their order, and the numbers stand for the ids until the end.
+
 Nothing expands a bucket into its pairs: members are
 verified against the bucket's smallest content, and only buckets that are then still in
 several components are compared member by member, in tiles of bounded size that join components
@@ -28,13 +31,14 @@ doc_id, then place) stays, all others go.  Neighbouring units of the same fate,
 words (or as many characters as these have) apart, make a span; spans of fewer than ``SPAN`` words are left alone.
 
 Nulls: rows with a null id or text, and empty texts, have no spans.  A document is an id with a
-text: rows that repeat both are one document, an id with several texts is several documents, the
-``node`` of spans tells them apart.  An empty table gives an empty result.  Further columns, whatever
+text: rows that repeat both are one document, an id with several texts is several documents.  An
+empty table gives an empty result.  Further columns, whatever
 their names, are kept by ``remove_repeats`` and left out of ``repeated_spans``.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -44,6 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranking import global_rank
 from ..plans.staging import stage
 from .batches import consecutive
 from .components import components
@@ -63,15 +68,15 @@ _SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*|[.!?。！？]+")
 _WORD = re.compile(r"\w+")
 SENTENCE_TYPE = pa.struct([
     ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
-STRETCH_TYPE = pa.struct([("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 UNITS = (
-    "doc_id bigint, node bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>, "
-    "sentences array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>, stretches array<struct<at:int,words:int,h:bigint,g:bigint>>"
+    "doc_id bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>, "
+    "sentences array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>, "
+    "stretches array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>"
 )
 _UNIT_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("node", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
-    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE)), ("stretches", pa.list_(STRETCH_TYPE))])
-FOUND = "doc_id bigint, node bigint, start int, stop int, at int, words int, h bigint, g bigint"
+    ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
+    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE)), ("stretches", pa.list_(SENTENCE_TYPE))])
+WINDOWS = "doc_id bigint, start int, stop int, at int, words int, h bigint, g bigint"
 
 
 def _sentences(text: str, start: int, stop: int, memo: WordHashes) -> Iterator[tuple[int, int, list[str]]]:
@@ -94,7 +99,15 @@ def _sentences(text: str, start: int, stop: int, memo: WordHashes) -> Iterator[t
         if held:
             yield at, end, held
         at, held = match.start(), []
-        if len(words) > LONG:
+        ends = [m.end() for m in _WORD.finditer(text, *match.span())] if len(words) > LONG else []
+        if len(ends) == len(words):
+            first = 0
+            for i, word in enumerate(words, 1):
+                if i - first >= SENTENCE and memo[word] % CUT == 0:
+                    yield at, ends[i - 1], words[first:i]
+                    at, first = ends[i - 1], i
+            words = words[first:]
+        elif ends:  # a letter whose lower case ends a word
             for word in _WORD.finditer(text, *match.span()):
                 held += words_of(word[0])
                 if len(held) >= SENTENCE and memo[held[-1]] % CUT == 0:
@@ -140,18 +153,25 @@ def _span_digests(words: np.ndarray, count: int) -> np.ndarray:
     return mix(out, 43)
 
 
-def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words, seed and digest of a document's stretches; none below ``SPAN`` words."""
+def stretches(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words, seed and digest of the stretches of documents in a row.
+
+    ``ends``: per word, where its document ends.  Documents of less than ``SPAN`` words have none.
+    """
     _, least = _runs(words)
-    if not len(least):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), least, least
-    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    runs = np.diff(np.append(at, len(least)))
+    begins = np.flatnonzero(ends[: len(least)] - np.arange(len(least)) >= SPAN)
+    if not len(begins):
+        return begins, begins, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    seeds = least[begins]
+    new = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (begins[1:] != begins[:-1] + 1)])
+    first = np.flatnonzero(new)
+    runs = np.diff(np.append(first, len(begins)))
     with np.errstate(over="ignore"):
         # A stretch is its runs of SPAN words in a row.
-        each = _span_digests(words, len(least)) ^ mix((np.arange(len(least)) - np.repeat(at, runs)).astype(np.uint64), 47)
-        digests = mix(np.add.reduceat(mix(each, 53), at) + runs.astype(np.uint64), 59)
-    return at, runs + SPAN - 1, least[at], digests
+        places = (np.arange(len(begins)) - np.repeat(first, runs)).astype(np.uint64)
+        each = _span_digests(words, len(least))[begins] ^ mix(places, 47)
+        digests = mix(np.add.reduceat(mix(each, 53), first) + runs.astype(np.uint64), 59)
+    return begins[first], runs + SPAN - 1, seeds[first], digests
 
 
 def _digests(hashes: np.ndarray, places) -> np.ndarray:
@@ -182,11 +202,11 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         memo = WordHashes()
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                yield from units(*(part.column(c).to_pylist() for c in ("doc_id", "node", "text")), memo)
+                yield from units(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), memo)
 
-    def units(ids, nodes, texts, memo):
+    def units(ids, texts, memo):
         rows, words, pieces, counts, bases = [], [], [], [], []
-        for doc_id, node, text in zip(ids, nodes, texts, strict=True):
+        for doc_id, text in zip(ids, texts, strict=True):
             at, base = 0, len(words)
             bases.append(base)
             while at <= len(text):
@@ -198,7 +218,7 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
                         pieces.append((a, b, len(words), len(mine), len(words) - base))
                     words += mine
                 if len(words) > first:
-                    rows.append((doc_id, at, stop, len(words) - first, first, first - base, node))
+                    rows.append((doc_id, at, stop, len(words) - first, first, first - base))
                     counts.append(len(pieces) - before)
                 at = stop + 1
         if not rows:
@@ -210,14 +230,18 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         sentences = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
             pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
-        found = [(base, *stretches(hashes[base:end])) for base, end in zip(bases, [*bases[1:], len(words)], strict=True)]
-        begins = np.concatenate([base + at for base, at, *_ in found])
-        many = np.bincount(np.searchsorted([row[4] for row in rows], begins, "right") - 1, minlength=len(rows))
-        fields = [np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4)]
+        lengths = np.diff([*bases, len(words)])
+        at, many, h, g = stretches(hashes, np.repeat(np.cumsum(lengths), lengths))
+        # The places of all texts at once, in the texts joined by a line feed.
+        ranges = word_ranges("\n".join(texts))
+        chars = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        document = np.searchsorted(bases, at, "right") - 1
+        fields = [ranges[at, 0] - chars[document], ranges[at + many - 1, 1] - chars[document], at - np.array(bases)[document], many]
+        in_row = np.bincount(np.searchsorted([row[4] for row in rows], at, "right") - 1, minlength=len(rows))
         sown = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()),
+            pa.array(np.concatenate([[0], np.cumsum(in_row)]), pa.int32()),
             pa.StructArray.from_arrays([
-                *(pa.array(f.astype(np.int32)) for f in fields[:2]), *(pa.array(f.view(np.int64)) for f in fields[2:])], fields=list(STRETCH_TYPE)))
+                *(pa.array(f.astype(np.int32)) for f in fields), *(pa.array(f.view(np.int64)) for f in (h, g))], fields=list(SENTENCE_TYPE)))
         contents = _digests(hashes, [(row[4], row[3]) for row in rows])[:, 1]
         bands = [None] * len(rows)
         long = [i for i, row in enumerate(rows) if row[3] >= PARAGRAPH]
@@ -231,18 +255,27 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
             for i, key in zip(long, keys.astype(np.int64).tolist(), strict=True):
                 bands[i] = key
         yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[6] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
             pa.array([r[5] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array(contents, pa.int64()),
             pa.array(bands, pa.list_(pa.int64())), sentences, sown,
         ], schema=_UNIT_SCHEMA)
 
-    return _nodes(docs).mapInArrow(run, UNITS)
+    return docs.mapInArrow(run, UNITS)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of id and text) and text of the rows that have both."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with an id and a text as (doc_id, text), one number per document in ``doc_id``.
+
+    The number is the id itself, unless an id has several texts; then the second table says which
+    id and text (by its hash) a number stands for.
+    """
     doc_id, text = docs["doc_id"].cast("bigint"), docs["text"].cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("node"), text.alias("text")).dropna()
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).dropna()
+    several = rows.groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).filter("low < high")
+    if several.limit(1).isEmpty():
+        return rows.select("doc_id", "text"), None
+    names = stage(global_rank(rows.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "number"), "names")
+    return stage(rows.join(names, ["doc_id", "text_hash"]).select(F.col("number").alias("doc_id"), "text"), "numbered"), names
 
 
 def _set(text: str, memo: WordHashes) -> np.ndarray:
@@ -259,10 +292,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _texts(docs: DataFrame, units: DataFrame, active: DataFrame) -> DataFrame:
     """h and text of one occurrence of each active paragraph."""
     places = (
-        units.filter("bands IS NOT NULL").select("h", F.struct("node", "start", "stop").alias("place")).join(active, "h")
+        units.filter("bands IS NOT NULL").select("h", F.struct("doc_id", "start", "stop").alias("place")).join(active, "h")
         .groupBy("h").agg(F.min("place").alias("place")).select("h", "place.*")
     )
-    return _nodes(docs).join(places, "node").select("h", F.expr("substring(text, start + 1, stop - start)").alias("text")).groupBy("h").agg(F.min("text").alias("text"))
+    return docs.join(places, "doc_id").select("h", F.expr("substring(text, start + 1, stop - start)").alias("text")).groupBy("h").agg(F.min("text").alias("text"))
 
 
 def _stars(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -330,8 +363,8 @@ def _near_paragraphs(docs: DataFrame, units: DataFrame, threshold: float) -> Dat
     """h and label: the class of each paragraph content that has a near-duplicate."""
     banded = units.filter("bands IS NOT NULL").select("h", F.explode("bands").alias("key"))
     keys = banded.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("top")).filter("pivot < top").select("key", "pivot")
-    members = stage(banded.join(keys, "key").distinct(), "members")
-    texts = stage(_texts(docs, units, members.select("h").distinct()), "texts")
+    members = _staged(banded.join(keys, "key").distinct(), "members")
+    texts = _staged(_texts(docs, units, members.select("h").distinct()), "texts")
     pairs = members.filter("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
     labels = components(stage(_stars(pairs, texts, threshold), "links"))
     labels = components(labels.select("u", "v").union(_across(members, labels, texts, threshold)))
@@ -348,78 +381,118 @@ def _word_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return words, places
 
 
-def repeated_runs(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """Repeated stretches, and the runs of ``SPAN`` words of seeds with different stretches (``FOUND``)."""
-    sown = units.select("doc_id", "node", F.explode("stretches").alias("s")).select("doc_id", "node", "s.*")
-    seeds = (
-        sown.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("g").alias("g0"), F.max("g").alias("g1"))
-        .filter("low < high").select("h", (F.col("g0") < F.col("g1")).alias("several"))
-    )
-    # Rows of seeds that stand in one document only end here.
-    held = stage(sown.join(seeds, "h"), "stretches")
-    classes = (
-        held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "node", "at")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
-        .select("h", "g", "first", (F.col("low") < F.col("high")).alias("repeated"))
-    )
-    marked = held.join(classes, ["h", "g"]).withColumn(
-        "opened", F.col("several") & (F.struct("doc_id", "node", "at") == F.col("first"))).filter("repeated OR opened")
-    places = marked.groupBy("node").agg(F.collect_list(F.struct("at", "words", "h", "g", "repeated", "opened")).alias("places"))
+#: Which characters are of words, by code point.
+_OF_WORDS = np.zeros(0x110000, bool)
+
+
+def word_ranges(text: str) -> np.ndarray:
+    """words x 2: the character ranges of a text's words."""
+    lower = text.lower()
+    if len(lower) != len(text):  # a letter with a longer lower case
+        return np.array(_word_places(text)[1], np.int32).reshape(-1, 2)
+    if not _OF_WORDS[ord("a")]:
+        _OF_WORDS[:] = [chr(c).isalnum() or c == 95 for c in range(0x110000)]
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = _OF_WORDS[np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    edges = np.diff(inside)
+    return np.column_stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)]).astype(np.int32)
+
+
+def _all_words(text: str, memo: WordHashes) -> list[str]:
+    """The words of a text in order, as ``paragraph_units`` reads them."""
+    if "Σ" not in text:  # its lower case depends on the letters beside it
+        return words_of(text)
+    return [w for line in text.split("\n") for _, _, mine in _sentences(line, 0, len(line), memo) for w in mine]
+
+
+def opened_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """The runs of ``SPAN`` words of the stretches ``opened`` (doc_id, at, words, h)."""
+    places = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words", "h")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            columns = (batch.column(c) for c in ("doc_id", "node", "text", "places"))
-            for doc_id, node, text, places in zip(*columns, strict=True):
-                text, places = text.as_py(), places.values
-                at, count, h, g, repeated, opened = (places.field(i).to_numpy(zero_copy_only=False) for i in range(6))
-                whole = [(at[repeated], count[repeated], h[repeated], g[repeated])]
-                if opened.any():
-                    words = [w for line in text.split("\n") for _, _, mine in _sentences(line, 0, len(line), memo) for w in mine]
-                    hashes = memo.of(words)
-                    digests = _span_digests(hashes, max(len(hashes) - SPAN + 1, 0)).view(np.int64)
-                    runs = count[opened] - SPAN + 1
-                    begins = np.repeat(at[opened], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-                    whole.append((begins, np.full(len(begins), SPAN), np.repeat(h[opened], runs), digests[begins]))
-                ranges = np.array(_word_places(text)[1], np.int32).reshape(-1, 2)
-                for begins, counts, h, g in whole:
-                    for i in range(0, len(begins), 10_000):
-                        b, n = begins[i : i + 10_000], counts[i : i + 10_000]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(b), doc_id.as_py(), np.int64)), pa.array(np.full(len(b), node.as_py(), np.int64)),
-                            pa.array(ranges[b, 0]), pa.array(ranges[b + n - 1, 1]), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32)),
-                            pa.array(h[i : i + 10_000]), pa.array(g[i : i + 10_000]),
-                        ], names=["doc_id", "node", "start", "stop", "at", "words", "h", "g"])
-
-    return _nodes(docs).join(places, "node").mapInArrow(run, FOUND)
+            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+                text = text.as_py()
+                at, count, h = (places.values.field(i).to_numpy() for i in range(3))
+                hashes, ranges = memo.of(_all_words(text, memo)), word_ranges(text)
+                digests = _span_digests(hashes, len(hashes) - SPAN + 1).view(np.int64)
+                runs = count - SPAN + 1
+                begins = np.repeat(at, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+                h = np.repeat(h, runs)
+                for i in range(0, len(begins), 10_000):
+                    b = begins[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(b), doc_id, np.int64)), pa.array(ranges[b, 0]), pa.array(ranges[b + SPAN - 1, 1]),
+                        pa.array(b.astype(np.int32)), pa.array(np.full(len(b), SPAN, np.int32)), pa.array(h[i : i + 10_000]), pa.array(digests[b]),
+                    ], names=["doc_id", "start", "stop", "at", "words", "h", "g"])
+
+    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, WINDOWS)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """h, g, and the ``first`` place and whether it is in several documents (``repeated``)."""
+    return rows.groupBy("h", "g").agg(
+        F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("high")
+    ).select("h", "g", "first", (F.col("first.doc_id") < F.col("high")).alias("repeated"))
+
+
+def _marked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes.filter("repeated").select("h", "g", "first"), ["h", "g"]).select(
+        "doc_id", "start", "stop", "at", "words", F.col("first.doc_id").alias("first_doc"),
+        (F.struct("doc_id", "at") != F.col("first")).alias("removed"))
 
 
 def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
     """doc_id, start and stop (characters), n_words, first_doc and removed of every repeated span."""
-    return _spans(docs, threshold, span).drop("node")
+    rows, names = _numbered(docs)
+    spans = _spans(rows, threshold, span)
+    return spans if names is None else _named(spans, names).drop("text_hash")
 
 
-def _spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
-    """The repeated spans with the ``node`` of the text that they are places in."""
-    units = stage(paragraph_units(docs), "units")
-    sentences = units.select("doc_id", "node", F.explode("sentences").alias("s")).select("doc_id", "node", "s.*")
+def _named(spans: DataFrame, names: DataFrame) -> DataFrame:
+    """Spans with the ids that the numbers stand for, and the hash of the text."""
+    own = names.select(F.col("number").alias("own"), F.col("doc_id").alias("own_id"), "text_hash")
+    other = names.select(F.col("number").alias("other"), F.col("doc_id").alias("other_id"))
+    return spans.join(own, F.col("doc_id") == F.col("own")).join(other, F.col("first_doc") == F.col("other")).select(
+        F.col("own_id").alias("doc_id"), "text_hash", "start", "stop", "n_words", F.col("other_id").alias("first_doc"), "removed")
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, and a collection of the driver's garbage: Spark deletes the shuffle files of the jobs
+    before it only when their handles are collected, and here they would pile up."""
+    out = stage(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _spans(docs: DataFrame, threshold: float, span: int) -> DataFrame:
+    """The repeated spans of numbered documents."""
+    units = _staged(paragraph_units(docs), "units")
+    sentences = units.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
     # Two passes: which hashes are in several documents, then only their rows.
-    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "node", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
+    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
     sentences = sentences.unionByName(paragraphs)
-    repeated = sentences.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("h")
-    found = sentences.join(repeated, "h").select("doc_id", "node", "start", "stop", "at", "words", "h", "g")
-    near = stage(_near_paragraphs(docs, units, threshold), "near-paragraphs")
-    found = stage(found.unionByName(repeated_runs(docs, units)).unionByName(
-        paragraphs.join(near, "h").select("doc_id", "node", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
-    place = F.struct("doc_id", "node", "at")
-    first = (
-        found.groupBy("h", "g").agg(F.min(place).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low < high").select("h", "g", "first")
-    )
-    marked = found.join(first, ["h", "g"]).select(
-        "doc_id", "node", "start", "stop", "at", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("removed"))
+    repeated = sentences.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
+    found = sentences.join(repeated, "h").select("doc_id", "start", "stop", "at", "words", "h", "g")
+    near = _staged(_near_paragraphs(docs, units, threshold), "near-paragraphs")
+    found = _staged(found.unionByName(
+        paragraphs.join(near, "h").select("doc_id", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
+
+    sown = units.select("doc_id", F.explode("stretches").alias("s")).select("doc_id", "s.*")
+    # One number per seed is shuffled here; what repeats inside one document only goes with its class.
+    seeds = sown.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    sown = _staged(sown.join(seeds, "h").select(*found.columns), "stretches")
+    classes = _staged(_classes(sown), "stretch-classes")
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    opened = sown.join(classes.join(several, "h").select("h", "g", "first"), ["h", "g"]).filter(F.struct("doc_id", "at") == F.col("first"))
+    windows = _staged(opened_windows(docs, opened.select("doc_id", "at", "words", "h")), "windows")
+
+    marked = _marked(found, _classes(found)).union(_marked(sown, classes)).union(_marked(windows, _classes(windows)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc_id, node, removed), table in consecutive(batches, ["doc_id", "node", "removed"]):
+        for (doc_id, removed), table in consecutive(batches, ["doc_id", "removed"]):
             rows, current = [], None
             for start, stop, at, words, origin in zip(*(table.column(c).to_pylist() for c in ("start", "stop", "at", "words", "first_doc")), strict=True):
                 if current and (start <= current[1] + 8 * GAP or at <= current[4] + GAP):
@@ -432,28 +505,32 @@ def _spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> D
             rows = [r for r in [*rows, current] if r[2] >= span]
             if rows:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([doc_id] * len(rows), pa.int64()), pa.array([node] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.int64()))),
+                    pa.array([doc_id] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.int64()))),
                     pa.array([bool(removed)] * len(rows)),
-                ], names=["doc_id", "node", "start", "stop", "n_words", "first_doc", "removed"])
+                ], names=["doc_id", "start", "stop", "n_words", "first_doc", "removed"])
 
     return (
-        marked.withColumn("removed", F.col("removed").cast("int")).repartition("node")
-        .sortWithinPartitions("doc_id", "node", "removed", "start", F.desc("stop"))
-        .mapInArrow(merge, "doc_id bigint, node bigint, start int, stop int, n_words int, first_doc bigint, removed boolean")
+        marked.withColumn("removed", F.col("removed").cast("int")).repartition("doc_id")
+        .sortWithinPartitions("doc_id", "removed", "start", F.desc("stop"))
+        .mapInArrow(merge, "doc_id bigint, start int, stop int, n_words int, first_doc bigint, removed boolean")
     )
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
     """``docs`` with the removed spans cut out of ``text``."""
-    spans = stage(_spans(docs, **options), "spans")
-    cuts = spans.filter("removed").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    numbered, names = _numbered(docs)
+    spans = stage(_spans(numbered, threshold, span), "spans").filter("removed")
+    spans = spans.withColumn("text_hash", F.lit(None).cast("bigint")) if names is None else _named(spans, names)
+    cuts = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     # The document is one column beside the keys, so its own columns may have any names.
-    node = F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string")))
-    rows = docs.select(node.alias("node"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text_hash = F.lit(None).cast("bigint") if names is None else F.xxhash64(docs["text"].cast("string"))
+    rows = docs.select(
+        docs["doc_id"].cast("bigint").alias("own_id"), text_hash.alias("own_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = F.col("row.text")
     # Pieces between the cuts; spans of a document do not overlap.
     ends = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text)))
     begins = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["stop"]))
     pieces = F.zip_with(begins, ends, lambda b, e: F.substring(text, b + 1, F.greatest(e - b, F.lit(0))))
     cut = F.when(F.col("cuts").isNull(), text).otherwise(F.concat_ws("", pieces))
-    return rows.join(cuts, "node", "left").select(F.col("row").withField("text", cut).alias("row")).select("row.*")
+    same = (F.col("own_id") == F.col("doc_id")) & F.col("own_hash").eqNullSafe(F.col("text_hash"))
+    return rows.join(cuts, same, "left").select(F.col("row").withField("text", cut).alias("row")).select("row.*")

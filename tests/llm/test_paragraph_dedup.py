@@ -215,3 +215,10 @@ def test_the_small_table_against_all_runs(spark):
     assert not shared - places(got, rows, {True, False})
     # What is removed beyond shared runs are repeated pieces and near paragraphs with their gaps.
     assert len(places(got, rows, {True})) <= 1.35 * len(late)
+
+
+def test_word_ranges_are_those_of_the_words():
+    for text in ("", "a", " one, Two_3!\nÄß é́x 日本語。x", "İstanbul x", "ΑΣ ΑΣ. x\u0307y", "no\x00pe 𝔘𝔫 x"):
+        words, ranges = pd._word_places(text)
+        assert pd.word_ranges(text).tolist() == [list(r) for r in ranges]
+        assert len(pd._all_words(text, pd.WordHashes())) == len(words)
