@@ -169,17 +169,17 @@ def sample_row(submission: Submission) -> DataFrame:
 def write_submission(submission: Submission, path: str) -> None:
     """One version of the dataset: ``ledger/`` by day, ``traces/`` by trace day, then ``manifest/``.
 
-    Every run writes its tables into a folder of its own, and its manifest, which names that folder, is
+    Every run writes its tables into folders of its own, and its manifest, which names them, is
     the last and only thing that readers look for.  A run that fails leaves no manifest, and one that
     is repeated replaces the manifest, so readers see one whole version at any time.
     """
-    version = f"version-{uuid.uuid4().hex}"
+    version = f"run-{uuid.uuid4().hex}"
     # Rows lie in call order inside each day and session.
     submission.ledger.repartitionByRange("ledger_day", "row").sortWithinPartitions("ledger_day", "row").write.partitionBy(
-        "ledger_day").parquet(f"{path}/{version}/ledger")
+        "ledger_day").parquet(f"{path}/ledger/version={version}")
     submission.traces.withColumn("trace_day", ledger_day(F.col("ts"))).repartitionByRange(
         "trace_day", "session", "row").sortWithinPartitions("trace_day", "session", "row").write.partitionBy(
-        "trace_day").parquet(f"{path}/{version}/traces")
+        "trace_day").parquet(f"{path}/traces/version={version}")
     submission.manifest.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -188,4 +188,5 @@ def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     found = spark.read.json(f"{path}/manifest")
     version = found.select("version").first()[0]  # one row
     return (
-        spark.read.parquet(f"{path}/{version}/ledger"), spark.read.parquet(f"{path}/{version}/traces"), found.drop("version"))
+        spark.read.parquet(f"{path}/ledger/version={version}"), spark.read.parquet(f"{path}/traces/version={version}"),
+        found.drop("version"))
