@@ -40,7 +40,9 @@ from __future__ import annotations
 
 import gc
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +64,12 @@ PARAGRAPH, SENTENCE, LONG, SPAN, GAP = 20, 6, 16, 20, 5
 SEED, WINNOW = 6, 15
 #: One word hash in so many marks a cut.
 CUT = 8
+#: Parts of the hashes whose repeats are looked for one after the other.
+SLICES = 4
 #: Paragraphs that one side of a tile holds.
 TILE = 500
-_SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*|[.!?。！？]+")
+_STOPS = ".!?。！？"
+_SENTENCE = re.compile(f"[^{_STOPS}]+[{_STOPS}]*|[{_STOPS}]+")
 _WORD = re.compile(r"\w+")
 SENTENCE_TYPE = pa.struct([
     ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
@@ -194,6 +199,94 @@ def min_hashes(shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> n
     return out
 
 
+def _is_plain(text: str) -> bool:
+    """Whether lower-casing leaves every letter in its place, whatever stands beside it."""
+    return "Σ" not in text and "İ" not in text
+
+
+def _read(texts: list[str], memo: WordHashes):
+    """Word hashes and character ranges of texts joined by line feeds, the first word of each text,
+    (start, stop, first word) of its lines with words, and (start, stop, first word, words) of their pieces."""
+    words, bases, lines, pieces, before = [], [], [], [], 0
+    for text in texts:
+        at = 0
+        bases.append(len(words))
+        while at <= len(text):
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            first = len(words)
+            for a, b, mine in _sentences(text, at, stop, memo):
+                if len(mine) >= SENTENCE:
+                    pieces.append((before + a, before + b, len(words), len(mine)))
+                words += mine
+            if len(words) > first:
+                lines.append((before + at, before + stop, first))
+            at = stop + 1
+        before += len(text) + 1
+    return (memo.of(words), word_ranges("\n".join(texts)), np.array(bases, np.int64),
+            np.array(lines, np.int64).reshape(-1, 3), np.array(pieces, np.int64).reshape(-1, 4))
+
+
+def _read_plain(texts: list[str], memo: WordHashes):
+    """What ``_read`` gives, for plain texts: all texts at once, with a step per sentence, not per word."""
+    joined = "\n".join(texts).lower()
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ranges, hashes = _ranges(codes), memo.of(_WORD.findall(joined))
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[: len(texts)]
+    bases = np.searchsorted(ranges[:, 0], starts)
+    if not len(hashes):
+        return hashes, ranges, bases, np.zeros((0, 3), np.int64), np.zeros((0, 4), np.int64)
+    feeds = np.flatnonzero(codes == 10)
+    line_starts, line_stops = np.concatenate([[0], feeds + 1]), np.append(feeds, len(codes))
+    line = np.searchsorted(line_starts, ranges[:, 0], "right") - 1
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    used = line[first]
+    lines = np.column_stack([line_starts[used], line_stops[used], first])
+
+    # A sentence ends behind a row of stops, or with its line.
+    stops = np.append(np.isin(codes, [ord(c) for c in _STOPS]), False)
+    edges = np.union1d(np.flatnonzero(stops[:-1] & ~stops[1:]) + 1, line_starts)
+    segment = np.searchsorted(edges, ranges[:, 0], "right") - 1
+    lo = np.flatnonzero(np.diff(segment, prepend=-1))
+    of_line = line[lo]
+    begins = edges[segment[lo]]
+    ends = np.minimum(np.append(edges, len(codes))[segment[lo] + 1], line_stops[of_line])
+    marked = hashes % np.uint64(CUT) == 0
+    cuts, word_ends = np.flatnonzero(marked).tolist(), ranges[:, 1]
+    last = np.append(lo[1:], len(hashes)) - 1
+    pieces, held, row, at, near = [], 0, -1, 0, 0
+    for w, n, a, b, mine, mark in zip(
+            lo.tolist(), (last - lo + 1).tolist(), begins.tolist(), ends.tolist(), of_line.tolist(), marked[last].tolist(), strict=True):
+        if mine != row:
+            if held >= SENTENCE:
+                pieces.append((at, int(line_stops[row]), w - held, held))
+            row, held, at = mine, 0, int(line_starts[mine])
+        if n < SENTENCE:
+            held += n
+            if mark and held >= SENTENCE:
+                pieces.append((at, b, w + n - held, held))
+                at, held = b, 0
+            continue
+        if held >= SENTENCE:
+            pieces.append((at, a, w - held, held))
+        at, held, begin = a, 0, w
+        if n > LONG:
+            near = bisect_left(cuts, w, near)
+            while near < len(cuts) and cuts[near] < w + n:
+                cut = cuts[near] + 1
+                if cut - begin >= SENTENCE:
+                    end = int(word_ends[cut - 1])
+                    pieces.append((at, end, begin, cut - begin))
+                    at, begin = end, cut
+                near += 1
+        if w + n - begin >= SENTENCE:
+            pieces.append((at, b, begin, w + n - begin))
+        at = b
+    if held >= SENTENCE:
+        pieces.append((at, int(line_stops[row]), len(hashes) - held, held))
+    return hashes, ranges, bases, lines, np.array(pieces, np.int64).reshape(-1, 4)
+
+
 def paragraph_units(docs: DataFrame) -> DataFrame:
     """A row per paragraph with words: its place, hash, bands (from ``PARAGRAPH`` words), sentences and
     the stretches that begin in it; ``at`` counts the words of the document before."""
@@ -202,46 +295,40 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         memo = WordHashes()
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                yield from units(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), memo)
-
-    def units(ids, texts, memo):
-        rows, words, pieces, counts, bases = [], [], [], [], []
-        for doc_id, text in zip(ids, texts, strict=True):
-            at, base = 0, len(words)
-            bases.append(base)
-            while at <= len(text):
-                stop = text.find("\n", at)
-                stop = len(text) if stop < 0 else stop
-                first, before = len(words), len(pieces)
-                for a, b, mine in _sentences(text, at, stop, memo):
-                    if len(mine) >= SENTENCE:
-                        pieces.append((a, b, len(words), len(mine), len(words) - base))
-                    words += mine
-                if len(words) > first:
-                    rows.append((doc_id, at, stop, len(words) - first, first, first - base))
-                    counts.append(len(pieces) - before)
-                at = stop + 1
-        if not rows:
+                texts = list(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True))
+                plain = [one for one in texts if _is_plain(one[1])]
+                yield from units(plain, _read_plain, memo)
+                if len(plain) < len(texts):
+                    yield from units([one for one in texts if not _is_plain(one[1])], _read, memo)
+
+    def units(docs, read, memo):
+        ids, texts = [d for d, _ in docs], [t for _, t in docs]
+        hashes, ranges, bases, lines, pieces = read(texts, memo)
+        if not len(lines):
             return
-        hashes = memo.of(words)
-        inner = np.array(pieces, np.int64).reshape(-1, 5)
-        keys = _digests(hashes, zip(inner[:, 2].tolist(), inner[:, 3].tolist(), strict=True))
-        columns = [*(inner[:, i].astype(np.int32) for i in (0, 1, 4, 3)), keys[:, 0], keys[:, 1]]
-        sentences = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
-            pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
-        lengths = np.diff([*bases, len(words)])
-        at, many, h, g = stretches(hashes, np.repeat(np.cumsum(lengths), lengths))
-        # The places of all texts at once, in the texts joined by a line feed.
-        ranges = word_ranges("\n".join(texts))
+        # The places of all texts are in the texts joined by a line feed.
         chars = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        bases = np.append(bases, len(hashes))
+        document = np.searchsorted(bases, lines[:, 2], "right") - 1
+        rows = list(zip(*(c.tolist() for c in (
+            np.array(ids, np.int64)[document], lines[:, 0] - chars[document], lines[:, 1] - chars[document],
+            np.diff(np.append(lines[:, 2], len(hashes))), lines[:, 2], lines[:, 2] - bases[document])), strict=True))
+
+        def within_lines(columns, first):
+            in_row = np.bincount(np.searchsorted(lines[:, 2], first, "right") - 1, minlength=len(rows))
+            return pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(in_row)]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
+
+        keys = _digests(hashes, pieces[:, 2:].tolist())
+        document = np.searchsorted(bases, pieces[:, 2], "right") - 1
+        places = pieces[:, 0] - chars[document], pieces[:, 1] - chars[document], pieces[:, 2] - bases[document], pieces[:, 3]
+        sentences = within_lines([*(c.astype(np.int32) for c in places), keys[:, 0], keys[:, 1]], pieces[:, 2])
+        lengths = np.diff(bases)
+        at, many, h, g = stretches(hashes, np.repeat(bases[1:], lengths))
         document = np.searchsorted(bases, at, "right") - 1
-        fields = [ranges[at, 0] - chars[document], ranges[at + many - 1, 1] - chars[document], at - np.array(bases)[document], many]
-        in_row = np.bincount(np.searchsorted([row[4] for row in rows], at, "right") - 1, minlength=len(rows))
-        sown = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(in_row)]), pa.int32()),
-            pa.StructArray.from_arrays([
-                *(pa.array(f.astype(np.int32)) for f in fields), *(pa.array(f.view(np.int64)) for f in (h, g))], fields=list(SENTENCE_TYPE)))
+        places = ranges[at, 0] - chars[document], ranges[at + many - 1, 1] - chars[document], at - bases[document], many
+        sown = within_lines([*(c.astype(np.int32) for c in places), h.view(np.int64), g.view(np.int64)], at)
         contents = _digests(hashes, [(row[4], row[3]) for row in rows])[:, 1]
         bands = [None] * len(rows)
         long = [i for i, row in enumerate(rows) if row[3] >= PARAGRAPH]
@@ -390,10 +477,14 @@ def word_ranges(text: str) -> np.ndarray:
     lower = text.lower()
     if len(lower) != len(text):  # a letter with a longer lower case
         return np.array(_word_places(text)[1], np.int32).reshape(-1, 2)
+    return _ranges(np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32))
+
+
+def _ranges(codes: np.ndarray) -> np.ndarray:
     if not _OF_WORDS[ord("a")]:
         _OF_WORDS[:] = [chr(c).isalnum() or c == 95 for c in range(0x110000)]
-    inside = np.zeros(len(text) + 2, np.int8)
-    inside[1:-1] = _OF_WORDS[np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = _OF_WORDS[codes]
     edges = np.diff(inside)
     return np.column_stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)]).astype(np.int32)
 
@@ -467,23 +558,35 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _repeated(rows: DataFrame, condition, name: str) -> DataFrame:
+    """The rows whose ``h`` meets ``condition`` (an aggregate), staged.
+
+    Two passes: which hashes do, then only their rows; in ``SLICES`` slices by the hash, whose
+    shuffle files follow each other and do not add up.
+    """
+    slices = []
+    for i in range(SLICES):
+        part = rows.filter(F.pmod("h", F.lit(SLICES)) == i)
+        keys = part.groupBy("h").agg(condition.alias("met")).filter("met").select("h")
+        slices.append(_staged(part.join(keys, "h"), name))
+    return reduce(DataFrame.union, slices)
+
+
 def _spans(docs: DataFrame, threshold: float, span: int) -> DataFrame:
     """The repeated spans of numbered documents."""
     units = _staged(paragraph_units(docs), "units")
     sentences = units.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
-    # Two passes: which hashes are in several documents, then only their rows.
     paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
     sentences = sentences.unionByName(paragraphs)
-    repeated = sentences.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
-    found = sentences.join(repeated, "h").select("doc_id", "start", "stop", "at", "words", "h", "g")
+    several = F.min("doc_id") < F.max("doc_id")
+    found = _repeated(sentences, several, "sentences").select("doc_id", "start", "stop", "at", "words", "h", "g")
     near = _staged(_near_paragraphs(docs, units, threshold), "near-paragraphs")
     found = _staged(found.unionByName(
         paragraphs.join(near, "h").select("doc_id", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
 
     sown = units.select("doc_id", F.explode("stretches").alias("s")).select("doc_id", "s.*")
-    # One number per seed is shuffled here; what repeats inside one document only goes with its class.
-    seeds = sown.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    sown = _staged(sown.join(seeds, "h").select(*found.columns), "stretches")
+    # What repeats inside one document only goes with its class.
+    sown = _repeated(sown, F.count(F.lit(1)) > 1, "stretches").select(*found.columns)
     classes = _staged(_classes(sown), "stretch-classes")
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     opened = sown.join(classes.join(several, "h").select("h", "g", "first"), ["h", "g"]).filter(F.struct("doc_id", "at") == F.col("first"))

@@ -1,6 +1,7 @@
 import random
 
 from tallyspark.llm import paragraph_dedup as pd
+from tallyspark.llm.words import WordHashes
 
 DDL = "doc_id bigint, text string"
 RND = random.Random(8)
@@ -222,3 +223,28 @@ def test_word_ranges_are_those_of_the_words():
         words, ranges = pd._word_places(text)
         assert pd.word_ranges(text).tolist() == [list(r) for r in ranges]
         assert len(pd._all_words(text, pd.WordHashes())) == len(words)
+
+
+def test_plain_texts_are_read_as_one_by_one():
+    rnd = random.Random(11)
+    words = ["a", "Bc", "d_1", "é", "漢字", "ÉTÉ", "long", "words", "of", "it"]
+    between = [" "] * 12 + [". ", "! ", "?", "...", " . ", "\n", "\n\n", ", ", "。", "\t", " ?! \n", "\r\n"]
+    for _ in range(300):
+        texts = ["".join(rnd.choice(words) + rnd.choice(between) for _ in range(rnd.randrange(120))) for _ in range(rnd.randrange(1, 5))]
+        texts += rnd.sample(["", "\n", "...", ". a b", "x" * 50, ".\n.", " \n . a"], 2)
+        rnd.shuffle(texts)
+        assert all(map(pd._is_plain, texts))
+        memo = WordHashes()
+        one_by_one, together = pd._read(texts, memo), pd._read_plain(texts, memo)
+        for a, b in zip(one_by_one, together, strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_letters_that_move_others_are_read_one_by_one(spark):
+    shared = " ".join(f"shared{i}" for i in range(30))
+    docs = spark.createDataFrame([
+        (1, f"İstanbul one. {shared}"), (2, f"ΟΔΟΣ two. {shared}"), (3, f"plain three. {shared}")], "doc_id bigint, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = pd.repeated_spans(docs).collect()
+    assert {(r.doc_id, r.removed) for r in got} == {(1, False), (2, True), (3, True)}
+    assert all(shared in texts[r.doc_id][r.start : r.stop] for r in got)
