@@ -16,7 +16,7 @@ Nulls: a null level is the node ``(none)``; a null text has no tokens and is nev
 fill a budget, but belongs to whole epochs.  Repeated rows share one place in the order and are
 taken or left together.  A weight of 0 gives nothing; nodes without a stated weight have 1.
 An empty table gives an empty result.  Input columns named ``epoch`` or ``n_tokens`` are
-replaced.
+replaced, all others keep their names and values.
 
 All sums are integers, so results do not depend on partitioning.
 """
@@ -117,11 +117,13 @@ def mix(
     """
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "n_tokens")]
     names = [f"_level{i}" for i in range(len(levels))]
-    tagged = docs.withColumns({
-        **{n: F.coalesce(c.cast("string"), F.lit("(none)")) for n, c in zip(names, levels.values(), strict=True)},
-        "n_tokens": word_count(docs["text"]) if tokens is None else tokens,
-        "_key": F.md5(F.concat_ws("|", *[F.coalesce(docs[k].cast("string"), F.lit("")) for k in key])),
-    })
+    # The document is one column, so its own columns may have any names.
+    tagged = docs.select(
+        F.struct(*[docs[c] for c in kept]).alias("_row"),
+        *[F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels.values(), strict=True)],
+        (word_count(docs["text"]) if tokens is None else tokens).alias("n_tokens"),
+        F.md5(F.concat_ws("|", *[F.coalesce(docs[k].cast("string"), F.lit("")) for k in key])).alias("_key"),
+    )
     narrow = stage(
         tagged.groupBy(*names, "_key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")),
         "mixing",
@@ -166,5 +168,5 @@ def mix(
         .withColumn("_uses", F.col("_whole") + (order(F.col("_whole")) <= F.col("_cut")).cast("bigint"))
         .filter(F.col("_uses") > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_uses") - 1).cast("int"))))
-        .select(*kept, "n_tokens", "epoch")
+        .select("_row.*", "n_tokens", "epoch")
     )

@@ -82,11 +82,15 @@ def test_epochs_are_whole_and_the_prefix_depends_on_the_seed_only(spark):
 
 
 def test_nulls_repeats_empty_and_clashing_names(spark):
-    ddl = DDL + ", epoch string, n_tokens string, _whole int, cut int"
-    rows = [(1, None, None, None, "x", "y", 1, 2), (None, "a b", "en", None, "x", "y", 1, 2), *[(3, "a b c", "en", "s", "x", "y", 1, 2)] * 5]
+    own = ["_whole", "_cut", "_uses", "_key", "_level0", "_order", "_row", "cut", "tokens", "granted"]
+    ddl = DDL + ", epoch string, n_tokens string, " + ", ".join(f"{c} int" for c in own)
+    rest = ["x", "y", *range(len(own))]
+    rows = [(1, None, None, None, *rest), (None, "a b", "en", None, *rest), *[(3, "a b c", "en", "s", *rest)] * 5]
     docs = spark.createDataFrame(rows, ddl)
-    got = mixing.mix(docs.drop("_whole"), levels(docs), {}, 1.0, max_epochs=1).collect()
+    got = mixing.mix(docs, levels(docs), {}, 1.0, max_epochs=1)
+    assert got.columns == [*DDL.replace(" bigint", "").replace(" string", "").split(", "), *own, "n_tokens", "epoch"]
+    got = got.collect()
     assert sorted(str(r.doc_id) for r in got) == ["3"] * 5 + ["None"]
-    assert {r.epoch for r in got} == {0}
-    empty = docs.limit(0).drop("_whole")
+    assert {r.epoch for r in got} == {0} and {tuple(r[c] for c in own) for r in got} == {tuple(range(len(own)))}
+    empty = docs.limit(0)
     assert mixing.mix(empty, levels(empty), {}, 1.0).collect() == []
