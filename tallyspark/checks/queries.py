@@ -292,8 +292,10 @@ def streamed_broken_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.live import start_ledger_stream
 
     base = f"{staging_root(spark)}/tallyspark/broken-{uuid.uuid4().hex}"
-    derived.event_calls(spark, sf_dir).repartition(3).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(CALL_RAW).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    # A file of the stream is read by one task; two batches keep all cores at work.
+    cores = spark.sparkContext.defaultParallelism
+    derived.event_calls(spark, sf_dir).repartition(3 * cores).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(CALL_RAW).option("maxFilesPerTrigger", 2 * cores).parquet(f"{base}/in")
     start_ledger_stream(stream, *derived.dimensions(spark), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     seen = spark.read.parquet(f"{base}/out/metrics").agg(*[F.sum(c).alias(c) for c in ("calls", "unread", "truncated")])
     broken = spark.read.parquet(f"{base}/out/broken")

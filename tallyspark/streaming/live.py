@@ -89,20 +89,28 @@ class SessionTracker(StatefulProcessor):
         )
 
     def _session(self, name: str):
-        return self.sessions.getValue((name,)) if self.sessions.containsKey((name,)) else None
+        """A session as it stands; read from the state once per batch and key."""
+        if name not in self.seen:
+            self.seen[name] = self.sessions.getValue((name,)) if self.sessions.containsKey((name,)) else None
+        return self.seen[name]
+
+    def _ending(self, key: str) -> tuple[list[str], list[int]]:
+        """Sessions listed at a prefix, with their last calls; read once per batch and key."""
+        if key not in self.listed:
+            self.listed[key] = tuple(map(list, self.ends.getValue((key,)))) if self.ends.containsKey((key,)) else ([], [])
+            self.stored[key] = bool(self.listed[key][0])
+        return self.listed[key]
 
     def _open_at(self, key: str):
         """The most recent live session that ended at this prefix; forget outdated ones."""
-        if not self.ends.containsKey((key,)):
-            return None
-        names, seqs = (list(v) for v in self.ends.getValue((key,)))
+        names, seqs = self._ending(key)
         while names:
             known = self._session(names[-1])
             if known is not None and known[1] == key and known[2] == seqs[-1]:
                 return seqs[-1], names[-1]
             names.pop()
             seqs.pop()
-        self.ends.removeKey((key,))
+            self.moved.add(key)
         return None
 
     def _chain(self, keys: list[str]):
@@ -112,22 +120,31 @@ class SessionTracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch holds a bounded part of a key; its rows are put in call order.
         batch = pd.concat(list(rows)).sort_values("call_seq")
+        # The state is asked and told once per batch, not once per call.
+        self.seen, self.listed, self.stored, self.used, self.moved = {}, {}, {}, set(), set()
         out = [self._one(r) for r in batch.to_dict("records")]
+        for name in sorted(self.used):
+            self.sessions.updateValue((name,), self.seen[name])
+        for end in sorted(self.moved):
+            if self.listed[end][0]:
+                self.ends.updateValue((end,), self.listed[end])
+            elif self.stored[end]:
+                self.ends.removeKey((end,))
         yield pd.DataFrame(out, columns=[
             "session", "prefix_stable_ratio", "had_previous", "prev_tools", "prev_system", "prev_model",
             "prev_names", "prev_prompt", "payload"])
 
     def _move_end(self, session: str, before, key: str, seq: int) -> None:
         """A session is listed at the one prefix that it ends with, so lists hold live sessions only."""
-        if before is not None and before[1] is not None and self.ends.containsKey((before[1],)):
-            names, seqs = self.ends.getValue((before[1],))
-            left = [(n, s) for n, s in zip(names, seqs, strict=True) if n != session]
-            if left:
-                self.ends.updateValue((before[1],), tuple(map(list, zip(*left, strict=True))))
-            else:
-                self.ends.removeKey((before[1],))
-        names, seqs = self.ends.getValue((key,)) if self.ends.containsKey((key,)) else ([], [])
-        self.ends.updateValue((key,), ([*names, session], [*seqs, seq]))
+        if before is not None and before[1] is not None:
+            names, seqs = self._ending(before[1])
+            for i in reversed([i for i, n in enumerate(names) if n == session]):
+                del names[i], seqs[i]
+            self.moved.add(before[1])
+        names, seqs = self._ending(key)
+        names.append(session)
+        seqs.append(seq)
+        self.moved.add(key)
 
     def _one(self, r: dict) -> tuple:
         """The call's session and what the session looked like before it."""
@@ -139,12 +156,15 @@ class SessionTracker(StatefulProcessor):
         if keys:
             if canonical:
                 ratio = _shared(canonical[:-1], r["canonical"]) / (len(canonical) - 1)
-            self._move_end(session, before, keys[-1], seq)
+            # A key of calls with an id holds that session alone, which is never looked up by a prefix.
+            if not _value(r["header"]):
+                self._move_end(session, before, keys[-1], seq)
             canonical, end_key, end_seq = r["canonical"], keys[-1], seq
         seen = _value(r["observed_prompt"])
         now = [_value(r[c]) for c in ("tools_key", "system_key", "request_model")]
         names = [str(t) for t in r["tool_names"]]
-        self.sessions.updateValue((session,), (canonical, end_key, end_seq, *now, names, int(seen) if seen else prompt))
+        self.seen[session] = (canonical, end_key, end_seq, *now, names, int(seen) if seen else prompt)
+        self.used.add(session)
         return (session, ratio, before is not None, *earlier, prompt, r["payload"])
 
     def close(self) -> None:

@@ -89,3 +89,48 @@ def test_a_repeated_batch_of_day_totals_changes_nothing(spark):
     assert (r.calls, r.prompt_tokens, r.completion_tokens, r.cached_tokens, r.cache_unavailable_sessions, r.sessions) == (5, 35, 7, 4, 1, 2)
     assert r.cost_usd == 1e-06 and r.mean_prefix_stable_ratio == 0.6667
     assert (got["None"].cached_tokens, got["None"].sessions, got["None"].mean_prefix_stable_ratio) == (None, 1, None)
+
+
+def test_the_state_is_asked_once_per_batch_and_key():
+    """Calls of a session within a batch do not go to the state store one by one."""
+    import pandas as pd
+
+    from tallyspark.streaming.live import SessionTracker
+
+    class Map:
+        def __init__(self):
+            self.rows, self.asked = {}, 0
+
+        def containsKey(self, key):  # noqa: N802
+            self.asked += 1
+            return key in self.rows
+
+        def getValue(self, key):  # noqa: N802
+            self.asked += 1
+            return self.rows[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.asked += 1
+            self.rows[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            self.asked += 1
+            self.rows.pop(key, None)
+
+    def call(seq, header):
+        keys = [f"k{i}" for i in range(seq % 50 + 1)]
+        return {"call_seq": seq, "header": header, "auto_id": f"auto-{seq}", "keys": keys, "canonical": "[" + "x," * len(keys) + "]",
+                "tools_key": None, "system_key": None, "request_model": "m", "tool_names": [], "observed_prompt": 5, "payload": str(seq)}
+
+    for header, most in (("u1", 5), (None, 120)):
+        tracker = SessionTracker(1)
+        tracker.sessions, tracker.ends = Map(), Map()
+        found = []
+        for low in (0, 50):
+            before = tracker.sessions.asked + tracker.ends.asked
+            (out,) = tracker.handleInputRows(("k",), iter([pd.DataFrame([call(s, header) for s in range(low, low + 50)])]), None)
+            found += out["session"].tolist()
+            assert tracker.sessions.asked + tracker.ends.asked - before <= most
+        assert found == (["u1"] * 100 if header else ["auto-0"] * 50 + ["auto-50"] * 50)
+        if header is None:  # only the prefix that a live session ends with is kept
+            assert tracker.ends.rows == {("k49",): (["auto-0", "auto-50"], [49, 99])}
