@@ -337,8 +337,9 @@ def streamed_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = f"{staging_root(spark)}/tallyspark/day-totals-{uuid.uuid4().hex}"
     ledger = stored(spark, sf_dir).ledger
-    ledger.repartition(6).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    cores = spark.sparkContext.defaultParallelism
+    ledger.repartition(6 * cores).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 2 * cores).parquet(f"{base}/in")
     start_day_totals(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     versions = spark.read.parquet(f"{base}/out")
     last = versions.agg(F.max("version").alias("version"))

@@ -14,6 +14,7 @@ NULL usage.
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -248,39 +249,55 @@ _FIGURES = ("calls", "prompt_tokens", "completion_tokens", "known_cached", "cach
 _CHANGES = "ledger_day STRING, session STRING, " + ", ".join(f"{side}_{f} STRING" for side in ("old", "new") for f in _FIGURES)
 
 
-class SessionTotals(StatefulProcessor):
-    """Integer totals of one session and day; gives its former and its new totals once per batch."""
+#: Every so many batches the whole state is written, so a look-up reads no more batches than that.
+WHOLE_EVERY = 16
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # Texts, because sums of ratios pass 64 bits.
-        fields = ", ".join(f"{f} STRING" for f in _FIGURES)
-        self.totals = handle.getValueState("totals", fields, self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = [int(v) for v in self.totals.get()] if self.totals.exists() else None
-        new = list(old or [0] * len(_FIGURES))
-        for batch in rows:
-            for i, f in enumerate(_FIGURES):
-                new[i] += int(batch[f].sum())
-        self.totals.update(tuple(map(str, new)))
-        values = [*key, *([None] * len(new) if old is None else map(str, old)), *map(str, new)]
-        yield pd.DataFrame([values], columns=[c.split()[0] for c in _CHANGES.split(", ")])
-
-    def close(self) -> None:
-        pass
 
+def session_changes(batch: DataFrame, batch_id: int, state: str, ttl_ms: int | None = None) -> DataFrame:
+    """The former and the new totals of every session and day that a batch touches.
 
-def session_changes(ledger_stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Per batch, the former and the new totals of every session and day that the batch touches."""
-    facts = call_facts(ledger_stream, ("ledger_day", "session")).select(
-        F.coalesce(F.col("ledger_day").cast("string"), F.lit("")).alias("ledger_day"), "session", *_FIGURES)
-    return facts.groupBy("ledger_day", "session").transformWithStateInPandas(
-        statefulProcessor=SessionTotals(ttl_ms), outputStructType=StructType.fromDDL(_CHANGES),
-        outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None",
-    )
+    The state is a table of totals by day: ``state/batch_id=<batch>`` has the sessions that the batch
+    touched, and at every ``WHOLE_EVERY``-th batch all of them.  A batch reads those before it, of the
+    days that it touches, and replaces its own folder when it is repeated.  Totals that no batch has
+    touched for ``ttl_ms`` are forgotten.
+    """
+    spark = batch.sparkSession
+    keys, whole = ["ledger_day", "session"], batch_id > 0 and batch_id % WHOLE_EVERY == 0
+    facts = call_facts(batch, keys).withColumn("ledger_day", F.coalesce(F.col("ledger_day").cast("string"), F.lit("")))
+    # Sums of ratios pass 64 bits.
+    added = facts.groupBy(*keys).agg(*[F.sum(F.col(f).cast("decimal(28,0)")).cast("decimal(38,0)").alias(f"_a_{f}") for f in _FIGURES])
+    first = max(batch_id - 1, 0) // WHOLE_EVERY * WHOLE_EVERY
+    folders = [f"{state}/batch_id={b}" for b in range(first, batch_id)]
+    fields = ", ".join(f"new_{f} DECIMAL(38,0)" for f in _FIGURES)
+    schema = f"session STRING, {', '.join(f'old_{f} DECIMAL(38,0)' for f in _FIGURES)}, {fields}, at BIGINT, day STRING, batch_id INT"
+    now = int(time.time() * 1000)
+    if folders:
+        former = spark.read.schema(schema).option("basePath", state).parquet(*folders)
+        if not whole:
+            days = added.select(F.concat(F.lit("d"), F.col("ledger_day")).alias("day")).distinct()
+            former = former.join(F.broadcast(days), "day", "left_semi")
+        former = former.groupBy(F.substring("day", 2, 20).alias("ledger_day"), "session").agg(
+            F.max_by(F.struct(*[F.col(f"new_{f}").alias(f"old_{f}") for f in _FIGURES], "at"), "batch_id").alias("_o")
+        ).select(*keys, "_o.*")
+        if ttl_ms:
+            former = former.filter(F.col("at") > now - ttl_ms)
+        joined = added.join(former, keys, "full" if whole else "left")
+    else:
+        joined = added.select("*", *[F.lit(None).cast("decimal(38,0)").alias(f"old_{f}") for f in _FIGURES], F.lit(now).alias("at"))
+    touched = F.col("_a_calls").isNotNull()
+    zero = F.lit(0).cast("decimal(38,0)")
+    totals = {f"new_{f}": (F.coalesce(f"old_{f}", zero) + F.coalesce(f"_a_{f}", zero)).cast("decimal(38,0)") for f in _FIGURES}
+    joined.select(
+        "session", *[f"old_{f}" for f in _FIGURES], *[v.alias(k) for k, v in totals.items()],
+        F.when(touched, F.lit(now)).otherwise(F.col("at")).cast("bigint").alias("at"),
+        F.concat(F.lit("d"), F.col("ledger_day")).alias("day"),
+    ).write.partitionBy("day").mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+    written = spark.read.schema(schema).option("basePath", state).parquet(f"{state}/batch_id={batch_id}")
+    # Sessions that a whole table only carries on have not changed.
+    changed = written.filter(F.col("at") == now) if whole else written
+    return changed.select(
+        F.substring("day", 2, 20).alias("ledger_day"), "session",
+        *[F.col(f"{side}_{f}").cast("string").alias(f"{side}_{f}") for side in ("old", "new") for f in _FIGURES])
 
 
 def day_changes(changes: DataFrame) -> DataFrame:
@@ -318,22 +335,19 @@ def day_totals_of(sums: DataFrame) -> DataFrame:
 def start_day_totals(ledger_stream: DataFrame, out: str, checkpoint: str, ttl_ms: int | None = None, **trigger):
     """Keep ``out/version=<batch>``: the running sums of all days after each batch.
 
-    The first state is a session's totals, in the stream; the second the days' sums, one small row
-    per day, taken from the version before.  A repeated batch replaces its own version.
+    The first state is the sessions' totals, a table beside the checkpoint; the second the days' sums,
+    one small row per day, taken from the version before.  A repeated batch replaces its own version.
     """
-    spark = ledger_stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        added = day_changes(batch)
+        added = day_changes(session_changes(batch, batch_id, f"{checkpoint}/session_totals", ttl_ms))
         if batch_id:
             added = added.unionByName(batch.sparkSession.read.parquet(f"{out}/version={batch_id - 1}"))
         sums = added.groupBy("ledger_day").agg(*[F.sum(c).alias(c) for c in added.columns[1:]])
         sums.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
 
     return (
-        session_changes(ledger_stream, ttl_ms).writeStream.foreachBatch(write).outputMode("update")
+        ledger_stream.writeStream.foreachBatch(write).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 

@@ -134,3 +134,44 @@ def test_the_state_is_asked_once_per_batch_and_key():
         assert found == (["u1"] * 100 if header else ["auto-0"] * 50 + ["auto-50"] * 50)
         if header is None:  # only the prefix that a live session ends with is kept
             assert tracker.ends.rows == {("k49",): (["auto-0", "auto-50"], [49, 99])}
+
+
+def test_day_totals_of_many_batches_equal_one(spark, tmp_path, monkeypatch):
+    """Sessions return in later batches, also after the whole state was written; forgotten ones count anew."""
+    import time
+
+    from pyspark.sql.types import StructType
+
+    from tallyspark.schemas import LEDGER
+    from tallyspark.streaming import live
+
+    monkeypatch.setattr(live, "WHOLE_EVERY", 2)
+    rows = [(i, f"2024-01-0{1 + i % 2}", f"s{i % 3}" if i != 11 else None, 10 + i, 0.25 + 0.01 * i) for i in range(24)]
+    calls = spark.createDataFrame(rows, "call_seq BIGINT, day STRING, session STRING, p BIGINT, prefix_stable_ratio DOUBLE")
+    usage = F.from_json(F.concat(F.lit('{"prompt_tokens":'), F.col("p").cast("string"), F.lit(',"completion_tokens":1}')),
+                        "prompt_tokens BIGINT, completion_tokens BIGINT")
+    day = F.when(F.col("call_seq") != 7, F.col("day").cast("date"))
+    typed = calls.select("call_seq", "session", "prefix_stable_ratio", day.alias("ledger_day"), usage.alias("u"))
+    fields = {f.name: f.dataType for f in StructType.fromDDL(LEDGER)}
+    tokens = fields["usage_tokens"]
+    struct = F.struct(*[(F.col(f"u.{f.name}") if f.name in ("prompt_tokens", "completion_tokens") else F.lit(None)).cast(f.dataType).alias(f.name) for f in tokens])
+    ledger = typed.withColumn("usage_tokens", struct).select(*[
+        (F.col(c) if c in ("call_seq", "session", "prefix_stable_ratio", "ledger_day", "usage_tokens") else F.lit(None)).cast(t).alias(c)
+        for c, t in fields.items()])
+
+    def totals(batches, out, ttl=None):
+        sums = None
+        for n, part in enumerate(batches):
+            for _ in range(2):  # a repeated batch replaces itself
+                changes = live.session_changes(part, n, str(tmp_path / out), ttl)
+                changes = spark.createDataFrame(changes.collect(), changes.schema)
+            if ttl:
+                time.sleep(0.2)
+            sums = live.day_changes(changes) if sums is None else sums.unionByName(live.day_changes(changes))
+        sums = sums.groupBy("ledger_day").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]])
+        return sorted(map(str, live.day_totals_of(sums).collect()))
+
+    parts = [ledger.filter((F.col("call_seq") >= 4 * n) & (F.col("call_seq") < 4 * n + 4)) for n in range(6)]
+    once = totals([ledger], "once")
+    assert len(once) == 3 and totals(parts, "many") == once
+    assert totals(parts, "short", 100) != once
