@@ -513,6 +513,10 @@ def trajectory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape_rows(trajectories.load_trajectories(spark, path, "swe-agent"))
 
 
+#: Profile files in a folder, about.
+PROFILES_PER_FOLDER = 2_000
+
+
 @query("profile_registration", """WITH p AS (SELECT p_partkey AS id, p_size AS size FROM part)
 SELECT 'm' || id AS accountant_model, '2025-01-' || lpad(CAST(1 + id % 28 AS VARCHAR), 2, '0') AS price_date,
   CASE WHEN id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS dialect,
@@ -535,20 +539,28 @@ def profile_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 3 == 0, field("  cache_creation", (size / 2).cast("string"))).otherwise(F.lit("")),
         F.when(number % 2 == 0, F.lit(
             "cache_schema:\n  cached_tokens:\n    surfaces: true\n    path: [prompt_tokens_details, cached_tokens]\n")).otherwise(F.lit("cache_schema: {}\n")))
-    parts = derived.table(spark, sf_dir, "part").select(doc.alias("value"), number.alias("number"))
+    part = derived.table(spark, sf_dir, "part")
+    # Folders of some thousand files, so nobody lists all files at once; a folder is written by one task.
+    folders = 1 + part.count() // PROFILES_PER_FOLDER
+    parts = part.select(doc.alias("value"), number.alias("number"), F.pmod(F.xxhash64(number), F.lit(folders)).alias("folder"))
+    tasks = max(spark.sparkContext.defaultParallelism, folders)
 
     def write(batches):
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-        system.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for row in batch.to_pylist():
-                with system.open_output_stream(f"{root}/b{row['number']}.yaml") as f:
+                folder = f"{root}/{row['folder']}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/b{row['number']}.yaml") as f:
                     f.write(row["value"].encode())
             yield batch.select(["number"])
 
-    parts.mapInArrow(write, "number BIGINT").write.format("noop").mode("overwrite").save()
+    parts.repartition(tasks, "folder").mapInArrow(write, "number BIGINT").write.format("noop").mode("overwrite").save()
     found, prices, schemas = dimensions.register_profiles(
         dimensions.read_profiles(spark, path), builtin_prices(spark), builtin_cache_schemas(spark))
     cached = schemas.filter("category = 'cached_tokens'").select(

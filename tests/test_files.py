@@ -87,6 +87,21 @@ def test_wrong_profiles_fail(spark, tmp_path, name, text, message):
             table.collect()
 
 
+def test_the_driver_lists_folders_not_their_profiles(spark, tmp_path):
+    """Files in folders are listed by tasks, and registering reads each file once."""
+    for i in range(300):
+        put(f"{tmp_path}/p/f{i % 3}/deep{i % 2}/m{i}.yaml", PROFILE.replace("own/model", f"m{i}").replace("name: one", f"name: n{i}"))
+    put(f"{tmp_path}/p/top.yml", "base_url: x\n")
+    parts = dimensions.ProfileReader(f"{tmp_path}/p").partitions()
+    assert sum(len(p.files) for p in parts) == 1 and sorted(p.folder or "" for p in parts) == [
+        "", *(f"{tmp_path}/p/f{i}" for i in range(3))]
+    profiles, prices, schemas = register(spark, f"{tmp_path}/p")
+    for i in range(300):
+        os.remove(f"{tmp_path}/p/f{i % 3}/deep{i % 2}/m{i}.yaml")
+    assert {r.name for r in profiles.collect()} == {"top", *(f"n{i}" for i in range(300))}
+    assert prices.count() == 302 and schemas.count() == 906
+
+
 def test_a_folder_without_profiles_is_empty(spark, tmp_path):
     put(f"{tmp_path}/p/readme.md", "x")
     assert dimensions.read_profiles(spark, f"{tmp_path}/p").collect() == []
