@@ -48,8 +48,8 @@ def stored(spark: SparkSession, sf_dir: str, kind: str = "events") -> AuditTable
             "named": lambda s, d: derived.conversation_calls(s, d, named=True),
             "chained": derived.conversation_calls,
         }[kind](spark, sf_dir)
-        # The source tables are one small file each; wide call bodies deserve every core.
-        raw = raw.repartition(spark.sparkContext.defaultParallelism)
+        if kind != "events":  # events are dealt out before their bodies are built
+            raw = raw.repartition(spark.sparkContext.defaultParallelism)
         built = build_ledger(stage(raw, "raw"), *derived.dimensions(spark))
         _STORED[key] = AuditTables(stage(built.ledger, "ledger"), stage(built.traces, "traces"))
     return _STORED[key]

@@ -25,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a source table that one task turns into wide call bodies.
+ROWS_PER_TASK = 250_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A source table over all cores, and over more tasks the longer it is.
+
+    The tables are one file each, often one row group, so a scan alone is one task; narrow rows are
+    dealt out before the bodies are built from them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, 1 + rows.count() // ROWS_PER_TASK))
+
+
 def dimensions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profiles, prices and cache schemas used by every derived ledger."""
     return profiles(spark, SHIPPED_PROFILES), builtin_prices(spark), builtin_cache_schemas(spark)
@@ -48,7 +62,7 @@ def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     purchase and signup second-dialect JSON and stream, error is a failed call without a
     body (odd k) or an unpriced backend (even k).
     """
-    e = table(spark, sf_dir, "events").withColumns(
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")).withColumns(
         {
             "k": F.get_json_object("props", "$.k").cast("bigint"),
             "p": F.floor(F.col("value") * 100).cast("bigint"),
