@@ -1022,7 +1022,7 @@ def shared_dataset_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written dataset: a repeated run leaves one version, and rows come back in call order."""
     t = stored(spark, sf_dir)
     path = _folder(spark, "submission")
-    submission = privacy.anonymize(t.ledger, t.traces, "2024-01-01", "2024-12-31", salt=_SALT)
+    submission = privacy.anonymize(t.ledger, t.traces, "2024-01-01", "2024-12-31", salt=_SALT, staged=True)
     for _ in range(2):
         privacy.write_submission(submission, path)
     ledger, _, manifest = privacy.read_submission(spark, path)

@@ -14,6 +14,7 @@ from ..functions.text import hmac_sha256_hex, ledger_day
 from ..functions.usage import parse_usage
 from ..plans.ordered import with_position
 from ..plans.ranking import global_rank
+from ..plans.staging import stage
 from ..sources.ledgers import day_range, trace_day_range
 from .sessions import session_key, trace_ratio_lists, trace_shapes
 
@@ -106,7 +107,9 @@ def project_ledger(ledger: DataFrame, dictionary: DataFrame, include_model_names
 def project_traces(traces: DataFrame, dictionary: DataFrame, salt: bytes) -> DataFrame:
     """Trace rows with message hashes re-keyed under the submission's salt; ``row`` is the event's
     place in its session."""
-    out = with_position(traces, ["session"], "call_seq", "row").join(dictionary, "session").select(
+    # A column of its own, so the text is parsed once and not once per field.
+    placed = with_position(traces, ["session"], "call_seq", "row").withColumn("_usage", parse_usage(F.col("usage")))
+    out = placed.join(dictionary, "session").select(
         F.col("label").alias("session"), "row", "ts", "status", "n_messages",
         F.transform(F.coalesce("roles", F.array().cast("array<string>")),
                     lambda r: F.coalesce(F.when(r.isin(*d.ROLES), r), F.lit("other"))).alias("roles"),
@@ -115,7 +118,7 @@ def project_traces(traces: DataFrame, dictionary: DataFrame, salt: bytes) -> Dat
         F.filter(F.coalesce("message_bytes", F.array().cast("array<bigint>")),
                  lambda b: b.isNotNull()).alias("message_bytes"),
         "prefix_stable_ratio",
-        d.clean_usage(parse_usage(F.col("usage"))).alias("usage"),
+        d.clean_usage(F.col("_usage")).alias("usage"),
     )
     return out.filter(d.refuse_long_strings({"ts": F.col("ts")}, "trace"))
 
@@ -144,19 +147,22 @@ def manifest(ledger: DataFrame, dictionary: DataFrame, tool_version: str,
 
 def anonymize(ledger: DataFrame, traces: DataFrame, day_from: str, day_to: str,
               include_model_names: bool = False, salt: bytes | None = None,
-              tool_version: str = "0.1.0") -> Submission:
+              tool_version: str = "0.1.0", staged: bool = False) -> Submission:
     """Everything in the window through the allowlist.
 
     Ledgers are selected by their day, traces by the day written in ``ts``.  The salt is
-    drawn once per run and never stored.
+    drawn once per run and never stored.  With ``staged`` the projected tables are written once, for
+    callers that read them several times, as every :func:`write_submission` does.
     """
     salt = secrets.token_bytes(32) if salt is None else salt
     rows = day_range(ledger, day_from, day_to)
     events = trace_day_range(traces, day_from, day_to)
     dictionary = first_seen_dictionary(rows, events)
-    shared = project_ledger(rows, dictionary, include_model_names)
+    shared, shared_events = project_ledger(rows, dictionary, include_model_names), project_traces(events, dictionary, salt)
+    if staged:
+        shared, shared_events = stage(shared, "shared"), stage(shared_events, "shared-events")
     return Submission(
-        shared, project_traces(events, dictionary, salt), dictionary,
+        shared, shared_events, dictionary,
         manifest(shared, dictionary, tool_version, include_model_names),
     )
 
