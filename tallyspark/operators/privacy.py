@@ -37,7 +37,8 @@ def _label(rank):
 
 def session_dictionary(sessions: DataFrame) -> DataFrame:
     """(session, label) in the sorted order of session ids."""
-    keys = sessions.select("session").distinct()
+    # Staged, as the ranking looks at its rows twice and a report is dear.
+    keys = stage(sessions.select("session").distinct(), "keys")
     return global_rank(keys, ["session"]).select("session", _label(F.col("rank")).alias("label"))
 
 
