@@ -606,6 +606,10 @@ def last_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.last_outcomes(derived.outcome_rows(spark, sf_dir)).drop("rep")
 
 
+#: Lines of an outcome file, about.
+OUTCOMES_PER_FILE = 500_000
+
+
 @query("outcome_scan", f"WITH {_OUTCOMES} SELECT task, arm, 0 AS rep, resolved, session FROM o")
 def outcome_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome lines in several files, with numbers and texts for truth values, read back."""
@@ -615,7 +619,9 @@ def outcome_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("resolved").cast("string"))
     line = F.concat(
         F.lit('{"resolved": '), truth, F.lit(', "rep": 0, '), F.substring(F.to_json(F.struct("task", "arm", "session")), 2, 1_000))
-    rows.repartition(3).select(line.alias("value")).write.text(path)
+    # Three files, and more of them the more lines there are.
+    files = 3 + rows.count() // OUTCOMES_PER_FILE
+    rows.repartition(files).select(line.alias("value")).write.text(path)
     return outcomes.load_outcomes(spark, path).drop("line_no")
 
 
