@@ -457,6 +457,10 @@ _TRAJECTORY_SQL = """SELECT 'c' || conv_id AS task_id, CAST(count(*) AS INTEGER)
 # --- Files ------------------------------------------------------------------------------------
 
 
+#: Rows whose small files share a folder, about.
+ROWS_PER_FOLDER = 10_000
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
 
@@ -467,6 +471,46 @@ def _write_files(lines: DataFrame, order: str, path: str, *folders: str) -> None
         *folders).text(path)
 
 
+#: Name of a file whose name is unknown, as Spark's writers have it.
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_small_files(lines: DataFrame, order: str, path: str, folders: int) -> None:
+    """``value`` lines in their order into one file per ``name``, dealt over folders.
+
+    Files are written straight to their place: a folder, a checksum and a move per file would take
+    most of the time where there is a file per session.  A repeated task writes the same files.
+    """
+    name = F.coalesce("name", F.lit(_NO_NAME))
+    rows = lines.select("value", order, name.alias("name"), F.pmod(F.xxhash64(name), F.lit(folders)).alias("folder"))
+
+    def write(batches):
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        made, at, out = set(), None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                folder = f"{root}/folder={row['folder']}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                if at != row["name"]:
+                    if out is not None:
+                        out.close()
+                    at, out = row["name"], system.open_output_stream(f"{folder}/{quote(row['name'], safe='')}.txt")
+                out.write(((row["value"] or "") + "\n").encode())
+            yield batch.select(["name"])
+        if out is not None:
+            out.close()
+
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, folders)
+    rows.repartition(tasks, "name").sortWithinPartitions("name", order).mapInArrow(write, "name STRING").write.format(
+        "noop").mode("overwrite").save()
+
+
 @query("ledger_json_scan", f"""WITH {CALLS},
 n AS (SELECT *, row_number() OVER (ORDER BY k % 3, CAST(day AS VARCHAR), seq) AS place FROM step)
 SELECT seq AS call_id, place, session, CASE WHEN used AND NOT second THEN p END AS prompt_tokens,
@@ -497,10 +541,9 @@ def trace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = traces.select(
         F.concat(F.lit("s"), number.cast("string")).alias("name"), "call_seq",
         F.to_json(F.struct("ts", "status", "n_messages", "roles", "message_sha256", "message_bytes")).alias("value"))
-    # The writer names its files itself, so a session's folder stands for its file here.
-    _write_files(lines, "call_seq", path, "name")
+    _write_small_files(lines, "call_seq", path, 1 + traces.count() // ROWS_PER_FOLDER)
     read = ledgers.text_lines(spark, path).select("file", "line", F.from_json("value", TRACE_JSON).alias("t"))
-    session = F.regexp_extract("file", "name=([^/]*)/", 1)
+    session = ledgers.stem(F.col("file"))
     return with_position(read.select(session.alias("session"), "line", "t.*"), ["session"], "line", "place").select(
         "session", (F.col("place") + 1).alias("place"), "n_messages", F.array_join("roles", ",").alias("roles"))
 
@@ -510,7 +553,8 @@ def trajectory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per file, read as whole files."""
     path = _folder(spark, "trajectories")
     documents = _trajectory_documents(spark, sf_dir, "swe-agent")
-    documents.withColumn("bucket", F.get_json_object("document", "$.task_id")).repartition(8).write.partitionBy("bucket").text(path)
+    lines = documents.select(F.col("document").alias("value"), F.get_json_object("document", "$.task_id").alias("name"), F.lit(0).alias("at"))
+    _write_small_files(lines, "at", path, 1 + derived.table(spark, sf_dir, "conversations").count() // ROWS_PER_FOLDER)
     return _shape_rows(trajectories.load_trajectories(spark, path, "swe-agent"))
 
 

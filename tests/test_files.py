@@ -120,3 +120,44 @@ def test_a_failed_run_leaves_the_former_version(spark, tmp_path):
     ledger, traces, found = privacy.read_submission(spark, path)
     assert ledger.count() == traces.count() == 5 and found.columns == ["tier"]
     assert privacy.sample_row(privacy.Submission(ledger, traces, ledger, found)).first().row == 0
+
+
+def test_small_files_hold_their_lines_in_order_in_few_folders(spark, tmp_path):
+    from tallyspark.checks.queries import _write_small_files
+
+    rows = spark.range(600).select(
+        F.col("id").alias("at"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"),
+        F.when(F.col("id") % 50 != 0, F.concat(F.lit("a/"), (F.col("id") % 50).cast("string"))).alias("name"))
+    _write_small_files(rows.repartition(7), "at", f"{tmp_path}/out", 3)
+    found = [os.path.join(at, f) for at, _, files in os.walk(tmp_path / "out") for f in files]
+    assert len(found) == 50 and len(os.listdir(tmp_path / "out")) <= 3
+    got = {os.path.basename(f)[:-4]: open(f, encoding="utf-8").read().split() for f in found}
+    assert got["a%2F7"] == [f"v{i}" for i in range(7, 600, 50)]
+    assert got["__HIVE_DEFAULT_PARTITION__"] == [f"v{i}" for i in range(0, 600, 50)]
+
+
+def test_files_and_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from tallyspark.checks import queries
+    from tallyspark.sources import derived
+
+    spark.range(40).selectExpr(
+        "id l_orderkey", "cast(id % 7 as int) l_linenumber", "'N' l_returnflag", "timestamp'2024-01-01' l_shipdate",
+        "cast(id as double) l_extendedprice", "1.0D l_quantity").write.parquet(f"{tmp_path}/sf/lineitem.parquet")
+    monkeypatch.setattr(queries, "OUTCOMES_PER_FILE", 4)
+    monkeypatch.setattr(queries, "staging_root", lambda _: str(tmp_path / "root"))
+    assert queries.outcome_scan(spark, f"{tmp_path}/sf").count() == 40
+    files = [f for at, _, names in os.walk(tmp_path / "root") for f in names if f.endswith(".txt")]
+    assert len(files) == 13
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 4)
+    assert derived.spread(spark.range(200)).rdd.getNumPartitions() == 51
+
+
+def test_a_staged_submission_is_projected_once(spark):
+    from tallyspark.schemas import LEDGER, TRACE
+
+    found = {}
+    for staged in (False, True):
+        s = privacy.anonymize(spark.createDataFrame([], LEDGER), spark.createDataFrame([], TRACE), "2024-01-01", "2024-12-31", salt=b"x" * 32, staged=staged)
+        found[staged] = s.ledger.inputFiles(), s.ledger.schema, s.traces.schema, s.manifest.drop("submission_id").first()
+        assert ("Window" in s.ledger._jdf.queryExecution().optimizedPlan().toString()) is False or not staged
+    assert found[True][3] == found[False][3] and found[True][1].names == found[False][1].names
