@@ -51,8 +51,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ranking import global_rank
-from ..plans.staging import stage
-from .batches import consecutive
+from ..plans.staging import drop_staged, stage, staging_path
+from .batches import consecutive, whole_runs
 from .components import components
 from .words import WordHashes, mix, shingle_hashes, words_of
 
@@ -73,14 +73,13 @@ _SENTENCE = re.compile(f"[^{_STOPS}]+[{_STOPS}]*|[{_STOPS}]+")
 _WORD = re.compile(r"\w+")
 SENTENCE_TYPE = pa.struct([
     ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
-UNITS = (
-    "doc_id bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>, "
-    "sentences array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>, "
-    "stretches array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>"
-)
+#: A column per slice of the hashes, so that a search in one slice reads that slice alone.
+_SLICED = [f"{kind}_{i}" for kind in ("sentences", "stretches") for i in range(SLICES)]
+UNITS = "doc_id bigint, start int, stop int, at int, words int, h bigint, bands array<bigint>" + "".join(
+    f", {name} array<struct<start:int,stop:int,at:int,words:int,h:bigint,g:bigint>>" for name in _SLICED)
 _UNIT_SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("h", pa.int64()),
-    ("bands", pa.list_(pa.int64())), ("sentences", pa.list_(SENTENCE_TYPE)), ("stretches", pa.list_(SENTENCE_TYPE))])
+    ("bands", pa.list_(pa.int64())), *((name, pa.list_(SENTENCE_TYPE)) for name in _SLICED)])
 WINDOWS = "doc_id bigint, start int, stop int, at int, words int, h bigint, g bigint"
 
 
@@ -227,13 +226,22 @@ def _read(texts: list[str], memo: WordHashes):
             np.array(lines, np.int64).reshape(-1, 3), np.array(pieces, np.int64).reshape(-1, 4))
 
 
-def _read_plain(texts: list[str], memo: WordHashes):
-    """What ``_read`` gives, for plain texts: all texts at once, with a step per sentence, not per word."""
+def _starts(texts: list[str]) -> np.ndarray:
+    """Where each text begins in the texts joined by line feeds."""
+    return np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[: len(texts)].astype(np.int64)
+
+
+def _plain_words(texts: list[str], memo: WordHashes):
+    """Word hashes and character ranges of plain texts joined by line feeds, the first word of each text, and the characters."""
     joined = "\n".join(texts).lower()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ranges, hashes = _ranges(codes), memo.of(_WORD.findall(joined))
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[: len(texts)]
-    bases = np.searchsorted(ranges[:, 0], starts)
+    return hashes, ranges, np.searchsorted(ranges[:, 0], _starts(texts)), codes
+
+
+def _read_plain(texts: list[str], memo: WordHashes):
+    """What ``_read`` gives, for plain texts: all texts at once, with a step per sentence, not per word."""
+    hashes, ranges, bases, codes = _plain_words(texts, memo)
     if not len(hashes):
         return hashes, ranges, bases, np.zeros((0, 3), np.int64), np.zeros((0, 4), np.int64)
     feeds = np.flatnonzero(codes == 10)
@@ -289,7 +297,7 @@ def _read_plain(texts: list[str], memo: WordHashes):
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
     """A row per paragraph with words: its place, hash, bands (from ``PARAGRAPH`` words), sentences and
-    the stretches that begin in it; ``at`` counts the words of the document before."""
+    the stretches that begin in it, by slices of their hashes; ``at`` counts the words of the document before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -315,10 +323,12 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
             np.diff(np.append(lines[:, 2], len(hashes))), lines[:, 2], lines[:, 2] - bases[document])), strict=True))
 
         def within_lines(columns, first):
-            in_row = np.bincount(np.searchsorted(lines[:, 2], first, "right") - 1, minlength=len(rows))
-            return pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(in_row)]), pa.int32()),
-                pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(SENTENCE_TYPE)))
+            line, part = np.searchsorted(lines[:, 2], first, "right") - 1, columns[4] % SLICES
+            for mine in (np.flatnonzero(part == i) for i in range(SLICES)):
+                in_row = np.bincount(line[mine], minlength=len(rows))
+                yield pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(in_row)]), pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(c[mine]) for c in columns], fields=list(SENTENCE_TYPE)))
 
         keys = _digests(hashes, pieces[:, 2:].tolist())
         document = np.searchsorted(bases, pieces[:, 2], "right") - 1
@@ -344,7 +354,7 @@ def paragraph_units(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
             pa.array([r[5] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array(contents, pa.int64()),
-            pa.array(bands, pa.list_(pa.int64())), sentences, sown,
+            pa.array(bands, pa.list_(pa.int64())), *sentences, *sown,
         ], schema=_UNIT_SCHEMA)
 
     return docs.mapInArrow(run, UNITS)
@@ -369,6 +379,18 @@ def _set(text: str, memo: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(memo.of(words_of(text)), SHINGLE))
 
 
+def _sets(texts: list[str], memo: WordHashes) -> list[np.ndarray]:
+    """What ``_set`` gives for each text, hashed together."""
+    words = [words_of(text) for text in texts]
+    hashes = memo.of([w for mine in words for w in mine])
+    shingles, out, at = shingle_hashes(hashes, SHINGLE), [], 0
+    for mine in words:
+        own = shingles[at : at + len(mine) - SHINGLE + 1] if len(mine) >= SHINGLE else shingle_hashes(hashes[at : at + len(mine)], SHINGLE)
+        out.append(np.unique(own))
+        at += len(mine)
+    return out
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
@@ -379,7 +401,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _texts(docs: DataFrame, units: DataFrame, active: DataFrame) -> DataFrame:
     """h and text of one occurrence of each active paragraph."""
     places = (
-        units.filter("bands IS NOT NULL").select("h", F.struct("doc_id", "start", "stop").alias("place")).join(active, "h")
+        units.filter(F.col("words") >= PARAGRAPH).select("h", F.struct("doc_id", "start", "stop").alias("place")).join(active, "h")
         .groupBy("h").agg(F.min("place").alias("place")).select("h", "place.*")
     )
     return docs.join(places, "doc_id").select("h", F.expr("substring(text, start + 1, stop - start)").alias("text")).groupBy("h").agg(F.min("text").alias("text"))
@@ -389,14 +411,15 @@ def _stars(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The verified pairs (a, b) as ``u`` and ``v``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held = WordHashes(), (None, None)
+        memo = WordHashes()
         for batch in batches:
-            keep = []
-            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
-                if held[0] != u:
-                    held = (u, _set(a.as_py(), memo))
-                keep.append(jaccard(held[1], _set(b.as_py(), memo)) >= threshold - 1e-12)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                u = part.column("u").to_pylist()
+                first = dict(zip(u, part.column("ta"), strict=True))
+                pivots = dict(zip(first, _sets([t.as_py() for t in first.values()], memo), strict=True))
+                sets = _sets(part.column("tb").to_pylist(), memo)
+                keep = [jaccard(pivots[a], b) >= threshold - 1e-12 for a, b in zip(u, sets, strict=True)]
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return (
         pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
@@ -427,7 +450,7 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold:
         for (_, i, j), table in consecutive(batches, ["key", "i", "j"]):
             ids, pivots, side = (table.column(c).to_numpy() for c in ("h", "pivot", "side"))
             labels = table.column("label").to_numpy().copy()
-            sets = [_set(t, memo) for t in table.column("text").to_pylist()]
+            sets = _sets(table.column("text").to_pylist(), memo)
             sizes = np.array([len(s) for s in sets])
             split = 0 if i == j else int((side == 0).sum())
             a, b = [], []
@@ -497,26 +520,49 @@ def _all_words(text: str, memo: WordHashes) -> list[str]:
 
 
 def opened_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """The runs of ``SPAN`` words of the stretches ``opened`` (doc_id, at, words, h)."""
-    places = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words", "h")).alias("places"))
+    """The runs of ``SPAN`` words of the stretches ``opened`` (doc_id, start, stop, at, words, h).
+
+    Of plain texts, only the characters of the stretches are read; those that overlap are read once.
+    """
+    places = opened.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "at", "words", "h")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
-                text = text.as_py()
-                at, count, h = (places.values.field(i).to_numpy() for i in range(3))
-                hashes, ranges = memo.of(_all_words(text, memo)), word_ranges(text)
-                digests = _span_digests(hashes, len(hashes) - SPAN + 1).view(np.int64)
-                runs = count - SPAN + 1
-                begins = np.repeat(at, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-                h = np.repeat(h, runs)
-                for i in range(0, len(begins), 10_000):
-                    b = begins[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(b), doc_id, np.int64)), pa.array(ranges[b, 0]), pa.array(ranges[b + SPAN - 1, 1]),
-                        pa.array(b.astype(np.int32)), pa.array(np.full(len(b), SPAN, np.int32)), pa.array(h[i : i + 10_000]), pa.array(digests[b]),
-                    ], names=["doc_id", "start", "stop", "at", "words", "h", "g"])
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                ids, texts, places = part.column("doc_id").to_numpy(), part.column("text").to_pylist(), part.column("places")
+                of = np.repeat(np.arange(len(texts)), places.value_lengths().to_numpy())
+                start, stop, at, words, h = (places.flatten().field(i).to_numpy() for i in range(5))
+                plain = np.array([_is_plain(t) for t in texts])
+                order = np.lexsort((at, of))
+                mine = order[plain[of[order]]]
+                if len(mine):
+                    begins = at[mine] + (of[mine] << 33)
+                    new = np.append(True, begins[1:] >= np.maximum.accumulate(begins + words[mine])[:-1])
+                    first = np.flatnonzero(new)
+                    begin, end = start[mine][first], np.maximum.reduceat(stop[mine], first)
+                    read = [texts[i][a:b] for i, a, b in zip(of[mine][first].tolist(), begin.tolist(), end.tolist(), strict=True)]
+                    hashes, ranges, bases, _ = _plain_words(read, memo)
+                    piece = np.cumsum(new) - 1
+                    yield from windows(
+                        ids[of[mine]], at[mine], words[mine], h[mine], hashes, ranges, (bases - at[mine][first])[piece], (_starts(read) - begin)[piece])
+                for i in np.flatnonzero(~plain).tolist():
+                    mine, zeros = np.flatnonzero(of == i), np.zeros((of == i).sum(), np.int64)
+                    yield from windows(
+                        ids[of[mine]], at[mine], words[mine], h[mine], memo.of(_all_words(texts[i], memo)), word_ranges(texts[i]), zeros, zeros)
+
+    def windows(ids, at, words, h, hashes, ranges, base, chars):
+        """``base`` and ``chars``: what a document's places of words and characters are behind in what was read."""
+        digests = _span_digests(hashes, len(hashes) - SPAN + 1).view(np.int64)
+        runs = words - SPAN + 1
+        begins = np.repeat(base + at - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        of = np.repeat(np.arange(len(at)), runs)
+        for i in range(0, len(begins), 10_000):
+            b, o = begins[i : i + 10_000], of[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids[o]), pa.array((ranges[b, 0] - chars[o]).astype(np.int32)), pa.array((ranges[b + SPAN - 1, 1] - chars[o]).astype(np.int32)),
+                pa.array((b - base[o]).astype(np.int32)), pa.array(np.full(len(b), SPAN, np.int32)), pa.array(h[o]), pa.array(digests[b]),
+            ], names=["doc_id", "start", "stop", "at", "words", "h", "g"])
 
     return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, WINDOWS)
 
@@ -534,6 +580,27 @@ def _marked(rows: DataFrame, classes: DataFrame) -> DataFrame:
         (F.struct("doc_id", "at") != F.col("first")).alias("removed"))
 
 
+def merged(doc_id, removed, start, stop, at, words, origin, span: int) -> pa.RecordBatch:
+    """The spans of at least ``span`` words of units sorted by document, fate, start and falling stop.
+
+    A unit begins a span if it lies behind all units of its document and fate before it, by characters and
+    by words.  What lies behind them all reaches farther than they do, so the units of the span itself
+    decide the same.  Places of different documents and fates are moved apart to be looked at together.
+    """
+    apart = np.cumsum(np.append(False, (doc_id[1:] != doc_id[:-1]) | (removed[1:] != removed[:-1]))).astype(np.int64) << 33
+    begins, ends = at + apart, at + apart + words
+    reach, told = np.maximum.accumulate(stop + apart), np.maximum.accumulate(ends)
+    new = np.append(True, (start[1:] + apart[1:] > reach[:-1] + 8 * GAP) & (begins[1:] > told[:-1] + GAP))
+    first = np.flatnonzero(new)
+    # Units overlap; each word counts once.
+    own = ends - begins
+    own[1:] = np.maximum(0, ends[1:] - np.maximum(begins[1:], told[:-1]))
+    count = np.add.reduceat(own, first)
+    rows = [doc_id[first], start[first], np.maximum.reduceat(stop, first), count.astype(np.int32), np.minimum.reduceat(origin, first), removed[first] == 1]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c[count >= span]) for c in rows], names=["doc_id", "start", "stop", "n_words", "first_doc", "removed"])
+
+
 def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
     """doc_id, start and stop (characters), n_words, first_doc and removed of every repeated span."""
     rows, names = _numbered(docs)
@@ -549,68 +616,60 @@ def _named(spans: DataFrame, names: DataFrame) -> DataFrame:
         F.col("own_id").alias("doc_id"), "text_hash", "start", "stop", "n_words", F.col("other_id").alias("first_doc"), "removed")
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
+def _staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``stage``, and a collection of the driver's garbage: Spark deletes the shuffle files of the jobs
     before it only when their handles are collected, and here they would pile up."""
-    out = stage(df, name)
+    out = stage(df, name, path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
-def _repeated(rows: DataFrame, condition, name: str) -> DataFrame:
+def _repeated(slices: list[DataFrame], condition, name: str) -> DataFrame:
     """The rows whose ``h`` meets ``condition`` (an aggregate), staged.
 
-    Two passes: which hashes do, then only their rows; in ``SLICES`` slices by the hash, whose
+    Two passes: which hashes do, then only their rows; in slices by the hash, whose
     shuffle files follow each other and do not add up.
     """
-    slices = []
-    for i in range(SLICES):
-        part = rows.filter(F.pmod("h", F.lit(SLICES)) == i)
+    found = []
+    for part in slices:
         keys = part.groupBy("h").agg(condition.alias("met")).filter("met").select("h")
-        slices.append(_staged(part.join(keys, "h"), name))
-    return reduce(DataFrame.union, slices)
+        found.append(_staged(part.join(keys, "h"), name))
+    return reduce(DataFrame.union, found)
 
 
 def _spans(docs: DataFrame, threshold: float, span: int) -> DataFrame:
     """The repeated spans of numbered documents."""
-    units = _staged(paragraph_units(docs), "units")
-    sentences = units.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
-    paragraphs = units.filter("bands IS NOT NULL").select("doc_id", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
-    sentences = sentences.unionByName(paragraphs)
+    units_path = staging_path(docs.sparkSession, "units")
+    units = _staged(paragraph_units(docs), "units", units_path)
+    paragraphs = units.filter(F.col("words") >= PARAGRAPH).select("doc_id", "start", "stop", "at", "words", "h", F.lit(0).cast("bigint").alias("g"))
+
+    # First, as its shuffle files are the largest.
+    near = _staged(_near_paragraphs(docs, units, threshold), "near-paragraphs")
+
+    def slice_of(kind: str, i: int) -> DataFrame:
+        return units.select("doc_id", F.explode(f"{kind}_{i}").alias("s")).select("doc_id", "s.*")
+
     several = F.min("doc_id") < F.max("doc_id")
+    sentences = [slice_of("sentences", i).unionByName(paragraphs.filter(F.pmod("h", F.lit(SLICES)) == i)) for i in range(SLICES)]
     found = _repeated(sentences, several, "sentences").select("doc_id", "start", "stop", "at", "words", "h", "g")
-    near = _staged(_near_paragraphs(docs, units, threshold), "near-paragraphs")
     found = _staged(found.unionByName(
         paragraphs.join(near, "h").select("doc_id", "start", "stop", "at", "words", F.col("label").alias("h"), F.lit(-1).cast("bigint").alias("g"))), "found")
 
-    sown = units.select("doc_id", F.explode("stretches").alias("s")).select("doc_id", "s.*")
     # What repeats inside one document only goes with its class.
-    sown = _repeated(sown, F.count(F.lit(1)) > 1, "stretches").select(*found.columns)
+    sown = _repeated([slice_of("stretches", i) for i in range(SLICES)], F.count(F.lit(1)) > 1, "stretches").select(*found.columns)
+    # All that follows reads what was found in the units; they are the largest table by far.
+    drop_staged(docs.sparkSession, units_path)
     classes = _staged(_classes(sown), "stretch-classes")
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     opened = sown.join(classes.join(several, "h").select("h", "g", "first"), ["h", "g"]).filter(F.struct("doc_id", "at") == F.col("first"))
-    windows = _staged(opened_windows(docs, opened.select("doc_id", "at", "words", "h")), "windows")
+    windows = _staged(opened_windows(docs, opened.select("doc_id", "start", "stop", "at", "words", "h")), "windows")
 
     marked = _marked(found, _classes(found)).union(_marked(sown, classes)).union(_marked(windows, _classes(windows)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc_id, removed), table in consecutive(batches, ["doc_id", "removed"]):
-            rows, current = [], None
-            for start, stop, at, words, origin in zip(*(table.column(c).to_pylist() for c in ("start", "stop", "at", "words", "first_doc")), strict=True):
-                if current and (start <= current[1] + 8 * GAP or at <= current[4] + GAP):
-                    # Units overlap; each word counts once.
-                    current[1], current[2] = max(current[1], stop), current[2] + max(0, at + words - max(at, current[4]))
-                    current[3], current[4] = min(current[3], origin), max(current[4], at + words)
-                else:
-                    rows += [current] if current else []
-                    current = [start, stop, words, origin, at + words]
-            rows = [r for r in [*rows, current] if r[2] >= span]
-            if rows:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([doc_id] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int32()), (3, pa.int64()))),
-                    pa.array([bool(removed)] * len(rows)),
-                ], names=["doc_id", "start", "stop", "n_words", "first_doc", "removed"])
+        for table in whole_runs(batches, ["doc_id", "removed"]):
+            yield merged(*(table.column(c).to_numpy() for c in ("doc_id", "removed", "start", "stop", "at", "words", "first_doc")), span)
 
     return (
         marked.withColumn("removed", F.col("removed").cast("int")).repartition("doc_id")

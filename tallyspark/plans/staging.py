@@ -29,13 +29,24 @@ def staging_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the staging root and read it back.
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the staging root."""
+    return f"{staging_root(spark).rstrip('/')}/tallyspark/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the staging root (or to ``path``, made for it) and read it back.
 
     Cuts the lineage, survives the loss of executors, and lets each later pass prune
     columns.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/tallyspark/{name}-{uuid.uuid4().hex}"
+    path = path or staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Delete a staged table, made at a ``staging_path``, that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

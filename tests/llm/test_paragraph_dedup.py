@@ -1,7 +1,12 @@
+import glob
 import random
 
+import numpy as np
+import pyarrow as pa
 from tallyspark.llm import paragraph_dedup as pd
+from tallyspark.llm.batches import whole_runs
 from tallyspark.llm.words import WordHashes
+from tallyspark.plans.staging import staging_root
 
 DDL = "doc_id bigint, text string"
 RND = random.Random(8)
@@ -248,3 +253,79 @@ def test_letters_that_move_others_are_read_one_by_one(spark):
     got = pd.repeated_spans(docs).collect()
     assert {(r.doc_id, r.removed) for r in got} == {(1, False), (2, True), (3, True)}
     assert all(shared in texts[r.doc_id][r.start : r.stop] for r in got)
+
+
+def test_the_units_do_not_stay_on_disk(spark):
+    shared = passage(6)
+    rows = [(i, f"{passage(3)} {shared} {passage(3)}") for i in range(4)]
+
+    def folders(name):
+        return set(glob.glob(f"{staging_root(spark).removeprefix('file:')}/tallyspark/{name}-*"))
+
+    before = folders("units"), folders("stretches")
+    spans = pd.repeated_spans(spark.createDataFrame(rows, DDL))
+    assert folders("units") == before[0] and folders("stretches") > before[1]
+    for _ in range(2):  # nothing that is left to do reads them
+        assert {(r.doc_id, r.removed) for r in spans.collect()} == {(0, False), (1, True), (2, True), (3, True)}
+
+
+def test_pieces_lie_in_the_slice_of_their_hash(spark):
+    units = pd.paragraph_units(spark.createDataFrame([(i, passage(30)) for i in range(3)], DDL)).collect()
+    for kind in ("sentences", "stretches"):
+        slices = [[s.h for r in units for s in r[f"{kind}_{i}"]] for i in range(pd.SLICES)]
+        assert all(slices) and all(h % pd.SLICES == i for i, mine in enumerate(slices) for h in mine)
+
+
+def spans_one_by_one(rows, span):
+    out, current = [], None
+    for doc, fate, start, stop, at, words, origin in rows:
+        if current and current[:2] == [doc, fate] and (start <= current[3] + 8 * pd.GAP or at <= current[6] + pd.GAP):
+            current[3], current[4] = max(current[3], stop), current[4] + max(0, at + words - max(at, current[6]))
+            current[5], current[6] = min(current[5], origin), max(current[6], at + words)
+        else:
+            out += [current] if current else []
+            current = [doc, fate, start, stop, words, origin, at + words]
+    return [(d, a, b, n, o, bool(f)) for d, f, a, b, n, o, _ in [*out, current] if n >= span]
+
+
+def test_units_of_many_documents_are_merged_as_one_by_one():
+    rnd = random.Random(84)
+    rows = []
+    for doc in sorted(rnd.sample(range(-50, 10**6), 60)):
+        for fate in (0, 1):
+            for _ in range(rnd.randrange(25)):
+                at, words = rnd.randrange(400), rnd.randrange(6, 40)
+                start = 5 * at + rnd.randrange(40)
+                rows.append((doc, fate, start, start + 5 * words + rnd.randrange(30), at, words, rnd.randrange(doc - 5, doc + 1)))
+    rows.sort(key=lambda r: (r[0], r[1], r[2], -r[3]))
+    names = ["doc_id", "removed", "start", "stop", "at", "words", "first_doc"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    for size in (1, 7, 100, len(rows)):
+        tables = list(whole_runs((whole.slice(i, size) for i in range(0, len(rows), size)), ["doc_id", "removed"]))
+        assert sum(t.num_rows for t in tables) == len(rows)
+        got = [tuple(r.values()) for t in tables for r in pd.merged(*(t.column(c).to_numpy() for c in names), pd.SPAN).to_pylist()]
+        assert got == spans_one_by_one(rows, pd.SPAN)
+
+
+def test_sets_hashed_together():
+    texts = [passage(k) for k in range(1, 6)] + ["", "a b", "a b c d e", "a b c d"]
+    together = pd._sets(texts, WordHashes())
+    assert all(np.array_equal(mine, pd._set(text, WordHashes())) for mine, text in zip(together, texts, strict=True))
+
+
+def test_windows_of_opened_stretches_are_those_of_the_whole_text(spark):
+    rnd = random.Random(85)
+    texts = {i: passage(14) + "\n" + ("ΣΑΣ ΟΔΟΣ. İx " if i % 4 == 0 else "") + passage(9) for i in range(9)}
+    opened, wanted = [], set()
+    for i, text in texts.items():
+        words, ranges = pd._word_places(text)
+        digests = pd._span_digests(WordHashes().of(pd._all_words(text, WordHashes())), len(words) - pd.SPAN + 1).view(np.int64).tolist()
+        for h in range(rnd.randrange(1, 7)):
+            n = rnd.randrange(pd.SPAN, pd.SPAN + 12)
+            at = rnd.randrange(len(words) - n)
+            opened.append((i, ranges[at][0], ranges[at + n - 1][1], at, n, h))
+            wanted |= {(i, ranges[k][0], ranges[k + pd.SPAN - 1][1], k, pd.SPAN, h, digests[k]) for k in range(at, at + n - pd.SPAN + 1)}
+    places = spark.createDataFrame(opened, "doc_id bigint, start int, stop int, at int, words int, h bigint")
+    got = pd.opened_windows(spark.createDataFrame(list(texts.items()), DDL), places).collect()
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
