@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -617,11 +618,14 @@ def _named(spans: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``stage``, and a collection of the driver's garbage: Spark deletes the shuffle files of the jobs
-    before it only when their handles are collected, and here they would pile up."""
+    """``stage``, and collections of the driver's garbage: Spark deletes the shuffle files of the jobs
+    before it only when their handles are collected, and here they would pile up.  Spark's listeners hold
+    the handles of the last job a moment longer, so a second collection follows."""
     out = stage(df, name, path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for wait in (0, 1):
+        time.sleep(wait)
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
@@ -665,7 +669,9 @@ def _spans(docs: DataFrame, threshold: float, span: int) -> DataFrame:
     opened = sown.join(classes.join(several, "h").select("h", "g", "first"), ["h", "g"]).filter(F.struct("doc_id", "at") == F.col("first"))
     windows = _staged(opened_windows(docs, opened.select("doc_id", "start", "stop", "at", "words", "h")), "windows")
 
-    marked = _marked(found, _classes(found)).union(_marked(sown, classes)).union(_marked(windows, _classes(windows)))
+    # One after the other, so that the shuffle files of these joins do not add up either.
+    marked = _staged(_marked(found, _classes(found)).union(_marked(sown, classes)), "marked")
+    marked = marked.union(_staged(_marked(windows, _classes(windows)), "marked"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["doc_id", "removed"]):
